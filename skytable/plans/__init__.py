@@ -2,6 +2,7 @@
 
 from skytable.plans import (  # noqa: F401
     frame_queries,
+    sky_queries,
 )
 from skytable.plans.registry import ORACLE, QUERIES
 

@@ -365,10 +365,10 @@ b AS (SELECT filter, max(CASE WHEN metric = 'eccentricity' THEN med + (CASE WHEN
   max(CASE WHEN metric = 'stars' THEN med - (CASE WHEN filter = '3' THEN 25e-1 ELSE 2e0 END) * sd END) AS bs FROM stats GROUP BY filter)
 SELECT f.frame_id, CASE WHEN NOT coalesce(fwhm > 0 AND eccentricity > 0 AND stars > 0 AND psf_snr > 0, FALSE) THEN 'unmeasurable'
   WHEN fwhm > CAST(concat('3.', f.filter) AS DOUBLE) OR eccentricity > be OR stars < bs THEN 'rejected' ELSE 'approved' END AS state,
-  CASE WHEN fwhm > 0 AND eccentricity > 0 AND stars > 0 AND psf_snr > 0 THEN round(61e-2 * greatest(25e-2, least(4e0, mf / fwhm)) + 39e-2 * greatest(25e-2, least(4e0, me / eccentricity)), 6) END AS score
+  CASE WHEN fwhm > 0 AND eccentricity > 0 AND stars > 0 AND psf_snr > 0 THEN round(61e-2 * greatest(25e-2, least(4e0, mf / fwhm)) + 39e-2 * greatest(25e-2, least(4e0, me / eccentricity)), 9) END AS score
   FROM frames f JOIN m ON f.filter = m.filter JOIN b ON f.filter = b.filter"""))
 def custom_weights_and_limits(spark, sf):
     f, s = typed_settings(spark, sf)
     s = s.withColumn("weights", F.create_map(F.lit("fwhm"), F.lit(0.61), F.lit("eccentricity"), F.lit(0.39)))
     out = op.scores(op.verdicts(f, s), s)
-    return out.select("frame_id", "state", F.round("score", 6).alias("score"))
+    return out.select("frame_id", "state", F.round("score", 9).alias("score"))
