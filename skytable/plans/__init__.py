@@ -1,6 +1,7 @@
 """The registered queries, in the order of the operator inventory."""
 
 from skytable.plans import (  # noqa: F401
+    capture_queries,
     frame_queries,
     sky_queries,
 )
