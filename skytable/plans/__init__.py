@@ -3,6 +3,7 @@
 from skytable.plans import (  # noqa: F401
     capture_queries,
     frame_queries,
+    pixel_queries,
     sky_queries,
 )
 from skytable.plans.registry import ORACLE, QUERIES
