@@ -3,6 +3,8 @@
 from skytable.plans import (  # noqa: F401
     capture_queries,
     frame_queries,
+    input_queries,
+    object_queries,
     pixel_queries,
     sky_queries,
 )
