@@ -7,6 +7,7 @@ from skytable.plans import (  # noqa: F401
     object_queries,
     pixel_queries,
     sky_queries,
+    stream_queries,
 )
 from skytable.plans.registry import ORACLE, QUERIES
 

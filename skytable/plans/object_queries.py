@@ -93,7 +93,7 @@ al AS (SELECT path, list_concat(list_concat(flatten([list_filter(regexp_split_to
   flatten([list_filter(regexp_split_to_array(x, '[^A-Za-z0-9'']+'), lambda w: length(w) >= 4 AND NOT regexp_full_match(w, '\\d+')) for x in b])) AS a FROM bs)"""
 
 
-@query("name_tokens", with_views("files", TOKENS + " SELECT path, array_to_string([a[i] for i in range(1, len(a) + 1) if list_position([lower(z) for z in a], lower(a[i])) = i][1:6], ';') AS names FROM al"))
+@query("name_tokens", with_views("files", TOKENS + " SELECT DISTINCT path, array_to_string([a[i] for i in range(1, len(a) + 1) if list_position([lower(z) for z in a], lower(a[i])) = i][1:6], ';') AS names FROM al"))
 def name_tokens(spark, sf):
     view(spark, sf, "files").createOrReplaceTempView("files")
     table(spark, sf, "part").createOrReplaceTempView("part")
