@@ -4,6 +4,7 @@ from skytable.plans import (  # noqa: F401
     capture_queries,
     frame_queries,
     input_queries,
+    match_queries,
     object_queries,
     pixel_queries,
     sky_queries,
