@@ -31,7 +31,8 @@ def obs_time(text: Column) -> Column:
     """DATE-OBS text as epoch milliseconds; UTC where no zone is given."""
     t = F.trim(F.regexp_replace(text, "'", ""))
     zoned = F.when(t.rlike(r"[zZ]|[+-]\d\d:?\d\d$"), t).otherwise(F.concat(t, F.lit("Z")))
-    return F.when(t != "", F.unix_millis(F.try_to_timestamp(F.regexp_replace(zoned, "[zZ]$", "+00:00"))))
+    # words such as "now" are times to Spark; an observation time begins with a year
+    return F.when(t.rlike(r"^\d{4}-"), F.unix_millis(F.try_to_timestamp(F.regexp_replace(zoned, "[zZ]$", "+00:00"))))
 
 
 def parse_capture_names(df: DataFrame, name: str) -> DataFrame:

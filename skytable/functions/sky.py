@@ -134,7 +134,10 @@ def with_cells_near(df: DataFrame, ra: str, dec: str, radius: Column, size: floa
         grid_row(F.col(dec) - F.col("__radius"), size), grid_row(F.col(dec) + F.col("__radius"), size))))
     low = -90.0 + row * size
     cosd = F.cos(F.radians(F.greatest(F.abs(low), F.abs(low + size))))
-    span = F.when(cosd <= 1e-9, 360.0).otherwise((F.col("__radius") + size) / cosd)
+    # a circle over a pole reaches all of a row; else its widest half in ra is asin(sin r / cos dec)
+    polar = F.abs(F.col(dec)) + F.col("__radius") + size >= 90.0
+    widest = F.degrees(F.asin(clamp(F.try_divide(F.sin(F.radians("__radius")), F.cos(F.radians(F.col(dec)))), -1.0, 1.0)))
+    span = F.when(polar | (cosd <= 1e-9), 360.0).otherwise(F.greatest((F.col("__radius") + size) / cosd, widest))
     rows = rows.withColumn("__n", grid_columns(row, size)).withColumn("__span", span)
     n = F.col("__n")
     first = F.when(F.col("__span") >= 180, 0).otherwise(F.floor((F.col(ra) - F.col("__span")) / 360.0 * n).cast("int"))
