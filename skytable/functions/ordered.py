@@ -17,6 +17,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skytable.functions.storage import checkpointed
+
 # A sketch with this accuracy is off by at most n / ACCURACY ranks; the bracket is wider than that.
 ACCURACY = 100_000
 BRACKET = 3e-5
@@ -34,7 +36,7 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
         renamed = renamed.withColumnRenamed(k, f"__r_{k}")
         test = left[k].eqNullSafe(F.col(f"__r_{k}"))
         on = test if on is None else on & test
-    return left.join(renamed, on, how).drop(*[f"__r_{k}" for k in keys])
+    return left.join(renamed, on, how).drop(*[f"__r_{k}" for k in keys])  # drop ignores what a semi join left out
 
 
 def usable(value: Column) -> Column:
@@ -54,9 +56,11 @@ def order_elements(df: DataFrame, keys: Sequence[str], value: str,
     rows = df.select(*keys, F.col(value).cast("double").alias("__v")).filter(usable(F.col("__v")))
     fractions = sorted({f for f, _ in picks.values()})
     edges = [e for f in fractions for e in (max(f - BRACKET, 0.0), min(f + BRACKET, 1.0))]
-    sketch = rows.groupBy(*keys).agg(
-        F.count("*").alias("__n"),
-        F.percentile_approx("__v", edges, ACCURACY).alias("__edges"))
+    counts = rows.groupBy(*keys).agg(F.count("*").alias("__n"))
+    # only large groups pay for a sketch; where there are none the branch turns out empty at run time
+    large = null_safe_join(rows, counts.filter(F.col("__n") > SMALL_GROUP).drop("__n"), keys, "left_semi")
+    sketch = null_safe_join(counts, large.groupBy(*keys).agg(
+        F.percentile_approx("__v", edges, ACCURACY).alias("__edges")), keys, "left")
     v = F.col("__v")
     inside = F.col("__n") <= SMALL_GROUP
     passed = F.lit(None).cast("double")
@@ -120,7 +124,8 @@ def robust_spread(df: DataFrame, keys: Sequence[str], value: str, *, upper: bool
     ``upper`` uses the element at n div 2 for both medians and 1 where the deviation is 0.
     """
     middle = upper_medians if upper else medians
-    centre = middle(df, keys, value)
+    # one row a group, read several times below: written once instead of computed each time
+    centre = checkpointed(middle(df, keys, value))
     off = (null_safe_join(df.select(*keys, F.col(value).cast("double").alias("__x")), centre, keys)
            .withColumn("__d", F.abs(F.col("__x") - F.col("median"))))
     spread = middle(off, keys, "__d", "mad").drop("n")
