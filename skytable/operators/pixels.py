@@ -714,4 +714,41 @@ def registration_reference(quality: DataFrame, run: str = "run") -> DataFrame:
     return quality.groupBy(run).agg(F.min(rank).alias("best")).select(run, F.col("best.channel").alias("channel"))
 
 
+# --- fragments --------------------------------------------------------------------------------
 
+def whole_stars(detections: DataFrame, px: DataFrame, fwhm: int, value: str = "v", cell: float = 32.0) -> DataFrame:
+    """Detections that are no part of a brighter star.
+
+    One is a part when a pixel within max(2, fwhm) beyond its 3 by 3 is brighter than those, or when it lies in the core
+    of a detection of more flux whose centre is at least as bright. ``detections`` has ``image_id``, ``det_id``, ``x``,
+    ``y``, ``flux``, ``half_width``; pixels off the image read as its edge.
+    """
+    rad = max(2.0, float(fwhm))
+    reach = math.ceil(rad)
+    cx, cy = F.floor(F.col("x") + 0.5).cast("int"), F.floor(F.col("y") + 0.5).cast("int")
+    size = px.groupBy(*KEY).agg(F.max("x").alias("__w"), F.max("y").alias("__h"))
+    offsets = F.sequence(F.lit(-reach), F.lit(reach))
+    near = detections.select(*KEY, "det_id", cx.alias("__cx"), cy.alias("__cy")).join(size, KEY)
+    near = near.withColumn("__j", F.explode(offsets)).withColumn("__i", F.explode(offsets))
+    inner = (F.abs("__i") <= 1) & (F.abs("__j") <= 1)
+    near = near.filter(inner | (F.col("__i") * F.col("__i") + F.col("__j") * F.col("__j") <= rad * rad))
+
+    def held(c: str, off: str, last: str) -> Column:
+        return F.greatest(F.lit(0), F.least(F.col(last), F.col(c) + F.col(off)))
+    near = near.withColumns({"x": held("__cx", "__i", "__w"), "y": held("__cy", "__j", "__h")})
+    seen = near.join(px.select(*KEY, "y", "x", F.col(value).alias("__v")), [*KEY, "y", "x"]).groupBy(*KEY, "det_id").agg(
+        F.max(F.when(inner, F.col("__v"))).alias("__top"), F.max(F.when(~inner, F.col("__v"))).alias("__around"),
+        F.max(F.when((F.col("__i") == 0) & (F.col("__j") == 0), F.col("__v"))).alias("__centre"))
+    rows = detections.join(seen, [*KEY, "det_id"])
+    peaks = rows.filter(~F.coalesce(F.col("__around") > F.col("__top"), F.lit(False)))
+    x0, x1 = F.floor(F.col("x") - F.col("half_width")), F.floor(F.col("x") + F.col("half_width")) + 1
+    cores = rows.select(F.col("image_id").alias("o_image"), F.col("x").alias("ox"), F.col("y").alias("oy"), F.col("flux").alias("o_flux"),
+                        F.col("__centre").alias("o_centre"), (0.5 * (x1 - x0) + fwhm).alias("core"))
+
+    def cells(c: str) -> Column:
+        return F.explode(F.sequence(F.floor((F.col(c) - F.col("core")) / cell).cast("int"), F.floor((F.col(c) + F.col("core")) / cell).cast("int")))
+    cores = cores.withColumn("o_cx", cells("ox")).withColumn("o_cy", cells("oy"))
+    placed = peaks.withColumns({"__gx": F.floor(F.col("x") / cell).cast("int"), "__gy": F.floor(F.col("y") / cell).cast("int")})
+    inside = ((F.col("image_id") == F.col("o_image")) & (F.col("__gx") == F.col("o_cx")) & (F.col("__gy") == F.col("o_cy")) & (F.col("o_flux") > F.col("flux"))
+              & (F.hypot(F.col("ox") - F.col("x"), F.col("oy") - F.col("y")) <= F.col("core")) & (F.col("o_centre") >= F.col("__top")))
+    return placed.join(cores, inside, "left_anti").select(*detections.columns)

@@ -493,3 +493,24 @@ def stack_frames(spark, sf):
     ten = F.floor(i / 10).cast("long")
     stack = F.when(i % 10 < 2, ten * 3).when(i % 10 < 6, ten * 3 + 1).otherwise(-F.floor(i / 20).cast("long") - 1)
     return rounded(op.stack_frames(pixels(spark, sf).withColumn("stack_id", stack)), "v")
+
+
+SPECKS = PX + """, sp AS (SELECT image_id, image_id * 3 + k AS det_id, ((image_id * 7 + k * 13) % 80) / 1e1 AS x, ((image_id * 11 + k * 29) % 80) / 1e1 AS y, 1e2 + (image_id * 17 + k * 31) % 90 AS flux, 1 + (image_id + k) % 2 AS half_width
+  FROM (SELECT DISTINCT image_id FROM px) CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1 UNION ALL SELECT 2))"""
+WHOLE = SPECKS + """,
+off AS (SELECT s.*, i, j FROM sp s CROSS JOIN (SELECT unnest([-2, -1, 0, 1, 2]) AS i) CROSS JOIN (SELECT unnest([-2, -1, 0, 1, 2]) AS j) WHERE (abs(i) <= 1 AND abs(j) <= 1) OR i * i + j * j <= 4),
+rd AS (SELECT o.det_id, max(CASE WHEN abs(i) <= 1 AND abs(j) <= 1 THEN p.v END) AS top, max(CASE WHEN abs(i) > 1 OR abs(j) > 1 THEN p.v END) AS around, max(CASE WHEN i = 0 AND j = 0 THEN p.v END) AS centre
+  FROM off o JOIN px p ON p.image_id = o.image_id AND p.x = greatest(0, least(7, CAST(floor(o.x + 5e-1) AS INTEGER) + i)) AND p.y = greatest(0, least(7, CAST(floor(o.y + 5e-1) AS INTEGER) + j)) GROUP BY o.det_id),
+dd AS (SELECT s.*, r.top, r.around, r.centre FROM sp s JOIN rd r ON s.det_id = r.det_id)
+SELECT image_id, det_id FROM dd d WHERE NOT around > top AND NOT EXISTS (SELECT 1 FROM dd o WHERE o.image_id = d.image_id AND o.flux > d.flux AND o.centre >= d.top
+  AND sqrt((o.x - d.x) * (o.x - d.x) + (o.y - d.y) * (o.y - d.y)) <= 5e-1 * (floor(o.x + o.half_width) + 1 - floor(o.x - o.half_width)) + 1)"""
+
+
+@query("fragment_filter", sql(WHOLE))
+def fragment_filter(spark, sf):
+    px = pixels(spark, sf)
+    i, k = F.col("image_id"), F.col("k")
+    d = px.select("image_id").distinct().withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(2)))).select(
+        "image_id", (i * 3 + k).alias("det_id"), (((i * 7 + k * 13) % 80) / 10.0).alias("x"), (((i * 11 + k * 29) % 80) / 10.0).alias("y"),
+        (100.0 + (i * 17 + k * 31) % 90).alias("flux"), (1 + (i + k) % 2).alias("half_width"))
+    return op.whole_stars(d, px, 1).select("image_id", "det_id")
