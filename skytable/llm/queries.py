@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from skytable.llm import bpe, exact_dedup, language, mixing, ngram_join
+from skytable.llm import bpe, exact_dedup, language, mixing, ngram_join, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -27,11 +27,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query("op1_warc_salvage", """
+WITH t AS (SELECT page_id, COALESCE(html, '') AS h, octet_length(encode(COALESCE(html, ''))) AS n, MIN(page_id) OVER (PARTITION BY COALESCE(html, '')) AS first_id FROM pages)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, sha256(h) AS payload_digest, CASE WHEN n >= 100 AND page_id > first_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN n >= 100 AND page_id > first_id THEN first_id END AS refers_to FROM t""")
+def op1_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 @query("op2_byte_bpe")
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.summary(table(spark, sf_dir, "documents"), RANKS, public_tokenizers.PATTERN)
 
 
+@query("op3_toxicity_crf")
+def op3_toxicity_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.predictions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @query("op4_source_mixing", mixing.MIXTURE_SQL)
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture(table(spark, sf_dir, "documents"))

@@ -23,42 +23,58 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 @cache
-def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Lower case; white space; what is no ASCII letter and no part of a longer character; value of a byte."""
     lower = np.arange(256, dtype=np.uint8)
     lower[65:91] += 32
     white = np.zeros(256, dtype=bool)
     white[[0x20, *range(0x09, 0x0E)]] = True
-    return lower, white, mixed(np.arange(256, dtype=np.uint64)) | np.uint64(1)
+    other = np.zeros(256, dtype=bool)
+    other[:128] = True
+    other[[*range(65, 91), *range(97, 123)]] = False
+    return lower, white, other, mixed(np.arange(256, dtype=np.uint64)) | np.uint64(1)
 
 
-def _powers(n: int) -> np.ndarray:
-    """Powers 0 .. n of an odd multiplier, modulo 2 to the 64."""
-    p = np.full(n + 1, 0xD1342543DE82EF95, dtype=np.uint64)
+_BASE = 0xD1342543DE82EF95
+_BACK = pow(_BASE, -1, 1 << 64)
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    """Powers 0 .. n of an odd number, modulo 2 to the 64."""
+    p = np.full(n + 1, base, dtype=np.uint64)
     p[0] = 1
     return np.multiply.accumulate(p)
 
 
 class Words:
-    """Words of a list of texts: ``hashes`` with the text and place (bytes within the joined text) of each."""
+    """Words of a list of texts: ``hashes`` with the text and place (bytes within the joined text) of each.
 
-    def __init__(self, texts: list[bytes]):
-        lower, white, value = _tables()
+    Words lie between white space, or are runs of letters where ``letters`` is set; A-Z count as a-z.
+    """
+
+    def __init__(self, texts: list[bytes], letters: bool = False):
+        lower, white, other, value = _tables()
         joined = np.frombuffer(b"\n".join([*texts, b""]), dtype=np.uint8)
         lengths = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts)) + 1
         self.text_end = np.cumsum(lengths)
         self.text_start = self.text_end - lengths
-        self.joined = joined
-        inside = ~white[joined]
+        self.joined = lower[joined]
+        inside = ~(other if letters else white)[joined]
         change = np.flatnonzero(np.diff(inside.view(np.int8), prepend=np.int8(0), append=np.int8(0)))
         self.start, self.end = change[::2], change[1::2]
-        powers = _powers(len(joined))
-        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(value[lower[joined]] * powers[:len(joined)], dtype=np.uint64)])
-        # the sum over a word, moved to a common power: words of equal bytes are equal wherever they stand
-        raw = (total[self.end] - total[self.start]) * powers[len(joined) - self.start]
+        powers, self._back = _powers(_BASE, len(joined)), _powers(_BACK, len(joined))
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(value[self.joined] * powers[:len(joined)], dtype=np.uint64)])
+        self._total = total
+        # the sum over a word, divided by the power at its start: words of equal bytes are equal wherever they stand
+        raw = (total[self.end] - total[self.start]) * self._back[self.start]
         self.hashes = mixed(raw ^ mixed((self.end - self.start).astype(np.uint64)))
         self.first = np.searchsorted(self.start, self.text_start)
         self.last = np.searchsorted(self.start, self.text_end)
 
+    def parts(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Hashes of the byte ranges [start, end), equal for equal bytes."""
+        return mixed((self._total[end] - self._total[start]) * self._back[start])
+
     def counts(self) -> np.ndarray:
         return self.last - self.first
 
