@@ -30,7 +30,7 @@ BITS = 18
 PREFIX, SUFFIX = 4, 4
 ROUNDS = 40
 # A word of a toxic document is labelled toxic from this log ratio of document shares, and share, on.
-LEAST_RATIO, LEAST_SHARE, LEAST_DOCS = 2.5, 0.06, 4
+LEAST_RATIO, LEAST_SHARE, LEAST_DOCS = 2.5, 0.03, 4
 SPAN = 0.5
 _MANY = 5
 _DOCS = 2048
