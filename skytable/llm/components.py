@@ -46,14 +46,14 @@ def linked(entries: DataFrame, verify: Callable[[DataFrame], DataFrame], fits: C
     """Components of the links among ids that share a bucket: (id, component) and the links found (a, b).
 
     ``entries`` has bucket, id and what ``fits`` reads; ``verify`` takes pairs (a < b) and returns
-    those that are links. Only connection matters, so a bucket first compares all its members with
+    those that are links, already written or checkpointed. Only connection matters, so a bucket first compares all its members with
     one of them (a different one each round) and drops out once its members are connected. When few
     pairs are left apart, or after STAR_ROUNDS, all pairs of members that are still apart are
     compared: no link between two components can be missed.
     """
     more = [c for c in entries.columns if c not in ("bucket", "id")]
-    busy = entries.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
-    rows = checkpointed(entries.join(busy, "bucket").withColumn("component", F.col("id")))
+    busy = entries.groupBy("bucket").agg(F.min("id").alias("p"), F.max("id").alias("q")).filter("p != q").select("bucket")
+    rows = checkpointed(entries.join(busy, "bucket").distinct().withColumn("component", F.col("id")))
     found: DataFrame | None = None
     for round_ in range(STAR_ROUNDS + 1):
         sizes = rows.groupBy("bucket", "component").agg(F.count("*").cast("double").alias("n")).groupBy("bucket").agg(
@@ -71,7 +71,7 @@ def linked(entries: DataFrame, verify: Callable[[DataFrame], DataFrame], fits: C
             middle = rows.groupBy("bucket").agg(F.min_by(F.struct("id", "component", *more), key).alias("m")).select("bucket", "m.*").alias("x")
             pairs = middle.join(b, F.expr(apart + (f" and {fits('x', 'y')}" if fits else ""))).select(
                 F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
-        links = checkpointed(verify(pairs.distinct()).select("a", "b"))
+        links = verify(pairs.distinct()).select("a", "b")
         found = links if found is None else found.unionByName(links)
         if last:
             break

@@ -8,8 +8,10 @@ propose pairs; a pair goes on only if it also shares prefix tokens under the sec
 and its sizes fit; then the shingle sets themselves are compared.
 
 Documents of equal sets are one node. Only connection is asked for, so members of a bucket are first
-compared with one of them; see ``components.linked``. Prefixes are kept in a written table, whole
-sets are made again for candidates only.
+compared with one of them; see ``components.linked``. Prefixes are kept in a written table; whole
+sets are made again for candidates only, which a bitmap of hashed ids (MAP_BITS at any input size)
+picks out of the scan so that no text is shuffled. What the bitmap lets through too much falls out
+of the join by id.
 """
 
 from __future__ import annotations
@@ -18,10 +20,10 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skytable.functions.storage import written
+from skytable.functions.storage import checkpointed, removed, written, written_at
 from skytable.llm.components import linked
 from skytable.llm.words import Words, mixed, shingles, steps
 
@@ -30,6 +32,8 @@ WORDS = 3
 PERCENT = 90
 BINS = 18
 PARTS = 64
+# Bits of the candidates' bitmap (2 ** MAP_BITS), as words of 32.
+MAP_BITS = 24
 _BITS = np.uint64(52)
 _LOW = np.uint64((1 << 52) - 1)
 _ORDERS = (np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB))
@@ -70,6 +74,12 @@ def _added(table: pa.Table) -> pa.Table:
     return pa.table({"part": pa.array([table.column("part")[0].as_py()], pa.int32()), "n": pa.array([total], pa.list_(pa.int64()))})
 
 
+def _prefix(n: np.ndarray, ends: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Length of each set's prefix, and the places of prefixes in sets laid out at ``ends``."""
+    take = np.where(n > 0, n - (percent * n + 99) // 100 + 1, 0)
+    return take, np.repeat(ends[:-1], take) + np.arange(take.sum()) - np.repeat(np.cumsum(take) - take, take)
+
+
 def rarity(texts: DataFrame, size: int) -> np.ndarray:
     """Class of each bin, rare first: the rounded logarithm of how many documents meet it. 2 ** BINS bytes at any input size."""
     parts = texts.mapInArrow(_counted(size), "part int, n array<long>").groupBy("part").applyInArrow(_added, "part int, n array<long>").collect()
@@ -87,30 +97,50 @@ def _prefixed(shared, size: int, percent: int) -> Callable[[Iterator[pa.RecordBa
                 for i, keys, ends in _sets(texts, size):
                     n = np.diff(ends)
                     piece, h = keys & ~_LOW, keys & _LOW
-                    take = np.where(n > 0, n - (percent * n + 99) // 100 + 1, 0)
-                    at = np.repeat(ends[:-1], take) + np.arange(take.sum()) - np.repeat(np.cumsum(take) - take, take)
+                    take, at = _prefix(n, ends, percent)
                     rank = classes[(h >> np.uint64(52 - BINS)).astype(np.int64)].astype(np.uint64)
                     rare = np.sort(piece | (rank << np.uint64(44)) | (h & np.uint64((1 << 44) - 1)))[at] & _LOW
-                    other = [(np.sort(piece | (mixed(h ^ c) >> np.uint64(12)))[at] & np.uint64(0x7FFFFFFF)).astype(np.int32) for c in _ORDERS]
                     digest = [np.add.reduceat(np.append(mixed(h ^ c), np.uint64(0)), ends[:-1]) for c in (np.uint64(1), np.uint64(2))]
                     digest = [np.where(n > 0, d, np.uint64(0)).view(np.int64) for d in digest]
                     yield pa.RecordBatch.from_arrays(
                         [part.slice(i, len(n)).column("__id"), pa.array(n, pa.int64()), *[pa.array(d) for d in digest],
-                         _lists(rare.astype(np.int64), take, pa.int64()), *[_lists(o, take, pa.int32()) for o in other]],
-                        ["id", "n", "d1", "d2", "rare", "order2", "order3"])
+                         _lists(rare.astype(np.int64), take, pa.int64())],
+                        ["id", "n", "d1", "d2", "rare"])
     return prefixes
 
 
-def _whole(size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _whole(size: int, percent: int, shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Sets of the rows whose id is on the bitmap, with their prefixes under the second and third order."""
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bitmap = shared.value
         for batch in batches:
+            place = np.asarray(batch.column("__place"), dtype=np.int64)
+            batch = batch.filter(pa.array((bitmap[place >> 5] >> (place & 31).astype(np.uint32)) & 1 == 1))
             for part, texts in steps(batch, "__text"):
                 for i, keys, ends in _sets(texts, size):
                     n = np.diff(ends)
-                    yield pa.RecordBatch.from_arrays([part.slice(i, len(n)).column("__id"), _lists((keys & _LOW).astype(np.int64), n, pa.int64())], ["id", "set"])
+                    piece, h = keys & ~_LOW, keys & _LOW
+                    take, at = _prefix(n, ends, percent)
+                    other = [(np.sort(piece | (mixed(h ^ c) >> np.uint64(12)))[at] & _LOW).astype(np.int64) for c in _ORDERS]
+                    yield pa.RecordBatch.from_arrays([part.slice(i, len(n)).column("__id"), *[_lists(o, take, pa.int64()) for o in other],
+                                                      _lists(h.astype(np.int64), n, pa.int64())], ["id", "order2", "order3", "set"])
     return whole
 
 
+def _place(id_: Column) -> Column:
+    return F.xxhash64(id_).bitwiseAND((1 << MAP_BITS) - 1)
+
+
+def _bitmap(ids: DataFrame) -> np.ndarray:
+    """Bitmap of the hashed ids of a table with one column ``id``."""
+    place = _place(F.col("id"))
+    words = ids.select(F.shiftright(place, 5).cast("int").alias("word"), F.pow(F.lit(2.0), place.bitwiseAND(31).cast("double")).cast("long").alias("bit"))
+    out = np.zeros(1 << (MAP_BITS - 5), dtype=np.uint32)
+    got = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    out[np.asarray(got.column("word"))] = np.asarray(got.column("bits")).astype(np.uint32)
+    return out
+
+
 def joined(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, size: int = WORDS, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """Documents (doc_id, n_shingles, component_id, class_id) and the links between classes (a, b).
 
@@ -123,27 +153,26 @@ def joined(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, s
     rows = docs.select(F.col(id_col).cast("long").alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
     classes = docs.sparkSession.sparkContext.broadcast(rarity(rows.select("__text"), size))
     prefixes = written(rows.mapInArrow(_prefixed(classes, size, percent),
-                                       "id long, n long, d1 long, d2 long, rare array<long>, order2 array<int>, order3 array<int>"), "prefixes")
+                                       "id long, n long, d1 long, d2 long, rare array<long>"), "prefixes")
     full = prefixes.filter("n > 0 and id is not null")
     reps = full.groupBy("d1", "d2", "n").agg(F.min("id").alias("rep"))
-    own = full.join(reps, ["d1", "d2", "n"]).filter("id = rep")
+    copies = full.select("id", "n", "d1", "d2").join(reps, ["d1", "d2", "n"]).filter("id != rep").select("id", "d1", "d2")
+    own = full.join(copies, ["id", "d1", "d2"], "left_anti")
     entries = own.select(F.explode("rare").alias("bucket"), "id", "n")
 
     def verify(pairs: DataFrame) -> DataFrame:
-        # the smaller id's side is the crowded one; each join is by id, so crowded ids can be split
-        info = own.select("id", "n", "order2", "order3").dropDuplicates(["id", "n"])
-        x, y = [info.select(*[F.col(c).alias(f"{c}_{s}") for c in info.columns]) for s in "ab"]
-        near = pairs.join(x, F.col("a") == F.col("id_a")).join(y, F.col("b") == F.col("id_b")).filter(
-            f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b) and arrays_overlap(order2_a, order2_b) and arrays_overlap(order3_a, order3_b)"
-        ).select("a", "b")
-        near = written(near, "candidates")
-        ids = near.select(F.col("a").alias("__id")).union(near.select("b")).distinct()
-        sets = rows.join(ids, "__id", "left_semi").mapInArrow(_whole(size), "id long, set array<long>")
-        sets = written(sets, "sets")
-        both = near.join(sets.select(F.col("id").alias("a"), F.col("set").alias("s")), "a").join(
-            sets.select(F.col("id").alias("b"), F.col("set").alias("t")), "b")
-        both = both.withColumn("shared", F.size(F.array_intersect("s", "t")).cast("long"))
-        return both.filter(f"100 * shared >= {percent} * (size(s) + size(t) - shared)").select("a", "b").distinct()
+        near, near_path = written_at(pairs, "candidates")
+        bitmap = docs.sparkSession.sparkContext.broadcast(_bitmap(near.select(F.col("a").alias("id")).union(near.select("b")).distinct()))
+        sets, sets_path = written_at(rows.filter("__id is not null").withColumn("__place", _place(F.col("__id"))).mapInArrow(
+            _whole(size, percent, bitmap), "id long, order2 array<long>, order3 array<long>, set array<long>"), "sets")
+        x, y = [sets.select(F.col("id").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in ("order2", "order3", "set")]) for side in "ab"]
+        both = near.join(x, "a").join(y, "b").filter("arrays_overlap(order2_a, order2_b) and arrays_overlap(order3_a, order3_b)")
+        both = both.select("a", "b", F.size("set_a").cast("long").alias("p"), F.size("set_b").cast("long").alias("q"),
+                           F.size(F.array_intersect("set_a", "set_b")).cast("long").alias("shared"))
+        links = checkpointed(both.filter(f"100 * shared >= {percent} * (p + q - shared)").select("a", "b").distinct())
+        removed(docs.sparkSession, near_path, sets_path)
+        bitmap.destroy()
+        return links
 
     fits = lambda x, y: f"100 * least({x}.n, {y}.n) >= {percent} * greatest({x}.n, {y}.n)"
     components, links = linked(entries, verify, fits)
