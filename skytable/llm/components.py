@@ -11,8 +11,8 @@ from skytable.functions.storage import checkpointed
 
 # Rounds in which every bucket compares its members with one of them before it compares what is left apart.
 STAR_ROUNDS = 6
-# Left-over pairs a member that end the star rounds early.
-FEW = 4
+# Left-over pairs a member, or links a compared pair, that end the star rounds early.
+FEW, FRUITFUL = 4, 0.05
 
 
 def _stars(edges: DataFrame) -> DataFrame:
@@ -48,20 +48,21 @@ def linked(entries: DataFrame, verify: Callable[[DataFrame], DataFrame], fits: C
     ``entries`` has bucket, id and what ``fits`` reads; ``verify`` takes pairs (a < b) and returns
     those that are links, already written or checkpointed. Only connection matters, so a bucket first compares all its members with
     one of them (a different one each round) and drops out once its members are connected. When few
-    pairs are left apart, or after STAR_ROUNDS, all pairs of members that are still apart are
+    pairs are left apart, or a round finds few links, or after STAR_ROUNDS, all pairs of members that are still apart are
     compared: no link between two components can be missed.
     """
     more = [c for c in entries.columns if c not in ("bucket", "id")]
     busy = entries.groupBy("bucket").agg(F.min("id").alias("p"), F.max("id").alias("q")).filter("p != q").select("bucket")
     rows = checkpointed(entries.join(busy, "bucket").distinct().withColumn("component", F.col("id")))
     found: DataFrame | None = None
+    fruitful = True
     for round_ in range(STAR_ROUNDS + 1):
         sizes = rows.groupBy("bucket", "component").agg(F.count("*").cast("double").alias("n")).groupBy("bucket").agg(
             F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("q"), F.count("*").alias("c"))
         left = sizes.agg(F.sum("n"), F.sum((F.col("n") * F.col("n") - F.col("q")) / 2)).first()
         if not left[0] or not left[1]:
             break
-        last = round_ == STAR_ROUNDS or (round_ > 0 and left[1] <= FEW * left[0])
+        last = round_ == STAR_ROUNDS or (round_ > 0 and (not fruitful or left[1] <= FEW * left[0]))
         a, b = rows.alias("x"), rows.alias("y")
         apart = "x.bucket = y.bucket and x.component != y.component"
         if last:
@@ -71,7 +72,9 @@ def linked(entries: DataFrame, verify: Callable[[DataFrame], DataFrame], fits: C
             middle = rows.groupBy("bucket").agg(F.min_by(F.struct("id", "component", *more), key).alias("m")).select("bucket", "m.*").alias("x")
             pairs = middle.join(b, F.expr(apart + (f" and {fits('x', 'y')}" if fits else ""))).select(
                 F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
-        links = verify(pairs.distinct()).select("a", "b")
+        pairs = checkpointed(pairs.distinct())
+        links = verify(pairs).select("a", "b")
+        fruitful = links.count() >= FRUITFUL * pairs.count()
         found = links if found is None else found.unionByName(links)
         if last:
             break

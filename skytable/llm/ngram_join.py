@@ -4,8 +4,8 @@ A document is the set of its 3-word shingles. Two sets of Jaccard similarity t s
 the first n - ceil(t n) + 1 tokens of each, under any order of all tokens. Three orders are used:
 rare tokens first (by a count-min row over all documents; any function of the token is a valid order,
 so the counts need not be exact), and two orders by independent hashes. Buckets of the first order
-propose pairs; a pair goes on only if it also shares prefix tokens under the second and third order
-and its sizes fit; then the shingle sets themselves are compared.
+propose pairs whose sizes and places in the order leave enough to share; a pair goes on only if it also shares prefix tokens under the second and third order;
+then the shingle sets themselves are compared.
 
 Documents of equal sets are one node. Only connection is asked for, so members of a bucket are first
 compared with one of them; see ``components.linked``. Prefixes are kept in a written table; whole
@@ -158,10 +158,10 @@ def joined(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, s
     reps = full.groupBy("d1", "d2", "n").agg(F.min("id").alias("rep"))
     copies = full.select("id", "n", "d1", "d2").join(reps, ["d1", "d2", "n"]).filter("id != rep").select("id", "d1", "d2")
     own = full.join(copies, ["id", "d1", "d2"], "left_anti")
-    entries = own.select(F.explode("rare").alias("bucket"), "id", "n")
+    entries = own.select(F.posexplode("rare").alias("pos", "bucket"), "id", "n").select("bucket", "id", "n", "pos")
 
     def verify(pairs: DataFrame) -> DataFrame:
-        near, near_path = written_at(pairs, "candidates")
+        near = pairs
         bitmap = docs.sparkSession.sparkContext.broadcast(_bitmap(near.select(F.col("a").alias("id")).union(near.select("b")).distinct()))
         sets, sets_path = written_at(rows.filter("__id is not null").withColumn("__place", _place(F.col("__id"))).mapInArrow(
             _whole(size, percent, bitmap), "id long, order2 array<long>, order3 array<long>, set array<long>"), "sets")
@@ -170,11 +170,15 @@ def joined(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, s
         both = both.select("a", "b", F.size("set_a").cast("long").alias("p"), F.size("set_b").cast("long").alias("q"),
                            F.size(F.array_intersect("set_a", "set_b")).cast("long").alias("shared"))
         links = checkpointed(both.filter(f"100 * shared >= {percent} * (p + q - shared)").select("a", "b").distinct())
-        removed(docs.sparkSession, near_path, sets_path)
+        removed(docs.sparkSession, sets_path)
         bitmap.destroy()
         return links
 
-    fits = lambda x, y: f"100 * least({x}.n, {y}.n) >= {percent} * greatest({x}.n, {y}.n)"
+    def fits(x: str, y: str) -> str:
+        # sizes, and what can still be shared from the first shared token on (a linked pair passes at that token)
+        rest = f"least({x}.n - {x}.pos, {y}.n - {y}.pos)"
+        return (f"100 * least({x}.n, {y}.n) >= {percent} * greatest({x}.n, {y}.n) and {100 + percent} * {rest} >= {percent} * ({x}.n + {y}.n)")
+
     components, links = linked(entries, verify, fits)
     placed = prefixes.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "d1", "d2").join(
         reps.withColumnRenamed("n", "n_shingles"), ["d1", "d2", "n_shingles"], "left").join(

@@ -184,19 +184,22 @@ def _fit(places: np.ndarray, rounds: int):
     return fit
 
 
-def fitted(train: DataFrame, *, sample: int = SAMPLE) -> Model:
-    """Learn from rows with doc_id, text and toxic (0 or 1; others and null texts are left out).
+def fitted(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE) -> Model:
+    """Learn from the rows of ``docs`` (doc_id, text) that ``labels`` (doc_id, toxic: 0 or 1) covers.
 
-    Counts cover all rows; the field is fitted on the ``sample`` documents of each class that come
-    first by a hash of doc_id, without longer ones than SAMPLE_CHARS.
+    Counts cover all of them; the field is fitted on the ``sample`` documents of each class that
+    come first by a hash of doc_id, among those of at most SAMPLE_CHARS code points.
     """
-    rows = train.filter("toxic in (0, 1) and text is not null").select(
-        F.col("text").alias("__text"), F.col("toxic").cast("long").alias("__toxic"), F.xxhash64(F.col("doc_id").cast("string")).alias("__key"))
-    parts = rows.select("__text", "__toxic").mapInArrow(_presence, "part int, c0 array<int>, c1 array<int>, n0 long, n1 long")
+    labels = labels.filter("toxic in (0, 1)").select("doc_id", F.col("toxic").cast("long").alias("__toxic"))
+    rows = docs.filter("text is not null").select("doc_id", F.col("text").alias("__text"))
+    # labels grow with the documents, so the join is a merge at every size
+    parts = rows.join(labels.hint("merge"), "doc_id").select("__text", "__toxic").mapInArrow(
+        _presence, "part int, c0 array<int>, c1 array<int>, n0 long, n1 long")
     places = [r[0] for r in parts.groupBy("part").applyInArrow(_telling, "place int").collect()]
-    slim = rows.filter(F.length("__text") <= SAMPLE_CHARS).select("__toxic", "__key").distinct()
+    key = F.xxhash64(F.col("doc_id").cast("string"))
+    slim = rows.filter(F.length("__text") <= SAMPLE_CHARS).select("doc_id").join(labels, "doc_id").distinct().withColumn("__key", key)
     keys = slim.filter("__toxic = 0").orderBy("__key").limit(sample).unionByName(slim.filter("__toxic = 1").orderBy("__key").limit(sample))
-    chosen = rows.filter(F.length("__text") <= SAMPLE_CHARS).join(F.broadcast(keys), ["__toxic", "__key"], "left_semi")
+    chosen = rows.filter(F.length("__text") <= SAMPLE_CHARS).join(F.broadcast(keys), "doc_id")
     got = chosen.groupBy(F.lit(1).alias("__one")).applyInArrow(_fit(np.array(sorted(places), dtype=np.int64), ROUNDS), "model binary").collect()
     return pickle.loads(got[0][0]) if got else Model()  # noqa: S301 - written by our own task
 
@@ -246,6 +249,6 @@ def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
 def predictions(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted, spans; learned from rows whose crc32(doc_id) modulo 5 is not 0."""
-    train = docs.select("doc_id", "text").join(labels.select("doc_id", "toxic"), "doc_id").filter(~held_out(F.col("doc_id"), 5, 0))
-    return scored(docs, fitted(train)).select(
+    train = docs.select("doc_id", "text").filter(~held_out(F.col("doc_id"), 5, 0))
+    return scored(docs, fitted(train, labels)).select(
         "doc_id", held_out(F.col("doc_id"), 5, 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "spans")
