@@ -112,7 +112,7 @@ def _prefixed(shared, size: int, percent: int) -> Callable[[Iterator[pa.RecordBa
 def _whole(size: int, percent: int, shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Sets of the rows whose id is on the bitmap, with their prefixes under the second and third order."""
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bitmap = shared.value
+        _, bitmap = shared.value
         for batch in batches:
             place = np.asarray(batch.column("__place"), dtype=np.int64)
             batch = batch.filter(pa.array((bitmap[place >> 5] >> (place & 31).astype(np.uint32)) & 1 == 1))
@@ -127,18 +127,19 @@ def _whole(size: int, percent: int, shared) -> Callable[[Iterator[pa.RecordBatch
     return whole
 
 
-def _place(id_: Column) -> Column:
+def bitmap_place(id_: Column) -> Column:
+    """Place of an id on the bitmap."""
     return F.xxhash64(id_).bitwiseAND((1 << MAP_BITS) - 1)
 
 
-def _bitmap(ids: DataFrame) -> np.ndarray:
-    """Bitmap of the hashed ids of a table with one column ``id``."""
-    place = _place(F.col("id"))
-    words = ids.select(F.shiftright(place, 5).cast("int").alias("word"), F.pow(F.lit(2.0), place.bitwiseAND(31).cast("double")).cast("long").alias("bit"))
+def bitmap_of(places: DataFrame) -> tuple[int, np.ndarray]:
+    """Size and words of a bitmap of the numbers ``place``, taken modulo its size: 2 ** MAP_BITS bits at any input size."""
+    place = F.col("place").bitwiseAND((1 << MAP_BITS) - 1)
+    bit = F.pow(F.lit(2.0), place.bitwiseAND(31).cast("double")).cast("long")
+    got = places.select(F.shiftright(place, 5).cast("int").alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
     out = np.zeros(1 << (MAP_BITS - 5), dtype=np.uint32)
-    got = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
     out[np.asarray(got.column("word"))] = np.asarray(got.column("bits")).astype(np.uint32)
-    return out
+    return 1 << MAP_BITS, out
 
 
 def joined(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, size: int = WORDS, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
@@ -162,8 +163,9 @@ def joined(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, s
 
     def verify(pairs: DataFrame) -> DataFrame:
         near = pairs
-        bitmap = docs.sparkSession.sparkContext.broadcast(_bitmap(near.select(F.col("a").alias("id")).union(near.select("b")).distinct()))
-        sets, sets_path = written_at(rows.filter("__id is not null").withColumn("__place", _place(F.col("__id"))).mapInArrow(
+        ids = near.select(F.col("a").alias("id")).union(near.select("b")).distinct()
+        bitmap = docs.sparkSession.sparkContext.broadcast(bitmap_of(ids.select(bitmap_place(F.col("id")).alias("place"))))
+        sets, sets_path = written_at(rows.filter("__id is not null").withColumn("__place", bitmap_place(F.col("__id"))).mapInArrow(
             _whole(size, percent, bitmap), "id long, order2 array<long>, order3 array<long>, set array<long>"), "sets")
         x, y = [sets.select(F.col("id").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in ("order2", "order3", "set")]) for side in "ab"]
         both = near.join(x, "a").join(y, "b").filter("arrays_overlap(order2_a, order2_b) and arrays_overlap(order3_a, order3_b)")

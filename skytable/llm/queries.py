@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from skytable.llm import ball_tree, bpe, exact_dedup, language, mixing, ngram_join, pii, toxicity, warc
+from skytable.llm import ball_tree, bpe, exact_dedup, language, mixing, ngram_join, paragraphs, pii, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -69,6 +69,11 @@ def op7_pii_semi_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.found(docs, pii.fitted(docs))
 
 
+@query("op8_paragraph_minhash")
+def op8_paragraph_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paragraphs.repeated(table(spark, sf_dir, "documents"))
+
+
 @query("op9_ball_tree_top_k", """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
   WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
