@@ -122,7 +122,8 @@ def fitted(train: DataFrame, *, sample: int = SAMPLE, centroids: int = CENTROIDS
     idf = np.array([np.log((1 + n) / (1 + counts.get(i, 0))) + 1 for i in range(FEATURES)], dtype=np.float32)
     first = Window.partitionBy("__lang").orderBy("__key")
     keys = rows.select("__lang", "__key").distinct().withColumn("__n", F.row_number().over(first)).filter(F.col("__n") <= sample).drop("__n")
-    chosen = rows.join(keys, ["__lang", "__key"], "left_semi")
+    # at most ``sample`` keys a language
+    chosen = rows.join(F.broadcast(keys), ["__lang", "__key"], "left_semi")
     fit = chosen.groupBy("__lang").applyInArrow(_fit(idf, centroids, ROUNDS), "lang string, no int, centroid array<float>")
     got = sorted((r["lang"], r["no"], r["centroid"]) for r in fit.collect())
     return Model(idf, np.array([c for _, _, c in got], dtype=np.float32).reshape(-1, FEATURES), [lang for lang, _, _ in got])
