@@ -6,6 +6,11 @@ of the words. A node's signature has HASHES minima, cut into bands whose number
 so that a pair at the wanted similarity shares a band with at least RECALL probability. Nodes that
 share a band meet as in ``components.linked``; pairs are proven on the whole shingle sets, which are
 made again for candidates only (picked by a bitmap of fixed size during a scan).
+
+A passage that is copied into the middle of different lines makes neither line a near copy. For it,
+runs of WINDOW words are taken as paragraphs of their own, wherever lines end: of every SPREAD runs
+in a row the one with the least hash, so that any WINDOW + SPREAD - 1 words in common have one in
+common. Equal runs in different documents meet by their hash (their similarity is 1).
 """
 
 from __future__ import annotations
@@ -20,13 +25,14 @@ from pyspark.sql import functions as F
 from skytable.functions.storage import checkpointed, removed, written, written_at
 from skytable.llm.components import linked
 from skytable.llm.ngram_join import bitmap_of
-from skytable.llm.words import Words, mixed, shingles, steps
+from skytable.llm.words import Words, mixed, powers, shingles, steps, BACK, BASE
 
 LEAST_WORDS = 40
 SIZE = 5
 PERCENT = 80
 HASHES = 64
 RECALL = 0.999
+WINDOW, SPREAD = 32, 20
 _MAX_PIECES = 4096
 
 
@@ -115,17 +121,74 @@ def _sets(least: int, size: int, shared) -> Callable[[Iterator[pa.RecordBatch]],
     return whole
 
 
+def _windows(window: int, spread: int, shared=None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Chosen runs of words: hash and doc_id; with a bitmap of hashes, only those on it, with their places."""
+    highest = np.uint64(0xFFFFFFFFFFFFFFFF)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, texts in steps(batch, "__text"):
+                w = Words(texts)
+                n = len(w.start)
+                if n < window:
+                    continue
+                total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(w.hashes * powers(BASE, n)[:n], dtype=np.uint64)])
+                h = mixed((total[window:] - total[:-window]) * powers(BACK, n)[:n - window + 1])
+                of = np.repeat(np.arange(len(texts)), w.counts())
+                inside = of[window - 1:] == of[:n - window + 1]
+                h = np.where(inside, h, highest)
+                wide = np.concatenate([np.full(spread - 1, highest), h, np.full(spread - 1, highest)])
+                least = np.lib.stride_tricks.sliding_window_view(wide, spread).min(axis=1)
+                # chosen if it is the least of any of the stretches that hold it
+                at = np.flatnonzero(inside & (np.lib.stride_tricks.sliding_window_view(least, spread).max(axis=1) == h))
+                if shared is None:
+                    yield pa.RecordBatch.from_arrays([_signed(h[at]), part.column("__id").take(pa.array(of[at]))], ["hash", "doc_id"])
+                    continue
+                places, bits = shared.value
+                place = (h[at] & np.uint64(places - 1)).astype(np.int64)
+                at = at[(bits[place >> 5] >> (place & 31).astype(np.uint32)) & 1 == 1]
+                text = of[at]
+                points = np.concatenate([np.zeros(1, np.int64), np.cumsum((w.joined & 0xC0) != 0x80)])
+                lines = np.cumsum(w.joined == 10)
+                begin = points[w.text_start[text]]
+                line = lines[w.start[at]] - np.where(w.text_start[text] > 0, lines[w.text_start[text] - 1], 0)
+                rows = pa.array(text)
+                yield pa.RecordBatch.from_arrays(
+                    [_signed(h[at]), part.column("__id").take(rows), part.column("__key").take(rows), pa.array(line),
+                     pa.array(points[w.start[at]] - begin), pa.array(points[w.end[at + window - 1]] - begin)],
+                    ["hash", "doc_id", "text_key", "paragraph", "start", "end"])
+    return run
+
+
+def _passages(rows: DataFrame, classed: DataFrame, window: int, spread: int) -> DataFrame:
+    """Runs of words that other documents have too, outside of lines that are in a class: spans by line and kept place."""
+    spark = rows.sparkSession
+    known = rows.filter("__id is not null")
+    hashes = known.mapInArrow(_windows(window, spread), "hash long, doc_id long").groupBy("hash").agg(F.min("doc_id").alias("p"), F.max("doc_id").alias("q"))
+    hashes = written(hashes.filter("p != q").select("hash"), "windows")
+    bitmap = spark.sparkContext.broadcast(bitmap_of(hashes.select(F.col("hash").alias("place"))))
+    found = known.mapInArrow(_windows(window, spread, bitmap), "hash long, doc_id long, text_key long, paragraph long, start long, end long")
+    found = written(found.join(hashes, "hash", "left_semi"), "window-places")
+    first = found.groupBy("hash").agg(F.min(F.struct("doc_id", "paragraph")).alias("first"), F.count("*").alias("n"))
+    open_ = found.join(classed.select("doc_id", "text_key", "paragraph"), ["doc_id", "text_key", "paragraph"], "left_anti")
+    spans = open_.join(first, "hash").groupBy("doc_id", "text_key", "paragraph", "first").agg(
+        F.min("start").alias("start"), F.max("end").alias("end"), F.max("n").alias("class_size"), F.count("*").alias("k"))
+    return spans.select("doc_id", "text_key", "paragraph", "start", "end", F.lit(window).cast("long").alias("n_words"), "class_size",
+                        F.col("first.doc_id").alias("keep_doc_id"), F.col("first.paragraph").alias("keep_paragraph"), F.lit("passage").alias("unit"))
+
+
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = F.coalesce(F.col(text_col), F.lit(""))
     return docs.select(F.col(id_col).cast("long").alias("__id"), F.xxhash64(text).alias("__key"), text.alias("__text"))
 
 
 def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, least: int = LEAST_WORDS, size: int = SIZE, percent: int = PERCENT) -> DataFrame:
-    """Every paragraph that has a copy or near copy elsewhere, one row each.
+    """Every paragraph that has a copy or near copy elsewhere, and every passage within others, one row each.
 
-    doc_id, text_key (xxhash64 of the text), paragraph (line number from 0), start, end (code points
+    unit (paragraph or passage), doc_id, text_key (xxhash64 of the text), paragraph (line number from 0), start, end (code points
     of the text), n_words, class_size, keep_doc_id, keep_paragraph (the class's first paragraph by
-    doc_id, null last, and number), removed (all but that one). Shorter paragraphs, null and empty
+    doc_id, null last, and number), removed (all but that one). A passage has the line in which it
+    begins, the range of its runs and at least n_words words. Shorter paragraphs, null and empty
     texts give no rows. Rows that repeat a doc_id and text repeat its paragraphs; those of the kept
     place all stay.
     """
@@ -153,13 +216,16 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "paragraph"))
     classes = placed.groupBy("class").agg(F.count("*").alias("class_size"), first.alias("first")).filter("class_size > 1")
     out = placed.join(classes, "class").select(
-        "doc_id", "text_key", "paragraph", "start", "end", "n_words", "class_size", F.col("first.doc_id").alias("keep_doc_id"), F.col("first.paragraph").alias("keep_paragraph"))
+        "doc_id", "text_key", "paragraph", "start", "end", "n_words", "class_size", F.col("first.doc_id").alias("keep_doc_id"),
+        F.col("first.paragraph").alias("keep_paragraph"), F.lit("paragraph").alias("unit"))
+    out = written(out, "paragraph-classes")
+    out = out.unionByName(_passages(rows, out, WINDOW, SPREAD))
     return out.withColumn("removed", ~(F.col("doc_id").eqNullSafe(F.col("keep_doc_id")) & (F.col("paragraph") == F.col("keep_paragraph"))))
 
 
 def cleaned(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the paragraphs that ``found`` (of ``repeated``) removes; other texts are as they were."""
-    gone = found.filter("removed").groupBy("doc_id", "text_key").agg(F.collect_set("paragraph").alias("__gone"))
+    """``docs`` without the paragraphs that ``found`` (of ``repeated``) removes; passages inside of lines and other texts stay as they were."""
+    gone = found.filter("removed and unit = 'paragraph'").groupBy("doc_id", "text_key").agg(F.collect_set("paragraph").alias("__gone"))
     gone = gone.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), "__gone")
     keyed = docs.withColumn("__own", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
     both = keyed.join(gone, (keyed["__own"] == gone["__key"]) & keyed[id_col].eqNullSafe(gone["__id"]), "left")

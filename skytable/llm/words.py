@@ -35,11 +35,11 @@ def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     return lower, white, other, mixed(np.arange(256, dtype=np.uint64)) | np.uint64(1)
 
 
-_BASE = 0xD1342543DE82EF95
-_BACK = pow(_BASE, -1, 1 << 64)
+BASE = 0xD1342543DE82EF95
+BACK = pow(BASE, -1, 1 << 64)
 
 
-def _powers(base: int, n: int) -> np.ndarray:
+def powers(base: int, n: int) -> np.ndarray:
     """Powers 0 .. n of an odd number, modulo 2 to the 64."""
     p = np.full(n + 1, base, dtype=np.uint64)
     p[0] = 1
@@ -62,8 +62,8 @@ class Words:
         inside = ~(other if letters else white)[joined]
         change = np.flatnonzero(np.diff(inside.view(np.int8), prepend=np.int8(0), append=np.int8(0)))
         self.start, self.end = change[::2], change[1::2]
-        powers, self._back = _powers(_BASE, len(joined)), _powers(_BACK, len(joined))
-        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(value[self.joined] * powers[:len(joined)], dtype=np.uint64)])
+        power, self._back = powers(BASE, len(joined)), powers(BACK, len(joined))
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(value[self.joined] * power[:len(joined)], dtype=np.uint64)])
         self._total = total
         # the sum over a word, divided by the power at its start: words of equal bytes are equal wherever they stand
         raw = (total[self.end] - total[self.start]) * self._back[self.start]
