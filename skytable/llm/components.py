@@ -42,18 +42,23 @@ def components(edges: DataFrame) -> DataFrame:
         now.select(F.col("a").alias("id"), F.col("a").alias("component")).distinct())
 
 
-def linked(entries: DataFrame, verify: Callable[[DataFrame], DataFrame], fits: Callable[[str, str], str] | None = None) -> tuple[DataFrame, DataFrame]:
+def linked(entries: DataFrame, verify: Callable[[DataFrame], DataFrame], fits: Callable[[str, str], str] | None = None,
+           more: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Components of the links among ids that share a bucket: (id, component) and the links found (a, b).
 
-    ``entries`` has bucket, id and what ``fits`` reads; ``verify`` takes pairs (a < b) and returns
+    ``entries`` has bucket, id and what ``fits`` reads of it; ``more`` has one row for each id with what
+    else it reads, and is met only where a bucket has two ids; ``verify`` takes pairs (a < b) and returns
     those that are links, already written or checkpointed. Only connection matters, so a bucket first compares all its members with
     one of them (a different one each round) and drops out once its members are connected. When few
     pairs are left apart, or a round finds few links, or after STAR_ROUNDS, all pairs of members that are still apart are
     compared: no link between two components can be missed.
     """
-    more = [c for c in entries.columns if c not in ("bucket", "id")]
     busy = entries.groupBy("bucket").agg(F.min("id").alias("p"), F.max("id").alias("q")).filter("p != q").select("bucket")
-    rows = checkpointed(entries.join(busy, "bucket").distinct().withColumn("component", F.col("id")))
+    rows = entries.join(busy, "bucket").distinct()
+    if more is not None:
+        rows = rows.join(more, "id")
+    rows = checkpointed(rows.withColumn("component", F.col("id")))
+    carried = [c for c in rows.columns if c not in ("bucket", "id", "component")]
     found: DataFrame | None = None
     fruitful = True
     for round_ in range(STAR_ROUNDS + 1):
@@ -69,7 +74,7 @@ def linked(entries: DataFrame, verify: Callable[[DataFrame], DataFrame], fits: C
             pairs = a.join(b, F.expr(f"{apart} and x.id < y.id" + (f" and {fits('x', 'y')}" if fits else ""))).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
         else:
             key = F.struct(F.xxhash64(F.lit(round_), "component") if round_ else F.lit(0).cast("long"), F.col("id"))
-            middle = rows.groupBy("bucket").agg(F.min_by(F.struct("id", "component", *more), key).alias("m")).select("bucket", "m.*").alias("x")
+            middle = rows.groupBy("bucket").agg(F.min_by(F.struct("id", "component", *carried), key).alias("m")).select("bucket", "m.*").alias("x")
             pairs = middle.join(b, F.expr(apart + (f" and {fits('x', 'y')}" if fits else ""))).select(
                 F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
         pairs = checkpointed(pairs.distinct())

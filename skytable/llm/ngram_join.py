@@ -4,7 +4,7 @@ A document is the set of its 3-word shingles. Two sets of Jaccard similarity t s
 the first n - ceil(t n) + 1 tokens of each, under any order of all tokens. Three orders are used:
 rare tokens first (by a count-min row over all documents; any function of the token is a valid order,
 so the counts need not be exact), and two orders by independent hashes. Buckets of the first order
-propose pairs whose sizes and places in the order leave enough to share; a pair goes on only if it also shares prefix tokens under the second and third order;
+propose pairs whose sizes, places in the order and parity bitmaps leave enough to share; a pair goes on only if it also shares prefix tokens under the second and third order;
 then the shingle sets themselves are compared.
 
 Documents of equal sets are one node. Only connection is asked for, so members of a bucket are first
@@ -38,6 +38,7 @@ _BITS = np.uint64(52)
 _LOW = np.uint64((1 << 52) - 1)
 _ORDERS = (np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB))
 _PIECES = 4096
+_PARITY = [f"p{k}" for k in range(4)]
 
 
 def _sets(texts: list[bytes], size: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -102,10 +103,13 @@ def _prefixed(shared, size: int, percent: int) -> Callable[[Iterator[pa.RecordBa
                     rare = np.sort(piece | (rank << np.uint64(44)) | (h & np.uint64((1 << 44) - 1)))[at] & _LOW
                     digest = [np.add.reduceat(np.append(mixed(h ^ c), np.uint64(0)), ends[:-1]) for c in (np.uint64(1), np.uint64(2))]
                     digest = [np.where(n > 0, d, np.uint64(0)).view(np.int64) for d in digest]
+                    # 256 bits: how often each residue occurs in the set, modulo 2
+                    odd = np.bincount(((keys >> _BITS) << np.uint64(8) | (h & np.uint64(255))).astype(np.int64), minlength=len(n) * 256) & 1
+                    parity = np.packbits(odd.astype(np.uint8).reshape(len(n), 256), axis=1).view(np.int64)
                     yield pa.RecordBatch.from_arrays(
                         [part.slice(i, len(n)).column("__id"), pa.array(n, pa.int64()), *[pa.array(d) for d in digest],
-                         _lists(rare.astype(np.int64), take, pa.int64())],
-                        ["id", "n", "d1", "d2", "rare"])
+                         _lists(rare.astype(np.int64), take, pa.int64()), *[pa.array(np.ascontiguousarray(parity[:, k])) for k in range(4)]],
+                        ["id", "n", "d1", "d2", "rare", *_PARITY])
     return prefixes
 
 
@@ -154,12 +158,13 @@ def joined(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, s
     rows = docs.select(F.col(id_col).cast("long").alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
     classes = docs.sparkSession.sparkContext.broadcast(rarity(rows.select("__text"), size))
     prefixes = written(rows.mapInArrow(_prefixed(classes, size, percent),
-                                       "id long, n long, d1 long, d2 long, rare array<long>"), "prefixes")
+                                       "id long, n long, d1 long, d2 long, rare array<long>, " + ", ".join(f"{c} long" for c in _PARITY)), "prefixes")
     full = prefixes.filter("n > 0 and id is not null")
     reps = full.groupBy("d1", "d2", "n").agg(F.min("id").alias("rep"))
     copies = full.select("id", "n", "d1", "d2").join(reps, ["d1", "d2", "n"]).filter("id != rep").select("id", "d1", "d2")
     own = full.join(copies, ["id", "d1", "d2"], "left_anti")
-    entries = own.select(F.posexplode("rare").alias("pos", "bucket"), "id", "n").select("bucket", "id", "n", "pos")
+    entries = own.select(F.posexplode("rare").alias("pos", "bucket"), "id").select("bucket", "id", "pos")
+    more = own.select("id", "n", *_PARITY).distinct()
 
     def verify(pairs: DataFrame) -> DataFrame:
         near = pairs
@@ -177,11 +182,14 @@ def joined(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, s
         return links
 
     def fits(x: str, y: str) -> str:
-        # sizes, and what can still be shared from the first shared token on (a linked pair passes at that token)
+        # sizes; what can still be shared from the first shared token on (a linked pair passes at that token); and
+        # parities: each token that only one set has turns one bit, so no pair differs in more bits than tokens
         rest = f"least({x}.n - {x}.pos, {y}.n - {y}.pos)"
-        return (f"100 * least({x}.n, {y}.n) >= {percent} * greatest({x}.n, {y}.n) and {100 + percent} * {rest} >= {percent} * ({x}.n + {y}.n)")
+        differ = " + ".join(f"bit_count({x}.{c} ^ {y}.{c})" for c in _PARITY)
+        return (f"100 * least({x}.n, {y}.n) >= {percent} * greatest({x}.n, {y}.n) and {100 + percent} * {rest} >= {percent} * ({x}.n + {y}.n) "
+                f"and {100 + percent} * ({differ}) <= {100 - percent} * ({x}.n + {y}.n)")
 
-    components, links = linked(entries, verify, fits)
+    components, links = linked(entries, verify, fits, more)
     placed = prefixes.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "d1", "d2").join(
         reps.withColumnRenamed("n", "n_shingles"), ["d1", "d2", "n_shingles"], "left").join(
         components.select(F.col("id").alias("rep"), "component"), "rep", "left")

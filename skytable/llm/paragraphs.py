@@ -4,7 +4,7 @@ A paragraph is a line of a text with at least LEAST_WORDS words (A-Z as a-z, bet
 its set holds its 5-word shingles. Paragraphs of the same words are one node, named by a 64-bit hash
 of the words. A node's signature has HASHES minima, cut into bands whose number and width are chosen
 so that a pair at the wanted similarity shares a band with at least RECALL probability. Nodes that
-share a band meet as in ``components.linked``; pairs are proven on the whole shingle sets, which are
+share a band, and agree on enough low bits of their minima, meet as in ``components.linked``; pairs are proven on the whole shingle sets, which are
 made again for candidates only (picked by a bitmap of fixed size during a scan).
 
 A passage that is copied into the middle of different lines makes neither line a near copy. For it,
@@ -32,10 +32,16 @@ SIZE = 5
 PERCENT = 80
 HASHES = 64
 RECALL = 0.999
+# Low bits of each minimum that a pair must mostly agree on before it is proven, and how many of the
+# HASHES minima must agree: 3.4 standard deviations under what is expected at the limit.
+SKETCH_BITS, LEAST_AGREEING = 4, 42
 WINDOW, SPREAD = 32, 20
 _MAX_PIECES = 4096
 
 
+_SKETCH = [f"s{j}" for j in range(SKETCH_BITS)]
+
+
 def banding(hashes: int = HASHES, percent: int = PERCENT, recall: float = RECALL) -> tuple[int, int]:
     """Bands and rows: the widest bands that still find a pair at the limit with the wanted probability."""
     for rows in range(hashes, 0, -1):
@@ -89,17 +95,21 @@ def _signatures(least: int, size: int, bands: int, rows: int) -> Callable[[Itera
                 h, of = p.shingles(np.arange(len(p.text)))
                 cuts = np.searchsorted(of, np.arange(len(p.text)))
                 keys = np.empty((len(p.text), bands), dtype=np.uint64)
+                sketch = np.zeros((SKETCH_BITS, len(p.text)), dtype=np.uint64)
                 for band in range(bands):
                     key = np.full(len(p.text), band, dtype=np.uint64)
                     for k in range(band * rows, (band + 1) * rows):
-                        key = mixed(key ^ np.minimum.reduceat(h * factors[2 * k] + factors[2 * k + 1] >> np.uint64(16), cuts))
+                        least_hash = mixed(np.minimum.reduceat(h * factors[2 * k] + factors[2 * k + 1] >> np.uint64(16), cuts))
+                        key = mixed(key ^ least_hash)
+                        for j in range(SKETCH_BITS):
+                            sketch[j] |= ((least_hash >> np.uint64(j)) & np.uint64(1)) << np.uint64(k)
                     keys[:, band] = key
                 at = pa.array(p.text)
                 ends = np.arange(0, len(p.text) * bands + 1, bands, dtype=np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [part.column("__id").take(at), part.column("__key").take(at), pa.array(p.number), pa.array(p.start), pa.array(p.end), pa.array(p.words), _signed(p.id),
-                     pa.ListArray.from_arrays(pa.array(ends), _signed(keys.reshape(-1)))],
-                    ["doc_id", "text_key", "paragraph", "start", "end", "n_words", "id", "bands"])
+                     pa.ListArray.from_arrays(pa.array(ends), _signed(keys.reshape(-1))), *[_signed(x) for x in sketch]],
+                    ["doc_id", "text_key", "paragraph", "start", "end", "n_words", "id", "bands", *_SKETCH])
     return sign
 
 
@@ -196,7 +206,8 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
     rows = _rows(docs, id_col, text_col)
     paras = written(rows.mapInArrow(
         _signatures(least, size, bands, width),
-        "doc_id long, text_key long, paragraph long, start long, end long, n_words long, id long, bands array<long>"), "paragraphs")
+        "doc_id long, text_key long, paragraph long, start long, end long, n_words long, id long, bands array<long>, "
+        + ", ".join(f"{c} long" for c in _SKETCH)), "paragraphs")
 
     def verify(pairs: DataFrame) -> DataFrame:
         ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
@@ -209,10 +220,14 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
         bitmap.destroy()
         return links
 
-    fits = lambda x, y: f"100 * least({x}.n, {y}.n) >= {percent} * greatest({x}.n, {y}.n) - 100 * {size}"
-    entries = paras.select(F.explode("bands").alias("bucket"), "id", F.col("n_words").alias("n"))
-    components, _ = linked(entries, verify, fits)
-    placed = paras.drop("bands").join(components, "id", "left").withColumn("class", F.coalesce("component", "id"))
+    def fits(x: str, y: str) -> str:
+        differ = " | ".join(f"({x}.{c} ^ {y}.{c})" for c in _SKETCH)
+        return f"100 * least({x}.n, {y}.n) >= {percent} * greatest({x}.n, {y}.n) - 100 * {size} and bit_count({differ}) <= {HASHES - LEAST_AGREEING}"
+
+    entries = paras.select(F.explode("bands").alias("bucket"), "id")
+    more = paras.select("id", F.col("n_words").alias("n"), *_SKETCH).dropDuplicates(["id"])
+    components, _ = linked(entries, verify, fits, more)
+    placed = paras.drop("bands", *_SKETCH).join(components, "id", "left").withColumn("class", F.coalesce("component", "id"))
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "paragraph"))
     classes = placed.groupBy("class").agg(F.count("*").alias("class_size"), first.alias("first")).filter("class_size > 1")
     out = placed.join(classes, "class").select(

@@ -9,7 +9,7 @@ for training and takes the best one, boundaries and kinds together, for tagging.
 
 It is trained on the islands of at most SAMPLE documents that have base spans, labelled by them, and
 on variants of those spans that the base patterns do not cover (a phone number without its country
-code or in other separators, an address with spaces around the at sign, a card number in dots), so
+code or in other separators, a card number in dots), so
 that it learns what such spans look like. A found span is added if it does not touch a base span, its
 marginal is at least LEAST_SURE, and its own checks (digit counts, octets, Luhn) do not speak against it.
 """
@@ -234,13 +234,13 @@ def _variants(text: str, spans: list[tuple[str, int, int]]) -> Iterator[tuple[st
             bare = re.sub(r"^\+[0-9]+ ?", "", old)
             digits = _digits(bare)
             new = [bare] + ([f"{digits[:-7]}-{digits[-7:-4]}-{digits[-4:]}", f"{digits[:-7]}.{digits[-7:-4]}.{digits[-4:]}"] if len(digits) >= 9 else [])
-        elif kind == "email":
-            new = [old.replace("@", " @ ")]
         elif kind == "card":
             d = _digits(old)
             new = [f"{d[:4]}.{d[4:8]}.{d[8:12]}.{d[12:]}"]
         for form in new:
-            left, right = text[max(0, a - 40):a], text[b:b + 40]
+            # plain words around it only: what else is personal there has no label here
+            left = re.sub(r"(?s)^.*[0-9@]\S*", "", text[max(0, a - 40):a])
+            right = re.sub(r"(?s)\S*[0-9@].*$", "", text[b:b + 40])
             yield f"{left}{form}{right}", [(kind, len(left), len(left) + len(form))]
 
 
