@@ -4,7 +4,7 @@ A paragraph is a line of a text with at least LEAST_WORDS words (A-Z as a-z, bet
 its set holds its 5-word shingles. Paragraphs of the same words are one node, named by a 64-bit hash
 of the words. A node's signature has HASHES minima, cut into bands whose number and width are chosen
 so that a pair at the wanted similarity shares a band with at least RECALL probability. Nodes that
-share a band, and agree on enough low bits of their minima, meet as in ``components.linked``; pairs are proven on the whole shingle sets, which are
+share a band, and whose sizes and parity bitmaps allow the similarity, meet as in ``components.linked``; pairs are proven on the whole shingle sets, which are
 made again for candidates only (picked by a bitmap of fixed size during a scan).
 
 A passage that is copied into the middle of different lines makes neither line a near copy. For it,
@@ -32,14 +32,12 @@ SIZE = 5
 PERCENT = 80
 HASHES = 64
 RECALL = 0.999
-# Low bits of each minimum that a pair must mostly agree on before it is proven, and how many of the
-# HASHES minima must agree: 3.4 standard deviations under what is expected at the limit.
-SKETCH_BITS, LEAST_AGREEING = 4, 42
 WINDOW, SPREAD = 32, 20
 _MAX_PIECES = 4096
 
 
-_SKETCH = [f"s{j}" for j in range(SKETCH_BITS)]
+_PARITY = [f"p{k}" for k in range(4)]
+_BITS, _LOW = np.uint64(52), np.uint64((1 << 52) - 1)
 
 
 def banding(hashes: int = HASHES, percent: int = PERCENT, recall: float = RECALL) -> tuple[int, int]:
@@ -74,9 +72,11 @@ class Paragraphs:
         self.id = mixed(np.add.reduceat(each, cuts)) if len(cuts) else np.zeros(0, np.uint64)
         self._words, self._size = w.hashes, size
 
-    def shingles(self, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Shingle hashes of the paragraphs ``keep`` and the place in ``keep`` of each."""
-        return shingles(self._words, self.first[keep], self.last[keep], self._size)
+    def sets(self, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct shingles of at most _MAX_PIECES paragraphs as place << 52 | hash, sorted, and where each set begins and ends."""
+        h, of = shingles(self._words, self.first[keep], self.last[keep], self._size)
+        both = np.unique((of.astype(np.uint64) << _BITS) | (h >> np.uint64(12)))
+        return both, np.searchsorted(both, np.arange(len(keep) + 1, dtype=np.uint64) << _BITS)
 
 
 def _signed(x: np.ndarray) -> pa.Array:
@@ -92,24 +92,26 @@ def _signatures(least: int, size: int, bands: int, rows: int) -> Callable[[Itera
                 p = Paragraphs(texts, least, size)
                 if not len(p.text):
                     continue
-                h, of = p.shingles(np.arange(len(p.text)))
-                cuts = np.searchsorted(of, np.arange(len(p.text)))
+                n, parity = np.empty(len(p.text), dtype=np.int64), np.empty((len(p.text), 4), dtype=np.int64)
                 keys = np.empty((len(p.text), bands), dtype=np.uint64)
-                sketch = np.zeros((SKETCH_BITS, len(p.text)), dtype=np.uint64)
-                for band in range(bands):
-                    key = np.full(len(p.text), band, dtype=np.uint64)
-                    for k in range(band * rows, (band + 1) * rows):
-                        least_hash = mixed(np.minimum.reduceat(h * factors[2 * k] + factors[2 * k + 1] >> np.uint64(16), cuts))
-                        key = mixed(key ^ least_hash)
-                        for j in range(SKETCH_BITS):
-                            sketch[j] |= ((least_hash >> np.uint64(j)) & np.uint64(1)) << np.uint64(k)
-                    keys[:, band] = key
+                for i in range(0, len(p.text), _MAX_PIECES):
+                    some = slice(i, min(i + _MAX_PIECES, len(p.text)))
+                    both, ends = p.sets(np.arange(some.start, some.stop))
+                    h, of, cuts = both & _LOW, (both >> _BITS).astype(np.int64), ends[:-1]
+                    n[some] = np.diff(ends)
+                    odd = np.bincount(of << 8 | (h & np.uint64(255)).astype(np.int64), minlength=len(cuts) * 256) & 1
+                    parity[some] = np.packbits(odd.astype(np.uint8).reshape(len(cuts), 256), axis=1).view(np.int64)
+                    for band in range(bands):
+                        key = np.full(len(cuts), band, dtype=np.uint64)
+                        for k in range(band * rows, (band + 1) * rows):
+                            key = mixed(key ^ np.minimum.reduceat(h * factors[2 * k] + factors[2 * k + 1] >> np.uint64(12), cuts))
+                        keys[some, band] = key
                 at = pa.array(p.text)
                 ends = np.arange(0, len(p.text) * bands + 1, bands, dtype=np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [part.column("__id").take(at), part.column("__key").take(at), pa.array(p.number), pa.array(p.start), pa.array(p.end), pa.array(p.words), _signed(p.id),
-                     pa.ListArray.from_arrays(pa.array(ends), _signed(keys.reshape(-1))), *[_signed(x) for x in sketch]],
-                    ["doc_id", "text_key", "paragraph", "start", "end", "n_words", "id", "bands", *_SKETCH])
+                     pa.ListArray.from_arrays(pa.array(ends), _signed(keys.reshape(-1))), pa.array(n), *[pa.array(np.ascontiguousarray(parity[:, k])) for k in range(4)]],
+                    ["doc_id", "text_key", "paragraph", "start", "end", "n_words", "id", "bands", "n", *_PARITY])
     return sign
 
 
@@ -124,10 +126,8 @@ def _sets(least: int, size: int, shared) -> Callable[[Iterator[pa.RecordBatch]],
                 keep = first[(bits[place[first] >> 5] >> (place[first] & 31).astype(np.uint32)) & 1 == 1]
                 for i in range(0, len(keep), _MAX_PIECES):
                     some = keep[i:i + _MAX_PIECES]
-                    h, of = p.shingles(some)
-                    pair = np.unique((of.astype(np.uint64) << np.uint64(52)) | (h >> np.uint64(12)))
-                    ends = np.searchsorted(pair, np.arange(len(some) + 1, dtype=np.uint64) << np.uint64(52)).astype(np.int32)
-                    yield pa.RecordBatch.from_arrays([_signed(p.id[some]), pa.ListArray.from_arrays(pa.array(ends), _signed(pair & np.uint64((1 << 52) - 1)))], ["id", "set"])
+                    pair, ends = p.sets(some)
+                    yield pa.RecordBatch.from_arrays([_signed(p.id[some]), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), _signed(pair & _LOW))], ["id", "set"])
     return whole
 
 
@@ -206,8 +206,8 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
     rows = _rows(docs, id_col, text_col)
     paras = written(rows.mapInArrow(
         _signatures(least, size, bands, width),
-        "doc_id long, text_key long, paragraph long, start long, end long, n_words long, id long, bands array<long>, "
-        + ", ".join(f"{c} long" for c in _SKETCH)), "paragraphs")
+        "doc_id long, text_key long, paragraph long, start long, end long, n_words long, id long, bands array<long>, n long, "
+        + ", ".join(f"{c} long" for c in _PARITY)), "paragraphs")
 
     def verify(pairs: DataFrame) -> DataFrame:
         ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
@@ -221,13 +221,15 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
         return links
 
     def fits(x: str, y: str) -> str:
-        differ = " | ".join(f"({x}.{c} ^ {y}.{c})" for c in _SKETCH)
-        return f"100 * least({x}.n, {y}.n) >= {percent} * greatest({x}.n, {y}.n) - 100 * {size} and bit_count({differ}) <= {HASHES - LEAST_AGREEING}"
+        # sizes; and parities: each shingle that only one set has turns one bit, so no pair differs in more bits than shingles
+        differ = " + ".join(f"bit_count({x}.{c} ^ {y}.{c})" for c in _PARITY)
+        return (f"100 * least({x}.n, {y}.n) >= {percent} * greatest({x}.n, {y}.n) "
+                f"and {100 + percent} * ({differ}) <= {100 - percent} * ({x}.n + {y}.n)")
 
     entries = paras.select(F.explode("bands").alias("bucket"), "id")
-    more = paras.select("id", F.col("n_words").alias("n"), *_SKETCH).dropDuplicates(["id"])
+    more = paras.select("id", "n", *_PARITY).dropDuplicates(["id"])
     components, _ = linked(entries, verify, fits, more)
-    placed = paras.drop("bands", *_SKETCH).join(components, "id", "left").withColumn("class", F.coalesce("component", "id"))
+    placed = paras.drop("bands", "n", *_PARITY).join(components, "id", "left").withColumn("class", F.coalesce("component", "id"))
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "paragraph"))
     classes = placed.groupBy("class").agg(F.count("*").alias("class_size"), first.alias("first")).filter("class_size > 1")
     out = placed.join(classes, "class").select(
