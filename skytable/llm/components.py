@@ -54,9 +54,10 @@ def linked(entries: DataFrame, verify: Callable[[DataFrame], DataFrame], fits: C
     compared: no link between two components can be missed.
     """
     busy = entries.groupBy("bucket").agg(F.min("id").alias("p"), F.max("id").alias("q")).filter("p != q").select("bucket")
-    rows = entries.join(busy, "bucket").distinct()
+    # by merges at every size: what is busy grows with the entries
+    rows = entries.join(busy.hint("merge"), "bucket").distinct()
     if more is not None:
-        rows = rows.join(more, "id")
+        rows = rows.join(more.hint("merge"), "id")
     rows = checkpointed(rows.withColumn("component", F.col("id")))
     carried = [c for c in rows.columns if c not in ("bucket", "id", "component")]
     found: DataFrame | None = None

@@ -30,7 +30,7 @@ from skytable.llm.words import Words, mixed, shingles, steps
 WORDS = 3
 # Two documents link when PERCENT * union <= 100 * intersection.
 PERCENT = 90
-BINS = 18
+BINS = 16
 PARTS = 64
 # Bits of the candidates' bitmap (2 ** MAP_BITS), as words of 32.
 MAP_BITS = 24
@@ -66,12 +66,12 @@ def _counted(size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
                 for _, keys, _ in _sets(texts, size):
                     total += np.bincount(((keys & _LOW) >> np.uint64(52 - BINS)).astype(np.int64), minlength=1 << BINS)
         if total.any():
-            yield pa.RecordBatch.from_pydict({"part": pa.array(range(PARTS), pa.int32()), "n": pa.array(list(total.reshape(PARTS, -1)), pa.list_(pa.int64()))})
+            yield pa.RecordBatch.from_pydict({"part": pa.array(range(PARTS), pa.int32()), "n": pa.array(list(total.astype(np.int32).reshape(PARTS, -1)), pa.list_(pa.int32()))})
     return count
 
 
 def _added(table: pa.Table) -> pa.Table:
-    total = np.stack([c.as_py() for c in table.column("n")]).sum(axis=0)
+    total = np.stack([np.asarray(c.as_py(), dtype=np.int64) for c in table.column("n")]).sum(axis=0)
     return pa.table({"part": pa.array([table.column("part")[0].as_py()], pa.int32()), "n": pa.array([total], pa.list_(pa.int64()))})
 
 
@@ -81,9 +81,15 @@ def _prefix(n: np.ndarray, ends: np.ndarray, percent: int) -> tuple[np.ndarray,
     return take, np.repeat(ends[:-1], take) + np.arange(take.sum()) - np.repeat(np.cumsum(take) - take, take)
 
 
+def _digest(h: np.ndarray, ends: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """64-bit digest of each set: the sum of its scrambled tokens, scrambled with its size."""
+    total = np.add.reduceat(np.append(mixed(h), np.uint64(0)), ends[:-1])
+    return mixed(np.where(n > 0, total, np.uint64(0)) ^ mixed(n.astype(np.uint64))).view(np.int64)
+
+
 def rarity(texts: DataFrame, size: int) -> np.ndarray:
     """Class of each bin, rare first: the rounded logarithm of how many documents meet it. 2 ** BINS bytes at any input size."""
-    parts = texts.mapInArrow(_counted(size), "part int, n array<long>").groupBy("part").applyInArrow(_added, "part int, n array<long>").collect()
+    parts = texts.mapInArrow(_counted(size), "part int, n array<int>").groupBy("part").applyInArrow(_added, "part int, n array<long>").collect()
     total = np.zeros((PARTS, (1 << BINS) // PARTS))
     for r in parts:
         total[r["part"]] = r["n"]
@@ -101,15 +107,14 @@ def _prefixed(shared, size: int, percent: int) -> Callable[[Iterator[pa.RecordBa
                     take, at = _prefix(n, ends, percent)
                     rank = classes[(h >> np.uint64(52 - BINS)).astype(np.int64)].astype(np.uint64)
                     rare = np.sort(piece | (rank << np.uint64(44)) | (h & np.uint64((1 << 44) - 1)))[at] & _LOW
-                    digest = [np.add.reduceat(np.append(mixed(h ^ c), np.uint64(0)), ends[:-1]) for c in (np.uint64(1), np.uint64(2))]
-                    digest = [np.where(n > 0, d, np.uint64(0)).view(np.int64) for d in digest]
+                    digest = _digest(h, ends, n)
                     # 256 bits: how often each residue occurs in the set, modulo 2
                     odd = np.bincount(((keys >> _BITS) << np.uint64(8) | (h & np.uint64(255))).astype(np.int64), minlength=len(n) * 256) & 1
                     parity = np.packbits(odd.astype(np.uint8).reshape(len(n), 256), axis=1).view(np.int64)
                     yield pa.RecordBatch.from_arrays(
-                        [part.slice(i, len(n)).column("__id"), pa.array(n, pa.int64()), *[pa.array(d) for d in digest],
+                        [part.slice(i, len(n)).column("__id"), pa.array(n, pa.int64()), pa.array(digest),
                          _lists(rare.astype(np.int64), take, pa.int64()), *[pa.array(np.ascontiguousarray(parity[:, k])) for k in range(4)]],
-                        ["id", "n", "d1", "d2", "rare", *_PARITY])
+                        ["id", "n", "d1", "rare", *_PARITY])
     return prefixes
 
 
@@ -120,13 +125,13 @@ def _whole(size: int, percent: int, shared) -> Callable[[Iterator[pa.RecordBatch
         for batch in batches:
             place = np.asarray(batch.column("__place"), dtype=np.int64)
             batch = batch.filter(pa.array((bitmap[place >> 5] >> (place & 31).astype(np.uint32)) & 1 == 1))
-            for part, texts in steps(batch, "__text"):
-                for i, keys, ends in _sets(texts, size):
+            for _, texts in steps(batch, "__text"):
+                for _, keys, ends in _sets(texts, size):
                     n = np.diff(ends)
                     piece, h = keys & ~_LOW, keys & _LOW
                     take, at = _prefix(n, ends, percent)
                     other = [(np.sort(piece | (mixed(h ^ c) >> np.uint64(12)))[at] & _LOW).astype(np.int64) for c in _ORDERS]
-                    yield pa.RecordBatch.from_arrays([part.slice(i, len(n)).column("__id"), *[_lists(o, take, pa.int64()) for o in other],
+                    yield pa.RecordBatch.from_arrays([pa.array(_digest(h, ends, n)), *[_lists(o, take, pa.int64()) for o in other],
                                                       _lists(h.astype(np.int64), n, pa.int64())], ["id", "order2", "order3", "set"])
     return whole
 
@@ -147,9 +152,9 @@ def bitmap_of(places: DataFrame) -> tuple[int, np.ndarray]:
 
 
 def joined(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, size: int = WORDS, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
-    """Documents (doc_id, n_shingles, component_id, class_id) and the links between classes (a, b).
+    """Documents (doc_id, n_shingles, component_id, class_id) and the links between sets (a, b: digests).
 
-    Classes are documents of equal sets, named by their smallest id; links are proven and connect
+    Classes are documents of equal sets (by a 64-bit digest), named by their smallest id; links are proven and connect
     all that is linked, but pairs within what is already connected are not all listed. Null and
     empty texts have no shingles and no links. A row without an id takes part in no link and is its
     own component (null). Rows that repeat an id each have a row; an id with several texts stands in
@@ -158,21 +163,20 @@ def joined(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, s
     rows = docs.select(F.col(id_col).cast("long").alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
     classes = docs.sparkSession.sparkContext.broadcast(rarity(rows.select("__text"), size))
     prefixes = written(rows.mapInArrow(_prefixed(classes, size, percent),
-                                       "id long, n long, d1 long, d2 long, rare array<long>, " + ", ".join(f"{c} long" for c in _PARITY)), "prefixes")
+                                       "id long, n long, d1 long, rare array<long>, " + ", ".join(f"{c} long" for c in _PARITY)), "prefixes")
     full = prefixes.filter("n > 0 and id is not null")
-    reps = full.groupBy("d1", "d2", "n").agg(F.min("id").alias("rep"))
-    copies = full.select("id", "n", "d1", "d2").join(reps, ["d1", "d2", "n"]).filter("id != rep").select("id", "d1", "d2")
-    own = full.join(copies, ["id", "d1", "d2"], "left_anti")
-    entries = own.select(F.posexplode("rare").alias("pos", "bucket"), "id").select("bucket", "id", "pos")
-    more = own.select("id", "n", *_PARITY).distinct()
-
-    def verify(pairs: DataFrame) -> DataFrame:
-        near = pairs
-        ids = near.select(F.col("a").alias("id")).union(near.select("b")).distinct()
-        bitmap = docs.sparkSession.sparkContext.broadcast(bitmap_of(ids.select(bitmap_place(F.col("id")).alias("place"))))
+    # a node is a set, named by its digest: copies of a set fall together without a join
+    reps = written(full.groupBy("d1").agg(F.min("id").alias("rep")), "classes")
+    entries = full.select(F.posexplode("rare").alias("pos", "bucket"), F.col("d1").alias("id")).select("bucket", "id", "pos")
+    more = full.select(F.col("d1").alias("id"), "n", *_PARITY).dropDuplicates(["id"])
+
+    def verify(near: DataFrame) -> DataFrame:
+        ids = near.select(F.col("a").alias("d1")).union(near.select("b")).distinct().join(reps, "d1")
+        bitmap = docs.sparkSession.sparkContext.broadcast(bitmap_of(ids.select(bitmap_place(F.col("rep")).alias("place"))))
         sets, sets_path = written_at(rows.filter("__id is not null").withColumn("__place", bitmap_place(F.col("__id"))).mapInArrow(
-            _whole(size, percent, bitmap), "id long, order2 array<long>, order3 array<long>, set array<long>"), "sets")
-        x, y = [sets.select(F.col("id").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in ("order2", "order3", "set")]) for side in "ab"]
+            _whole(size, percent, bitmap), "id long, order2 array<long>, order3 array<long>, set array<long>").dropDuplicates(["id"]), "sets")
+        # merges at every size: the sets grow with the documents
+        x, y = [sets.select(F.col("id").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in ("order2", "order3", "set")]).hint("merge") for side in "ab"]
         both = near.join(x, "a").join(y, "b").filter("arrays_overlap(order2_a, order2_b) and arrays_overlap(order3_a, order3_b)")
         both = both.select("a", "b", F.size("set_a").cast("long").alias("p"), F.size("set_b").cast("long").alias("q"),
                            F.size(F.array_intersect("set_a", "set_b")).cast("long").alias("shared"))
@@ -190,11 +194,12 @@ def joined(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, s
                 f"and {100 + percent} * ({differ}) <= {100 - percent} * ({x}.n + {y}.n)")
 
     components, links = linked(entries, verify, fits, more)
-    placed = prefixes.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "d1", "d2").join(
-        reps.withColumnRenamed("n", "n_shingles"), ["d1", "d2", "n_shingles"], "left").join(
-        components.select(F.col("id").alias("rep"), "component"), "rep", "left")
+    of = reps.join(components.select(F.col("id").alias("d1"), "component"), "d1", "left").withColumn("component", F.coalesce("component", "d1"))
+    least = of.groupBy("component").agg(F.min("rep").alias("least"))
+    of = of.join(least, "component").select("d1", "rep", "least")
+    placed = prefixes.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "d1").join(of, "d1", "left")
     linkable = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
-    return placed.select("doc_id", "n_shingles", F.when(linkable, F.coalesce("component", "rep")).otherwise(F.col("doc_id")).alias("component_id"),
+    return placed.select("doc_id", "n_shingles", F.when(linkable, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"),
                          F.when(linkable, F.col("rep")).otherwise(F.col("doc_id")).alias("class_id")), links
 
 

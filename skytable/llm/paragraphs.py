@@ -213,7 +213,8 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
         ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
         bitmap = docs.sparkSession.sparkContext.broadcast(bitmap_of(ids.select(F.col("id").alias("place"))))
         sets, path = written_at(rows.select("__text").mapInArrow(_sets(least, size, bitmap), "id long, set array<long>").dropDuplicates(["id"]), "paragraph-sets")
-        both = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("s")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("t")), "b")
+        both = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("s")).hint("merge"), "a").join(
+            sets.select(F.col("id").alias("b"), F.col("set").alias("t")).hint("merge"), "b")
         both = both.select("a", "b", (F.size("s") + F.size("t")).cast("long").alias("n"), F.size(F.array_intersect("s", "t")).cast("long").alias("shared"))
         links = checkpointed(both.filter(f"100 * shared >= {percent} * (n - shared)").select("a", "b").distinct())
         removed(docs.sparkSession, path)
