@@ -1,8 +1,8 @@
 """Shared storage for intermediate tables.
 
 Lineage is cut only through reliable storage: the folder the cluster names in
-``spark.checkpoint.dir``. A folder of our own is made only where that is unset,
-which is the case in local tests.
+``spark.checkpoint.dir``. A folder of our own is made only where that is unset
+and driver and executors are one local process; elsewhere that is an error.
 """
 
 from __future__ import annotations
@@ -20,6 +20,8 @@ def shared_dir(spark: SparkSession) -> str:
     if named is None and jsc.getCheckpointDir().isDefined():
         named = jsc.getCheckpointDir().get()
     if named is None:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("name a folder that driver and executors share in spark.checkpoint.dir")
         named = tempfile.mkdtemp(prefix="spark-skytable-")
     if not jsc.getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(named)

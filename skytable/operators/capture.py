@@ -273,9 +273,9 @@ def flat_jobs(flats: DataFrame, darks: DataFrame) -> DataFrame:
     order = Window.partitionBy(F.lower("base")).orderBy(lower, F.coalesce("binning", F.lit(0)), "filter")
     jobs = jobs.withColumn("__no", F.row_number().over(order))
     name = F.concat(F.col("base"), F.when(F.col("__no") > 1, F.concat(F.lit("_"), F.col("__no").cast("string"))).otherwise(""), F.lit(".xisf"))
-    skip = (F.when(F.col("flats") < MIN_FLATS, F.concat(F.lit("only "), F.col("flats").cast("string"), F.lit(f" flat(s); at least {MIN_FLATS} are needed")))
-            .when(F.col("missing").isNotNull(), F.when(F.col("missing.e").isNull(), "no matching dark for flats with no exposure time").otherwise(
-                F.concat(F.lit("no matching dark for the "), F.col("missing.e").cast("string"), F.lit(" s flats")))))
+    skip = (F.when(F.col("flats") < MIN_FLATS, F.concat(F.lit("only "), F.col("flats").cast("string"), F.lit(f" of {MIN_FLATS} flats")))
+            .when(F.col("missing").isNotNull(), F.when(F.col("missing.e").isNull(), "flats without an exposure have no dark").otherwise(
+                F.concat(F.lit("no dark fits flats of "), F.col("missing.e").cast("string"), F.lit(" s")))))
     return jobs.select(*job, name.alias("name"), "flats", "parts", skip.alias("skip"))
 
 
@@ -283,8 +283,8 @@ def dark_match_lines(flats: DataFrame, darks: DataFrame) -> DataFrame:
     """One line per part of a master flat job: which dark serves it."""
     parts = flat_parts(flats)
     firsts = with_dark(parts.filter(F.col("path") == F.col("part")), darks)
-    text = (F.when(F.col("pick").isNull(), "NO MATCHING DARK").when(F.col("tier") < 3, "MASTER DARK")
-            .otherwise(F.concat(F.lit("RAW DARKS ("), F.col("darks").cast("string"), F.lit("; integrate to a master)"))))
+    text = (F.when(F.col("pick").isNull(), "no dark").when(F.col("tier") < 3, "master dark")
+            .otherwise(F.concat(F.lit("raw darks, "), F.col("darks").cast("string"), F.lit(" to combine"))))
     return firsts.select("filter", "binning", "exposure", "gain", text.alias("line"), "tier", "pick")
 
 
@@ -305,12 +305,12 @@ def verify_master(results: DataFrame) -> DataFrame:
     mean = F.col("mean")
     usable = F.coalesce(~F.isnan(mean) & (mean > 0) & (mean < float("inf")), F.lit(False))
     wrong_filter = F.col("want_filter").isNotNull() & F.coalesce(F.col("filter") != F.col("want_filter"), F.lit(True))
-    return results.withColumn("problem", F.when(F.col("width").isNull(), "the master could not be read")
-                              .when((F.col("width") != F.col("want_width")) | (F.col("height") != F.col("want_height")), "geometry changed")
-                              .when(wrong_filter, F.concat(F.lit("FILTER is "), named("filter"), F.lit(", expected "), F.col("want_filter")))
+    return results.withColumn("problem", F.when(F.col("width").isNull(), "unreadable result")
+                              .when((F.col("width") != F.col("want_width")) | (F.col("height") != F.col("want_height")), "other width or height")
+                              .when(wrong_filter, F.concat(F.lit("filter "), named("filter"), F.lit(" instead of "), F.col("want_filter")))
                               .when(~F.coalesce(F.col("image_type").rlike("(?i)flat"), F.lit(False)),
-                                    F.concat(F.lit("IMAGETYP is "), named("image_type"), F.lit(", expected a master flat")))
-                              .when(~usable, "the master is empty or not finite"))
+                                    F.concat(F.lit("type "), named("image_type"), F.lit(", not a flat")))
+                              .when(~usable, "mean not above zero"))
 
 
 # --- import schedules ------------------------------------------------------------------------
@@ -352,5 +352,5 @@ def skip_incomplete_filters(jobs: DataFrame, flats: DataFrame, failed: DataFrame
     rows = jobs.join(lost.filter("filter IS NOT NULL"), "filter", "left").withColumn("__one", F.lit(1)).join(
         everywhere.withColumn("__one", F.lit(1)), "__one")
     n = F.coalesce("__lost", F.lit(0)) + F.col("__all")
-    reason = F.concat(n.cast("string"), F.lit(" flat copy(ies) failed to write; a master from the rest would be incomplete"))
+    reason = F.concat(n.cast("string"), F.lit(" flats were not copied"))
     return rows.withColumn("skip", F.coalesce("skip", F.when(n > 0, reason))).select(*jobs.columns)

@@ -305,8 +305,8 @@ def distance_cascade(targets: DataFrame, published: DataFrame, clusters: DataFra
     source = F.when(galaxy, "galaxy").when(asked & typed.isNotNull(), "typed").when(asked, F.lit(None))
     for name, d in steps:
         value, source = value.when(d.isNotNull(), d), source.when(d.isNotNull(), name)
-    reason = F.when(~galaxy & asked & typed.isNull(), "the typed distance is not a positive number").when(
-        ~galaxy & ~asked & F.coalesce(*[d for _, d in steps]).isNull(), "no star cluster and no bright illuminating star found")
+    reason = F.when(~galaxy & asked & typed.isNull(), "typed distance not above zero").when(
+        ~galaxy & ~asked & F.coalesce(*[d for _, d in steps]).isNull(), "neither cluster nor illuminating star")
     return rows.select("target_id", value.alias("distance_pc"), source.alias("source"), reason.alias("reason"))
 
 
@@ -361,7 +361,7 @@ def search_order(history: DataFrame, catalogue: DataFrame, step: float, target_s
         part(a, 1, -F.col("diameter"), F.col("alias_no") + F.lit(1 << 40), F.col("id")))
     messier = part(c.filter("__m > 0"), 2, F.col("__m"), F.col("seq"), label)
     rest = part(c.filter("coalesce(__m, 0) <= 0"), 3, -F.col("diameter"), F.col("seq"), F.col("id"))
-    past = part(history, 0, F.lit(0), F.col("seq"), F.lit("an earlier solve"))
+    past = part(history, 0, F.lit(0), F.col("seq"), F.lit("solved before"))
     named = past.unionByName(popular).unionByName(messier).unionByName(rest).filter(F.col("ra").isNotNull() & F.col("dec").isNotNull())
     named = named.withColumn("key", F.concat_ws("/", "priority", "rank", "tie"))
     order = F.struct("priority", "rank", "tie")

@@ -128,7 +128,7 @@ def common_area(rects: DataFrame, group: str, ref_width: Column, ref_height: Col
     r = rects.groupBy(group).agg(F.max("x0").alias("x0"), F.max("y0").alias("y0"), F.min("x1").alias("x1"), F.min("y1").alias("y1"))
     percent = 100.0 * (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0")) / (ref_width * ref_height)
     apart = (F.col("x1") <= F.col("x0")) | (F.col("y1") <= F.col("y0"))
-    problem = F.when(apart, "no overlapping imaged area").when(percent < MIN_COMMON_PERCENT, "common area under half of the reference frame")
+    problem = F.when(apart, "frames do not overlap").when(percent < MIN_COMMON_PERCENT, "less than half of the reference in common")
     return r.withColumn("percent", F.when(~apart, percent)).withColumn("problem", problem)
 
 
@@ -187,8 +187,9 @@ def linear_fit(pairs: DataFrame, key: str, limit: float = WB_SATURATION, *, clip
         exact = F.col("spread") <= EXACT_SPREAD
         judged = usable.join(line, key)
         new = checkpointed(judged.filter(exact | (F.abs(off) <= CLIP_SIGMA * F.col("spread"))).select(key, "a", "b"))
+        # the same set: as many pixels, and none of them new (a pixel that repeats is kept or dropped as one)
         moved = new.groupBy(key).agg(F.count("*").alias("now")).join(fit, key).filter(F.col("now") != F.col("pixels"))
-        if moved.isEmpty():
+        if moved.isEmpty() and new.join(kept, [key, "a", "b"], "left_anti").isEmpty():
             return fit
         kept = new
     return fitted(kept)
@@ -497,7 +498,7 @@ def stretch_parameters(px: DataFrame, value: str = "v", target: float = STRETCH_
     rows = rows.withColumns({"c0": c0, "__x": x})
     ok = F.coalesce(F.col("__x") > 0, F.lit(False))
     return rows.select(*KEY, "c0", F.when(ok, midtone_for(F.col("__x"), target)).alias("m"),
-                       F.when(~ok, "no signal above its darkest pixel").alias("problem"))
+                       F.when(~ok, "nothing above the minimum").alias("problem"))
 
 
 def linked_parameters(px: DataFrame, run: str, target: float = STRETCH_TARGET) -> DataFrame:

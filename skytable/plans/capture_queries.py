@@ -205,20 +205,20 @@ miss AS (SELECT filter, binning, arg_min(exposure, part) AS e FROM firsts WHERE
 j AS (SELECT filter, binning, count(*) AS flats, count(DISTINCT part) AS parts FROM parts GROUP BY filter, binning),
 n AS (SELECT *, count(*) OVER (PARTITION BY lower(filter)) AS k FROM j)
 SELECT n.filter, n.binning, concat('masterFlat_', replace(n.filter, ' ', '_'), CASE WHEN k > 1 THEN concat('_bin', CAST(n.binning AS VARCHAR)) ELSE '' END, '.xisf') AS name, n.flats, n.parts,
-  CASE WHEN n.flats < 2 THEN 'only 1 flat(s); at least 2 are needed' WHEN m.e IS NOT NULL THEN 'no matching dark' END AS skip FROM n LEFT JOIN miss m ON n.filter = m.filter AND n.binning = m.binning"""))
+  CASE WHEN n.flats < 2 THEN 'only 1 of 2 flats' WHEN m.e IS NOT NULL THEN 'no dark fits' END AS skip FROM n LEFT JOIN miss m ON n.filter = m.filter AND n.binning = m.binning"""))
 def flat_jobs(spark, sf):
     j = op.flat_jobs(job_flats(spark, sf), test_darks(spark, sf))
-    return j.withColumn("skip", F.regexp_replace("skip", "^no matching dark .*$", "no matching dark"))
+    return j.withColumn("skip", F.regexp_replace("skip", "^no dark fits .*$", "no dark fits"))
 
 
-@query("dark_match_summary", with_views("flats darks", FIRSTS + """ SELECT filter, binning, round(exposure, 6) AS exposure, gain, CASE WHEN pick IS NULL THEN 'NO MATCHING DARK' WHEN tier < 3 THEN 'MASTER DARK' ELSE concat('RAW DARKS (', CAST(n AS VARCHAR), '; integrate to a master)') END AS line FROM firsts"""))
+@query("dark_match_summary", with_views("flats darks", FIRSTS + """ SELECT filter, binning, round(exposure, 6) AS exposure, gain, CASE WHEN pick IS NULL THEN 'no dark' WHEN tier < 3 THEN 'master dark' ELSE concat('raw darks, ', CAST(n AS VARCHAR), ' to combine') END AS line FROM firsts"""))
 def dark_match_summary(spark, sf):
     lines = op.dark_match_lines(job_flats(spark, sf), test_darks(spark, sf))
     return lines.select("filter", "binning", F.round("exposure", 6).alias("exposure"), "gain", "line")
 
 
-@query("verify_master", with_views("flats", """SELECT flat_id, CASE WHEN flat_id % 11 = 0 THEN 'the master could not be read' WHEN flat_id % 7 = 0 THEN 'geometry changed' WHEN flat_id % 5 = 0 THEN concat('FILTER is missing, expected ', filter)
-  WHEN flat_id % 13 = 0 THEN concat('FILTER is X, expected ', filter) WHEN flat_id % 3 = 0 THEN 'IMAGETYP is LIGHT, expected a master flat' WHEN flat_id % 2 = 0 THEN 'the master is empty or not finite' END AS problem FROM flats"""))
+@query("verify_master", with_views("flats", """SELECT flat_id, CASE WHEN flat_id % 11 = 0 THEN 'unreadable result' WHEN flat_id % 7 = 0 THEN 'other width or height' WHEN flat_id % 5 = 0 THEN concat('filter missing instead of ', filter)
+  WHEN flat_id % 13 = 0 THEN concat('filter X instead of ', filter) WHEN flat_id % 3 = 0 THEN 'type LIGHT, not a flat' WHEN flat_id % 2 = 0 THEN 'mean not above zero' END AS problem FROM flats"""))
 def verify_master(spark, sf):
     i = F.col("flat_id")
     r = flats(spark, sf).select(
@@ -260,7 +260,7 @@ def schedule_union(spark, sf):
 @query("skip_incomplete_filters", with_views("flats", """jobs AS (SELECT DISTINCT filter, CASE WHEN filter = 'E' THEN 'old reason' END AS skip FROM flats),
 tagged AS (SELECT path AS src, CASE WHEN flat_id % 100 = 1 THEN NULL ELSE filter END AS filter, flat_id FROM flats), failed AS (SELECT filter FROM tagged WHERE flat_id % 50 = 1),
 n AS (SELECT j.filter, j.skip, (SELECT count(*) FROM failed f WHERE f.filter = j.filter) + (SELECT count(*) FROM failed WHERE filter IS NULL) AS k FROM jobs j)
-SELECT filter, coalesce(skip, CASE WHEN k > 0 THEN concat(CAST(k AS VARCHAR), ' flat copy(ies) failed to write; a master from the rest would be incomplete') END) AS skip FROM n"""))
+SELECT filter, coalesce(skip, CASE WHEN k > 0 THEN concat(CAST(k AS VARCHAR), ' flats were not copied') END) AS skip FROM n"""))
 def skip_incomplete_filters(spark, sf):
     f = flats(spark, sf)
     jobs = f.select("filter").distinct().withColumn("skip", F.when(F.col("filter") == "E", "old reason"))

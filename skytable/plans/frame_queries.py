@@ -19,7 +19,7 @@ stats AS (SELECT m.filter, m.metric, m.n, m.med, d.sd, CASE WHEN m.metric IN ('f
 
 GATES = VALID + """,
 gates AS (SELECT filter, metric, n, med, sd, bound,
-  CASE WHEN sd <= 0 OR sd < 1e-2 * abs(med) THEN 'no usable spread' WHEN metric IN ('psf_snr', 'stars') AND bound <= 0 THEN 'lower bound is not positive' END AS reason FROM stats)"""
+  CASE WHEN sd <= 0 OR sd < 1e-2 * abs(med) THEN 'spread too small' WHEN metric IN ('psf_snr', 'stars') AND bound <= 0 THEN 'limit not above zero' END AS reason FROM stats)"""
 
 # The default settings do not gate on psf_snr.
 JUDGED = GATES + """,
@@ -75,11 +75,11 @@ def mixed(spark, sf):
 
 @query("schema_meaning_check", sql(MIXED + """,
 first AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY filter ORDER BY frame_id) AS rn FROM mixed) WHERE rn = 1)
-SELECT filter, concat_ws(';', CASE WHEN path IS NULL OR path = '' THEN 'path is not a non-empty string' END,
-  CASE WHEN NOT coalesce(eccentricity > 0 AND eccentricity < 1, FALSE) THEN 'eccentricity is not a fraction in (0,1)' END,
-  CASE WHEN NOT coalesce(fwhm BETWEEN 1 AND 60, FALSE) THEN 'FWHM outside a plausible range' END,
-  CASE WHEN NOT coalesce(stars >= 0 AND floor(stars) = stars, FALSE) THEN 'star count is not a whole number' END,
-  CASE WHEN coalesce(floor(psf_snr) = psf_snr, TRUE) THEN 'PSF SNR is a whole number, so it is probably the star count' END) AS problems,
+SELECT filter, concat_ws(';', CASE WHEN path IS NULL OR path = '' THEN 'no path given' END,
+  CASE WHEN NOT coalesce(eccentricity > 0 AND eccentricity < 1, FALSE) THEN 'eccentricity must lie between 0 and 1' END,
+  CASE WHEN NOT coalesce(fwhm BETWEEN 1 AND 60, FALSE) THEN 'implausible FWHM' END,
+  CASE WHEN NOT coalesce(stars >= 0 AND floor(stars) = stars, FALSE) THEN 'stars must be counted in whole numbers' END,
+  CASE WHEN coalesce(floor(psf_snr) = psf_snr, TRUE) THEN 'PSF SNR looks like a count of stars' END) AS problems,
   concat_ws(';', CASE WHEN NOT coalesce(background >= 0, FALSE) THEN 'background' END, CASE WHEN NOT coalesce(altitude >= 0, FALSE) THEN 'altitude' END) AS optional_problems FROM first"""))
 def schema_meaning_check(spark, sf):
     p = op.meaning_problems(mixed(spark, sf))
@@ -188,11 +188,11 @@ def robust_sigma(spark, sf):
     return a.join(b, ["filter", "metric"])
 
 
-@query("relative_gates", sql(GATES + """ SELECT filter, metric, n, round(med, 6) AS median, round(sd, 6) AS sigma, CASE WHEN reason IS NULL THEN round(bound, 6) END AS "limit",
+@query("relative_gates", sql(GATES + """ SELECT filter, metric, n, round(med, 9) AS median, round(sd, 9) AS sigma, CASE WHEN reason IS NULL THEN round(bound, 9) END AS "limit",
   reason IS NULL AS active, reason FROM gates"""))
 def relative_gates(spark, sf):
     g = op.relative_gates(frames(spark, sf))
-    return g.withColumns({c: F.round(c, 6) for c in ("median", "sigma", "limit")})
+    return g.withColumns({c: F.round(c, 9) for c in ("median", "sigma", "limit")})
 
 
 @query("channel_medians", sql(VALID + """ SELECT filter, round(median(psf_snr), 6) AS psf_snr, round(median(fwhm), 6) AS fwhm, round(median(eccentricity), 6) AS eccentricity,
@@ -206,10 +206,10 @@ ENTRIES = """entries AS (SELECT frame_id, concat(filter, CAST(frame_id % 3 AS VA
   CASE WHEN frame_id % 2 = 0 THEN 'Light Frame' ELSE '''LIGHT ''' END AS image_type, CASE WHEN frame_id % 3 = 2 AND frame_id % 5 = 0 THEN 'yes' ELSE 'unknown' END AS calibrated FROM frames)"""
 
 
-@query("comparability", sql(ENTRIES + """ SELECT filter, concat_ws(';', CASE WHEN count(DISTINCT coalesce(CAST(exposure AS VARCHAR), 'null')) > 1 THEN 'mixed exposure times' END,
-  CASE WHEN count(DISTINCT coalesce(CAST(binning AS VARCHAR), 'null')) > 1 THEN 'mixed binning' END,
-  CASE WHEN count(DISTINCT regexp_replace(lower(trim(replace(image_type, '''', ' '))), ' (frame|field)$', '')) > 1 THEN 'mixed image types' END,
-  CASE WHEN count(DISTINCT calibrated) > 1 THEN 'mixed calibration state' END) AS problems FROM entries GROUP BY filter"""))
+@query("comparability", sql(ENTRIES + """ SELECT filter, concat_ws(';', CASE WHEN count(DISTINCT coalesce(CAST(exposure AS VARCHAR), 'null')) > 1 THEN 'several exposure times' END,
+  CASE WHEN count(DISTINCT coalesce(CAST(binning AS VARCHAR), 'null')) > 1 THEN 'several binnings' END,
+  CASE WHEN count(DISTINCT regexp_replace(lower(trim(replace(image_type, '''', ' '))), ' (frame|field)$', '')) > 1 THEN 'several image types' END,
+  CASE WHEN count(DISTINCT calibrated) > 1 THEN 'several calibration states' END) AS problems FROM entries GROUP BY filter"""))
 def comparability(spark, sf):
     frames(spark, sf).createOrReplaceTempView("frames")
     c = op.comparability(spark.sql("WITH " + ENTRIES + " SELECT * FROM entries"))
@@ -330,7 +330,7 @@ def airmass_corrections(spark, sf):
 
 
 @query("verdict_reasons", sql(JUDGED + """ SELECT frame_id, state, CASE WHEN NOT ok THEN '' ELSE concat_ws(',', CASE WHEN x_fwhm THEN 'fwhm' END, CASE WHEN x_ecc THEN 'eccentricity' END,
-  CASE WHEN x_stars THEN 'stars' END) END AS failing, CASE WHEN NOT ok THEN 'a metric is missing or not positive' ELSE concat_ws('; ',
+  CASE WHEN x_stars THEN 'stars' END) END AS failing, CASE WHEN NOT ok THEN 'unmeasured' ELSE concat_ws('; ',
   CASE WHEN x_fwhm THEN printf('FWHM %.2f, median %.2f, limit %.2f', fwhm, m_fwhm, b_fwhm) END, CASE WHEN x_ecc THEN printf('eccentricity %.3f, median %.3f, limit %.3f', eccentricity, m_ecc, b_ecc) END,
   CASE WHEN x_stars THEN concat('stars ', CASE WHEN stars >= 100 THEN CAST(stars AS VARCHAR) ELSE printf('%.2f', CAST(stars AS DOUBLE)) END, concat(', median ', CAST(CAST(floor(m_stars + 5e-1) AS BIGINT) AS VARCHAR), ', limit ', CAST(CAST(floor(b_stars + 5e-1) AS BIGINT) AS VARCHAR))) END) END AS reasons FROM judged"""))
 def verdict_reasons(spark, sf):

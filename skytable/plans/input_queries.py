@@ -168,14 +168,14 @@ def slots(spark, sf):
 @query("channel_rules", with_views("files", SUPPLIED + """, h AS (SELECT run, count(*) FILTER (WHERE c IN ('R', 'G', 'B')) AS n, count(*) FILTER (WHERE c IN ('H', 'S', 'O')) AS nb FROM mem GROUP BY run),
 m AS (SELECT run, string_agg(c, ', ' ORDER BY o) AS miss FROM (SELECT h.run, x.c, x.o FROM h CROSS JOIN (SELECT 'R' AS c, 1 AS o UNION ALL SELECT 'G', 2 UNION ALL SELECT 'B', 3) x WHERE NOT EXISTS (SELECT 1 FROM mem WHERE mem.run = h.run AND mem.c = x.c)) GROUP BY run),
 k AS (SELECT run, bool_or(slot LIKE 'OSC%') AS col, bool_or(slot NOT LIKE 'OSC%') AS mono, bool_or(slot = 'OSCHA') AND bool_or(slot = 'OSCNB') AS twice FROM sl GROUP BY run)
-SELECT h.run, concat('Incomplete RGB set: missing ', miss, '. Supply all three or none.') AS problem FROM h JOIN m ON h.run = m.run WHERE n BETWEEN 1 AND 2
-UNION ALL SELECT run, 'Nothing to do: supply R, G and B, or at least one of H, S, O' FROM h WHERE n = 0 AND nb = 0 UNION ALL SELECT run, 'colour masters cannot be combined with mono masters' FROM k WHERE col AND mono
-UNION ALL SELECT run, 'an H-alpha colour master and a dual-band one both supply H' FROM k WHERE twice"""))
+SELECT h.run, concat('RGB needs all of its channels; absent: ', miss, '.') AS problem FROM h JOIN m ON h.run = m.run WHERE n BETWEEN 1 AND 2
+UNION ALL SELECT run, 'no RGB and no narrowband channel given' FROM h WHERE n = 0 AND nb = 0 UNION ALL SELECT run, 'mono and colour masters are mixed' FROM k WHERE col AND mono
+UNION ALL SELECT run, 'H comes from two colour masters' FROM k WHERE twice"""))
 def channel_rules(spark, sf):
     return op.channel_problems(slots(spark, sf))
 
 
-@query("channel_count_problems", with_views("files", SLOTS + """ SELECT seq, CASE WHEN number_of_channels IS NULL THEN 'could not read the channel count' WHEN number_of_channels = 3 THEN 'a colour master in a mono slot' ELSE 'neither mono nor colour' END AS problem FROM sl
+@query("channel_count_problems", with_views("files", SLOTS + """ SELECT seq, CASE WHEN number_of_channels IS NULL THEN 'unknown number of channels' WHEN number_of_channels = 3 THEN 'three channels where one is due' ELSE 'neither one channel nor three' END AS problem FROM sl
   WHERE slot NOT LIKE 'OSC%' AND coalesce(number_of_channels, 0) <> 1"""))
 def channel_count_problems(spark, sf):
     return op.count_problems(slots(spark, sf)).select("seq", "problem")
@@ -203,27 +203,29 @@ def supplied_channels(spark, sf):
     return op.supplied_channels(slots(spark, sf)).select("run", F.array_join("channels", "").alias("channels"))
 
 
-NAMES = "nm AS (SELECT file_id AS seq, concat(folder, '_', channel) AS base FROM files)"
+NAMES = """nm AS (SELECT file_id AS seq, CASE WHEN file_id % 9 = 4 THEN concat(folder, '_', channel, '_1') WHEN file_id % 17 = 3 THEN concat(folder, '_', channel, '_1_2') ELSE concat(folder, '_', channel) END AS base FROM files)"""
 TAKEN = "tk AS (SELECT DISTINCT concat(folder, '_', channel) AS name FROM files WHERE channel = 'en' UNION ALL SELECT DISTINCT concat(folder, '_', channel, '_2') FROM files WHERE folder = 'web' UNION ALL SELECT DISTINCT concat(folder, '_', channel, '_5') FROM files)"
 
 
-@query("unique_names", with_views("files", NAMES + ", " + TAKEN + """, r AS (SELECT seq, base, row_number() OVER (PARTITION BY base ORDER BY seq) AS k FROM nm),
-free AS (SELECT b.base, n, row_number() OVER (PARTITION BY b.base ORDER BY n) AS k FROM (SELECT DISTINCT base FROM nm) b CROSS JOIN (SELECT unnest(range(0, (SELECT max(k) + 9 FROM r))) AS n) WHERE CASE WHEN n = 0 THEN b.base ELSE concat(b.base, '_', CAST(n AS VARCHAR)) END NOT IN (SELECT name FROM tk))
-SELECT r.seq, CASE WHEN f.n = 0 THEN r.base ELSE concat(r.base, '_', CAST(f.n AS VARCHAR)) END AS "unique" FROM r JOIN free f ON r.base = f.base AND r.k = f.k"""))
+@query("unique_names", with_views("files", "RECURSIVE " + NAMES + ", " + TAKEN + """, o AS (SELECT seq, base, row_number() OVER (ORDER BY seq) AS i FROM nm),
+given AS (SELECT CAST(0 AS BIGINT) AS i, (SELECT list(name) FROM tk) AS used, CAST(NULL AS BIGINT) AS seq, CAST(NULL AS VARCHAR) AS "unique"
+  UNION ALL SELECT i, list_append(used, nxt), seq, nxt FROM (SELECT o.i, g.used, o.seq, list_filter(list_transform(range(0, (SELECT max(c) + 20 FROM (SELECT count(*) AS c FROM nm GROUP BY base))),
+    lambda n: CASE WHEN n = 0 THEN o.base ELSE concat(o.base, '_', CAST(n AS VARCHAR)) END), lambda x: NOT list_contains(g.used, x))[1] AS nxt FROM given g JOIN o ON o.i = g.i + 1))
+SELECT seq, "unique" FROM given WHERE i > 0"""))
 def unique_names(spark, sf):
     n = run_sql(spark, sf, NAMES, "nm", "files")
     return op.unique_names(n, run_sql(spark, sf, TAKEN, "tk", "files"), block_rows=100).select("seq", "unique")
 
 
-@query("project_name", with_views("files", """p AS (SELECT file_id % 60 AS run, file_id, CASE file_id % 4 WHEN 0 THEN concat('/astro/', folder, '/Masters/m.xisf') WHEN 1 THEN concat('C:\\x\\', channel, '\\calibrated\\m.xisf') WHEN 2 THEN '/master/lights/m.xisf' ELSE concat('/', folder, channel, '/m') END AS path, CASE file_id % 4 WHEN 0 THEN folder WHEN 1 THEN channel WHEN 2 THEN '' ELSE concat(folder, channel) END AS nm FROM files),
-r AS (SELECT run, nm, row_number() OVER (PARTITION BY run ORDER BY file_id % 7, file_id) AS rn FROM p WHERE nm <> '' AND file_id < 420) SELECT run, nm AS project FROM r WHERE rn = 1"""))
+@query("project_name", with_views("files", """p AS (SELECT file_id // 7 AS run, file_id, CASE file_id % 4 WHEN 0 THEN concat('/astro/', folder, '/Masters/m.xisf') WHEN 1 THEN concat('C:\\x\\', channel, '\\calibrated\\m.xisf') WHEN 2 THEN '/master/lights/m.xisf' ELSE concat('/', folder, channel, '/m') END AS path, CASE file_id % 4 WHEN 0 THEN folder WHEN 1 THEN channel WHEN 2 THEN '' ELSE concat(folder, channel) END AS nm FROM files),
+r AS (SELECT run, nm, row_number() OVER (PARTITION BY run ORDER BY file_id % 7, file_id) AS rn FROM p WHERE nm <> '') SELECT run, nm AS project FROM r WHERE rn = 1"""))
 def project_name(spark, sf):
     i = F.col("file_id")
     path = F.when(i % 4 == 0, F.concat(F.lit("/astro/"), "folder", F.lit("/Masters/m.xisf"))).when(
         i % 4 == 1, F.concat(F.lit("C:\\x\\"), "channel", F.lit("\\calibrated\\m.xisf"))).when(
         i % 4 == 2, F.lit("/master/lights/m.xisf")).otherwise(F.concat(F.lit("/"), "folder", "channel", F.lit("/m")))
     slot = F.array(*[F.lit(c) for c in op.CHANNELS])
-    s = files(spark, sf).filter(i < 420).select((i % 60).alias("run"), F.element_at(slot, (i % 7 + 1).cast("int")).alias("slot"), path.alias("path"), "file_id")
+    s = files(spark, sf).select(F.floor(i / 7).cast("long").alias("run"), F.element_at(slot, (i % 7 + 1).cast("int")).alias("slot"), path.alias("path"), "file_id")
     return op.run_project(s)
 
 

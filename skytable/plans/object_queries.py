@@ -164,7 +164,7 @@ pb AS (SELECT answer_id AS target_id, pc FROM us WHERE rn = 1), cl AS (SELECT o_
 
 @query("distance_cascade", "WITH " + CASCADE + """ SELECT t.target_id, round(CASE WHEN target_type = 'galaxy' THEN NULL WHEN typed = '1,200' THEN 12e2 WHEN typed IS NOT NULL THEN NULL ELSE coalesce(pb.pc, cl.pc, st.pc) END, 6) AS distance_pc,
   CASE WHEN target_type = 'galaxy' THEN 'galaxy' WHEN typed = '1,200' THEN 'typed' WHEN typed IS NOT NULL THEN NULL WHEN pb.pc IS NOT NULL THEN 'catalog' WHEN cl.pc IS NOT NULL THEN 'cluster' WHEN st.pc IS NOT NULL THEN 'star' END AS source,
-  CASE WHEN target_type = 'galaxy' OR typed = '1,200' THEN NULL WHEN typed IS NOT NULL THEN 'the typed distance is not a positive number' WHEN coalesce(pb.pc, cl.pc, st.pc) IS NULL THEN 'no star cluster and no bright illuminating star found' END AS reason
+  CASE WHEN target_type = 'galaxy' OR typed = '1,200' THEN NULL WHEN typed IS NOT NULL THEN 'typed distance not above zero' WHEN coalesce(pb.pc, cl.pc, st.pc) IS NULL THEN 'neither cluster nor illuminating star' END AS reason
   FROM tg t LEFT JOIN pb ON t.target_id = pb.target_id LEFT JOIN cl ON t.target_id = cl.target_id LEFT JOIN st ON t.target_id = st.target_id""")
 def distance_cascade(spark, sf):
     o = table(spark, sf, "orders")

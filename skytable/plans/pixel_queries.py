@@ -99,7 +99,7 @@ def valid_rect(spark, sf):
 
 
 @query("common_area", sql(RECTS + """, g AS (SELECT image_id // 3 AS run, max(x0) AS x0, max(y0) AS y0, min(x1) AS x1, min(y1) AS y1 FROM rects GROUP BY ALL)
-SELECT run, x0, y0, x1, y1, round(1e2 * (x1 - x0) * (y1 - y0) / 64, 6) AS percent, CASE WHEN 1e2 * (x1 - x0) * (y1 - y0) / 64 < 50 THEN 'common area under half of the reference frame' END AS problem FROM g"""))
+SELECT run, x0, y0, x1, y1, round(1e2 * (x1 - x0) * (y1 - y0) / 64, 6) AS percent, CASE WHEN 1e2 * (x1 - x0) * (y1 - y0) / 64 < 50 THEN 'less than half of the reference in common' END AS problem FROM g"""))
 def common_area(spark, sf):
     r = op.valid_rect(filled(spark, sf), margin=1).withColumn("run", F.floor(F.col("image_id") / 3).cast("long"))
     return rounded(op.common_area(r, "run", F.lit(8), F.lit(8)), "percent")

@@ -39,7 +39,7 @@ SELECT p_partkey AS det_id, (((p_partkey - p_partkey % 2)*7919) % 4000)/2e0 + ((
   (((p_partkey - p_partkey % 2)*6701) % 4000)/2e0 + ((p_partkey*31) % 40 - 20)/2e1 AS y,
   p_retailprice AS flux, 1 + p_size % 12 AS half_width FROM part""",
     "headers": """
-SELECT conv_id AS image_id, concat(role, CAST(turn AS VARCHAR(10))) AS key, substr(text,1,12) AS value FROM conversations""",
+SELECT conv_id AS image_id, concat(role, CAST(turn AS VARCHAR(10))) AS key, text AS value FROM conversations""",
     "files": """
 SELECT doc_id AS file_id, source AS folder, lang AS channel, n_chars AS size, sha1(text) AS digest FROM documents""",
     "flats": """
