@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from skytable.functions.storage import checkpointed
 
-# Rounds in which every bucket compares its members with one of them before it compares what is left apart.
-STAR_ROUNDS = 6
+# Rounds in which every bucket compares its members with a few of them before it compares what is left apart.
+STAR_ROUNDS, MIDDLES = 2, 4
 # Left-over pairs a member, or links a compared pair, that end the star rounds early.
 FEW, FRUITFUL = 4, 0.05
 
@@ -49,7 +49,7 @@ def linked(entries: DataFrame, verify: Callable[[DataFrame], DataFrame], fits: C
     ``entries`` has bucket, id and what ``fits`` reads of it; ``more`` has one row for each id with what
     else it reads, and is met only where a bucket has two ids; ``verify`` takes pairs (a < b) and returns
     those that are links, already written or checkpointed. Only connection matters, so a bucket first compares all its members with
-    one of them (a different one each round) and drops out once its members are connected. When few
+    MIDDLES of them (others each round) and drops out once its members are connected. When few
     pairs are left apart, or a round finds few links, or after STAR_ROUNDS, all pairs of members that are still apart are
     compared: no link between two components can be missed.
     """
@@ -61,7 +61,12 @@ def linked(entries: DataFrame, verify: Callable[[DataFrame], DataFrame], fits: C
     rows = checkpointed(rows.withColumn("component", F.col("id")))
     carried = [c for c in rows.columns if c not in ("bucket", "id", "component")]
     found: DataFrame | None = None
-    fruitful = True
+    fruitful, last, of = True, False, None
+
+    def joined(links: DataFrame) -> DataFrame:
+        """New links and what was connected before."""
+        return links if of is None else links.unionByName(of.select(F.col("component").alias("a"), F.col("id").alias("b")))
+
     for round_ in range(STAR_ROUNDS + 1):
         sizes = rows.groupBy("bucket", "component").agg(F.count("*").cast("double").alias("n")).groupBy("bucket").agg(
             F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("q"), F.count("*").alias("c"))
@@ -74,8 +79,9 @@ def linked(entries: DataFrame, verify: Callable[[DataFrame], DataFrame], fits: C
         if last:
             pairs = a.join(b, F.expr(f"{apart} and x.id < y.id" + (f" and {fits('x', 'y')}" if fits else ""))).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
         else:
-            key = F.struct(F.xxhash64(F.lit(round_), "component") if round_ else F.lit(0).cast("long"), F.col("id"))
-            middle = rows.groupBy("bucket").agg(F.min_by(F.struct("id", "component", *carried), key).alias("m")).select("bucket", "m.*").alias("x")
+            salts = [F.xxhash64(F.lit(MIDDLES * round_ + k), "component") for k in range(MIDDLES)]
+            picks = F.array_distinct(F.array(*[F.min_by(F.struct("id", "component", *carried), F.struct(salt, "id")) for salt in salts]))
+            middle = rows.groupBy("bucket").agg(picks.alias("m")).select("bucket", F.explode("m").alias("m")).select("bucket", "m.*").alias("x")
             pairs = middle.join(b, F.expr(apart + (f" and {fits('x', 'y')}" if fits else ""))).select(
                 F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
         pairs = checkpointed(pairs.distinct())
@@ -84,10 +90,11 @@ def linked(entries: DataFrame, verify: Callable[[DataFrame], DataFrame], fits: C
         found = links if found is None else found.unionByName(links)
         if last:
             break
-        of = checkpointed(components(found))
+        of = checkpointed(components(joined(links)))
         rows = rows.drop("component").join(of, "id", "left").withColumn("component", F.coalesce("component", "id"))
         open_ = rows.groupBy("bucket").agg(F.min("component").alias("p"), F.max("component").alias("q")).filter("p != q").select("bucket")
         rows = checkpointed(rows.join(open_, "bucket"))
     if found is None:
         found = rows.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)
-    return checkpointed(components(found)), found
+        return components(found), found
+    return (checkpointed(components(joined(links))) if last else of), found
