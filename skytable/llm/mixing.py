@@ -81,11 +81,12 @@ def leaf_budgets(counted: DataFrame, fraction: tuple[int, int] = FRACTION, epoch
     """
     leaves = checkpointed(counted.groupBy("domain", "language", "source").agg(F.sum("tokens").alias("tokens"))
                           .filter("tokens > 0").withColumn("capacity", F.col("tokens") * epochs))
-    root = leaves.agg(F.expr(f"sum(tokens) * {fraction[0]} div {fraction[1]}").alias("budget"))
-    languages = leaves.groupBy("domain", "language").agg(F.sum("capacity").alias("capacity"))
-    domains = languages.groupBy("domain").agg(F.sum("capacity").alias("capacity"))
-    # the root has one row; a number on both sides joins it without a cross join
-    domains = domains.withColumn("__root", F.lit(1)).join(F.broadcast(root.withColumn("__root", F.lit(1))), "__root")
+    sums = F.sum("capacity").alias("capacity"), F.sum("tokens").alias("tokens")
+    languages = leaves.groupBy("domain", "language").agg(*sums)
+    # the few domains hang from one root, whose budget is a part of all tokens
+    domains = languages.groupBy("domain").agg(*sums).withColumn("__root", F.lit(1))
+    total = F.sum("tokens").over(Window.partitionBy("__root"))
+    domains = domains.withColumn("__total", total).withColumn("budget", F.expr(f"(__total * {fraction[0]}) div {fraction[1]}")).drop("__total", "tokens")
     domains = _dealt(domains.withColumn("weight", _weight("domain", F.col("domain"))), ["__root"], "domain")
     languages = languages.join(domains.select("domain", F.col("part").alias("budget")), "domain")
     languages = _dealt(languages.withColumn("weight", _weight("language", F.col("language"))), ["domain"], "language")
