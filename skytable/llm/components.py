@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from skytable.functions.storage import checkpointed
 
 # Rounds in which every bucket compares its members with a few of them before it compares what is left apart.
-STAR_ROUNDS, MIDDLES = 2, 4
+STAR_ROUNDS = 2
 # Left-over pairs a member, or links a compared pair, that end the star rounds early.
 FEW, FRUITFUL = 4, 0.05
 
@@ -43,13 +43,13 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def linked(entries: DataFrame, verify: Callable[[DataFrame], DataFrame], fits: Callable[[str, str], str] | None = None,
-           more: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+           more: DataFrame | None = None, middles: int = 1) -> tuple[DataFrame, DataFrame]:
     """Components of the links among ids that share a bucket: (id, component) and the links found (a, b).
 
     ``entries`` has bucket, id and what ``fits`` reads of it; ``more`` has one row for each id with what
     else it reads, and is met only where a bucket has two ids; ``verify`` takes pairs (a < b) and returns
     those that are links, already written or checkpointed. Only connection matters, so a bucket first compares all its members with
-    MIDDLES of them (others each round) and drops out once its members are connected. When few
+    ``middles`` of them (others each round) and drops out once its members are connected. When few
     pairs are left apart, or a round finds few links, or after STAR_ROUNDS, all pairs of members that are still apart are
     compared: no link between two components can be missed.
     """
@@ -79,7 +79,7 @@ def linked(entries: DataFrame, verify: Callable[[DataFrame], DataFrame], fits: C
         if last:
             pairs = a.join(b, F.expr(f"{apart} and x.id < y.id" + (f" and {fits('x', 'y')}" if fits else ""))).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
         else:
-            salts = [F.xxhash64(F.lit(MIDDLES * round_ + k), "component") for k in range(MIDDLES)]
+            salts = [F.xxhash64(F.lit(middles * round_ + k), "component") for k in range(middles)]
             picks = F.array_distinct(F.array(*[F.min_by(F.struct("id", "component", *carried), F.struct(salt, "id")) for salt in salts]))
             middle = rows.groupBy("bucket").agg(picks.alias("m")).select("bucket", F.explode("m").alias("m")).select("bucket", "m.*").alias("x")
             pairs = middle.join(b, F.expr(apart + (f" and {fits('x', 'y')}" if fits else ""))).select(

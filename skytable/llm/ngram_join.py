@@ -174,9 +174,9 @@ def joined(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, s
         ids = near.select(F.col("a").alias("d1")).union(near.select("b")).distinct().join(reps, "d1")
         bitmap = docs.sparkSession.sparkContext.broadcast(bitmap_of(ids.select(bitmap_place(F.col("rep")).alias("place"))))
         sets, sets_path = written_at(rows.filter("__id is not null").withColumn("__place", bitmap_place(F.col("__id"))).mapInArrow(
-            _whole(size, percent, bitmap), "id long, order2 array<long>, order3 array<long>, set array<long>").dropDuplicates(["id"]), "sets")
-        # merges at every size: the sets grow with the documents
-        x, y = [sets.select(F.col("id").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in ("order2", "order3", "set")]).hint("merge") for side in "ab"]
+            _whole(size, percent, bitmap), "id long, order2 array<long>, order3 array<long>, set array<long>"), "sets")
+        # where few pairs are left, the optimizer brings them to the sets instead of shuffling those
+        x, y = [sets.select(F.col("id").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in ("order2", "order3", "set")]) for side in "ab"]
         both = near.join(x, "a").join(y, "b").filter("arrays_overlap(order2_a, order2_b) and arrays_overlap(order3_a, order3_b)")
         both = both.select("a", "b", F.size("set_a").cast("long").alias("p"), F.size("set_b").cast("long").alias("q"),
                            F.size(F.array_intersect("set_a", "set_b")).cast("long").alias("shared"))

@@ -229,7 +229,7 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
 
     entries = paras.select(F.explode("bands").alias("bucket"), "id")
     more = paras.select("id", "n", *_PARITY).dropDuplicates(["id"])
-    components, _ = linked(entries, verify, fits, more)
+    components, _ = linked(entries, verify, fits, more, middles=4)
     placed = paras.drop("bands", "n", *_PARITY).join(components, "id", "left").withColumn("class", F.coalesce("component", "id"))
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "paragraph"))
     classes = placed.groupBy("class").agg(F.count("*").alias("class_size"), first.alias("first")).filter("class_size > 1")
