@@ -6,6 +6,10 @@ frequencies are counted over all rows that may be learned from. Centroids are fi
 SAMPLE rows a language (the rows that come first by a hash of doc_id), by spherical k-means inside one
 task a language. A text whose distance (1 - cosine) to the nearest centroid is over the limit, or
 that has no letter, is rejected.
+
+Cosines grow with the number of different trigrams, in learned languages much more than in others, so
+each centroid has a limit for every size (by half octaves of different trigrams): SLACK of a low
+quantile of the cosines of its own training texts and of pieces of all lengths cut from them.
 """
 
 from __future__ import annotations
@@ -19,14 +23,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skytable.llm.words import mixed, steps
+from skytable.llm.words import steps
 
-FEATURES = 4096
+BITS = 18
+FEATURES = 1 << BITS
 CENTROIDS = 4
 SAMPLE = 400
 ROUNDS = 8
-# Cosine under which a text is taken for none of the learned languages.
-LEAST_COSINE = 0.04
+# A text is taken for none of the learned languages under SLACK of this quantile of the training cosines of its size.
+LOW, SLACK = 0.02, 0.25
+SIZES = 2 * BITS
+_PIECES = 200
 UNKNOWN = "und"
 _DOCS = 512
 
@@ -40,28 +47,56 @@ def has_letter(text: Column) -> Column:
     return F.coalesce(text.rlike(r"\p{L}"), F.lit(False))
 
 
-def _counts(texts: list[bytes]) -> np.ndarray:
-    """log(1 + count) of the hashed trigrams of each lower-cased text."""
+@dataclass
+class Grams:
+    """Different places of each text's hashed trigrams, text by text: text, place and weight; ``ends`` cuts them by text."""
+
+    text: np.ndarray
+    place: np.ndarray
+    weight: np.ndarray
+    ends: np.ndarray
+
+    def sizes(self) -> np.ndarray:
+        """Half octaves of the number of different places of each text."""
+        return np.minimum((2 * np.log2(np.maximum(np.diff(self.ends), 1))).astype(np.int64), SIZES - 1)
+
+    def scaled(self, idf: np.ndarray) -> Grams:
+        """Weights times ``idf``, of length 1 a text."""
+        v = self.weight * idf[self.place]
+        norm = np.sqrt(np.bincount(self.text, weights=v * v, minlength=len(self.ends) - 1))
+        return Grams(self.text, self.place, v / np.maximum(norm, 1e-12)[self.text], self.ends)
+
+    def cosines(self, table: np.ndarray) -> np.ndarray:
+        """Inner products with the columns of ``table`` (a row for each place)."""
+        n = len(self.ends) - 1
+        return np.stack([np.bincount(self.text, weights=self.weight * column[self.place], minlength=n) for column in table.T], axis=1)
+
+
+def _trigrams(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Text and hashed place of every trigram of lower-cased texts, in order."""
     table = np.arange(256, dtype=np.uint32)
     table[:128] = 32
     table[97:123] = np.arange(97, 123)
     joined = table[np.frombuffer(b" " + b"  ".join(texts) + b"  ", dtype=np.uint8)]
     gram = (joined[:-2] << np.uint32(16)) | (joined[1:-1] << np.uint32(8)) | joined[2:]
-    place = ((gram * np.uint32(2654435761)) >> np.uint32(20)).astype(np.int64)
+    place = ((gram * np.uint32(2654435761)) >> np.uint32(32 - BITS)).astype(np.int64)
     lengths = np.fromiter((len(t) + 2 for t in texts), dtype=np.int64, count=len(texts))
     of = np.repeat(np.arange(len(texts)), lengths)
     # trigrams that only see spaces say nothing, and neither do those that reach into the next text
     live = (joined[1:-1] != 32) | ((joined[:-2] != 32) & (joined[2:] != 32))
     n = min(len(of), len(place))
-    live = live[:n]
-    out = np.bincount((of[:n] * FEATURES + place[:n])[live], minlength=len(texts) * FEATURES)
-    return np.log1p(out.astype(np.float32)).reshape(len(texts), FEATURES)
+    return of[:n][live[:n]], place[:n][live[:n]]
 
 
-def _vectors(texts: list[bytes], idf: np.ndarray) -> np.ndarray:
-    v = _counts(texts) * idf
-    norm = np.sqrt(np.einsum("ij,ij->i", v, v))
-    return v / np.maximum(norm, 1e-12)[:, None]
+def _grams(of: np.ndarray, place: np.ndarray, n: int) -> Grams:
+    """log(1 + count) of the different places of each of ``n`` texts."""
+    both, count = np.unique((of << BITS) | place, return_counts=True)
+    text = both >> BITS
+    return Grams(text, both & (FEATURES - 1), np.log1p(count), np.searchsorted(text, np.arange(n + 1)))
+
+
+def _counts(texts: list[bytes]) -> Grams:
+    return _grams(*_trigrams(texts), len(texts))
 
 
 def _pieces(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
@@ -74,17 +109,45 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total, n = np.zeros(FEATURES, dtype=np.int64), 0
     for batch in batches:
         for _, texts in _pieces(batch):
-            total += (_counts(texts) > 0).sum(axis=0)
+            total += np.bincount(_counts(texts).place, minlength=FEATURES)
             n += len(texts)
     # the last place holds the number of texts
-    yield pa.RecordBatch.from_pydict({"place": pa.array(range(FEATURES + 1), pa.int32()), "n": pa.array(np.append(total, n), pa.int64())})
+    seen = np.flatnonzero(total)
+    yield pa.RecordBatch.from_pydict({"place": pa.array(np.append(seen, FEATURES), pa.int32()), "n": pa.array(np.append(total[seen], n), pa.int64())})
+
+
+def _limits(cosines: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """For each centroid (column) and size, SLACK of a low quantile of the cosines that are nearest to it, between half and all of that of the language.
+
+    Sizes without any lie between their neighbours.
+    """
+    own, best = np.argmax(cosines, axis=1), cosines.max(axis=1)
+
+    def low(some: np.ndarray) -> np.ndarray:
+        at = np.unique(sizes[some])
+        return np.interp(np.arange(SIZES), at, [np.quantile(best[some & (sizes == s)], LOW) for s in at])
+
+    every = low(own >= 0)
+    # a centroid of few or odd texts would ask for too much or too little
+    return SLACK * np.stack([np.clip(low(own == j), every / 2, every) if (own == j).any() else every for j in range(cosines.shape[1])])
 
 
 def _fit(idf: np.ndarray, k: int, rounds: int) -> Callable:
     def fit(table: pa.Table) -> pa.Table:
         table = table.sort_by([("__key", "ascending"), ("__text", "ascending")])
-        parts = [v for b in table.combine_chunks().to_batches() for v in (_vectors(t, idf) for _, t in _pieces(b))]
-        x = np.concatenate(parts)
+        of, place, n = [], [], 0
+        for b in table.combine_chunks().to_batches():
+            for _, texts in _pieces(b):
+                text, where = _trigrams(texts)
+                of.append(text + n)
+                place.append(where)
+                n += len(texts)
+        of, place = np.concatenate(of), np.concatenate(place)
+        whole = _grams(of, place, n).scaled(idf)
+        # columns are the places that this language has
+        known, column = np.unique(whole.place, return_inverse=True)
+        x = np.zeros((n, len(known)), dtype=np.float32)
+        x[whole.text, column] = whole.weight
         # farthest-first seeds, then spherical k-means
         seeds = [int(np.argmax(x @ x.mean(axis=0)))]
         near = x @ x[seeds[0]]
@@ -96,40 +159,59 @@ def _fit(idf: np.ndarray, k: int, rounds: int) -> Callable:
             own = np.argmax(x @ c.T, axis=1)
             sums = np.stack([x[own == j].sum(axis=0) if (own == j).any() else c[j] for j in range(len(c))])
             c = sums / np.maximum(np.linalg.norm(sums, axis=1), 1e-12)[:, None]
+        # pieces of all lengths, cut from the texts in a row
+        cosines, sizes = [x @ c.T], [whole.sizes()]
+        centroid = np.zeros((FEATURES, len(c)), dtype=np.float32)
+        centroid[known] = c.T
+        length = 4
+        while length <= len(place):
+            many = min(_PIECES, len(place) // length)
+            start = np.linspace(0, len(place) - length, many).astype(np.int64)
+            at = (start[:, None] + np.arange(length)).ravel()
+            piece = _grams(np.repeat(np.arange(many), length), place[at], many).scaled(idf)
+            cosines.append(piece.cosines(centroid))
+            sizes.append(piece.sizes())
+            length *= 2
+        limits = _limits(np.concatenate(cosines), np.concatenate(sizes))
         return pa.table({"lang": [table.column("__lang")[0].as_py()] * len(c), "no": pa.array(range(len(c)), pa.int32()),
-                         "centroid": pa.array(c.tolist(), pa.list_(pa.float32()))})
+                         "places": pa.array([known.tolist()] * len(c), pa.list_(pa.int32())), "centroid": pa.array(c.tolist(), pa.list_(pa.float32())),
+                         "limits": pa.array(limits.tolist(), pa.list_(pa.float64()))})
     return fit
 
 
 @dataclass
 class Model:
-    """Inverse document frequencies, centroids (rows) and the language of each; no rows if nothing was learned."""
+    """Inverse document frequencies, centroids (columns), the language of each and its least cosine by size; no columns if nothing was learned."""
 
     idf: np.ndarray
     centroids: np.ndarray
     languages: list[str]
+    limits: np.ndarray
 
 
 def fitted(train: DataFrame, *, sample: int = SAMPLE, centroids: int = CENTROIDS) -> Model:
     """Learn from rows with doc_id, text and lang; null languages and texts without a letter are left out.
 
-    The driver gets FEATURES counts and ``centroids`` vectors a language.
+    The driver gets at most FEATURES counts and ``centroids`` vectors a language.
     """
     rows = train.filter(F.col("lang").isNotNull() & has_letter(F.col("text"))).select(
         F.col("lang").alias("__lang"), F.lower("text").alias("__text"), F.xxhash64(F.col("doc_id").cast("string")).alias("__key"))
     counts = dict(rows.select("__text").mapInArrow(_frequencies, "place int, n long").groupBy("place").agg(F.sum("n")).collect())
     n = counts.get(FEATURES, 0)
-    idf = np.array([np.log((1 + n) / (1 + counts.get(i, 0))) + 1 for i in range(FEATURES)], dtype=np.float32)
+    idf = np.array([np.log((1 + n) / (1 + counts.get(i, 0))) + 1 for i in range(FEATURES)])
     first = Window.partitionBy("__lang").orderBy("__key")
     keys = rows.select("__lang", "__key").distinct().withColumn("__n", F.row_number().over(first)).filter(F.col("__n") <= sample).drop("__n")
     # at most ``sample`` keys a language
     chosen = rows.join(F.broadcast(keys), ["__lang", "__key"], "left_semi")
-    fit = chosen.groupBy("__lang").applyInArrow(_fit(idf, centroids, ROUNDS), "lang string, no int, centroid array<float>")
-    got = sorted((r["lang"], r["no"], r["centroid"]) for r in fit.collect())
-    return Model(idf, np.array([c for _, _, c in got], dtype=np.float32).reshape(-1, FEATURES), [lang for lang, _, _ in got])
+    fit = chosen.groupBy("__lang").applyInArrow(_fit(idf, centroids, ROUNDS), "lang string, no int, places array<int>, centroid array<float>, limits array<double>")
+    got = sorted(fit.collect(), key=lambda r: (r["lang"], r["no"]))
+    table = np.zeros((FEATURES, len(got)), dtype=np.float32)
+    for j, r in enumerate(got):
+        table[r["places"], j] = r["centroid"]
+    return Model(idf, table, [r["lang"] for r in got], np.array([r["limits"] for r in got]).reshape(-1, SIZES))
 
 
-def identified(docs: DataFrame, model: Model, text_col: str = "text", least: float = LEAST_COSINE) -> DataFrame:
+def identified(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """``row`` (all columns of ``docs``), lang_pred, score (cosine, 0 to 1), rejected.
 
     Null texts and texts without a letter are ``und`` with score 0 and rejected. Without a model all
@@ -145,11 +227,12 @@ def identified(docs: DataFrame, model: Model, text_col: str = "text", least: flo
         for batch in batches:
             for part, texts in _pieces(batch):
                 letter = np.asarray(part.column("__letter").to_pylist(), dtype=bool)
-                if len(m.centroids):
-                    cosines = _vectors(texts, m.idf) @ m.centroids.T
+                if m.languages:
+                    grams = _counts(texts).scaled(m.idf)
+                    cosines = grams.cosines(m.centroids)
                     best = np.argmax(cosines, axis=1)
-                    score = np.clip(cosines[np.arange(len(texts)), best], 0, 1).astype(np.float64)
-                    out = ~letter | (score < least)
+                    score = np.clip(cosines[np.arange(len(texts)), best], 0, 1)
+                    out = ~letter | (score < m.limits[best, grams.sizes()])
                 else:
                     best, score, out = np.full(len(texts), len(m.languages)), np.zeros(len(texts)), ~letter
                 best, score = np.where(letter, best, len(m.languages)), np.where(letter, score, 0.0)

@@ -58,6 +58,21 @@ def test_language_held_out_accuracy(spark):
     assert got.filter("rejected").count() == 0
 
 
+@pytest.mark.parametrize("n_words", [20, 100, 1000, 5000])
+def test_language_rejects_unlearned_scripts_at_every_length(spark, n_words):
+    r = random.Random(n_words)
+    alphabets = {"cyrillic": range(0x430, 0x450), "greek": range(0x3B1, 0x3CA), "cjk": range(0x4E00, 0x5E00), "hangul": range(0xAC00, 0xB400),
+                 "arabic": range(0x627, 0x64B), "latin": range(97, 123), "base64": [*range(48, 58), *range(65, 91), *range(97, 123), 43, 47]}
+    texts = [" ".join("".join(chr(r.choice(a)) for _ in range(r.randint(2, 9))) for _ in range(n_words)) for a in alphabets.values() for _ in range(5)]
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = language.identified(frame(spark, texts, lang=None), language.learned(docs)).filter("not rejected").select("row.doc_id", "score").collect()
+    assert got == []
+    # one text over and over is no nearer to a language than the text itself, and no farther
+    some = [x.text for x in docs.filter("length(text) between 60 and 600").orderBy("doc_id").limit(20).collect()]
+    again = language.identified(frame(spark, [" ".join([t] * (1 + n_words * 6 // len(t))) for t in some], lang=None), language.learned(docs))
+    assert again.filter("rejected").count() == 0
+
+
 def test_language_does_not_see_held_out_labels_and_odd_texts(spark):
     rows = [(i, "the cat and the dog " * 3 if i % 2 else "der hund und die katze " * 3, "en" if i % 2 else "de", "s") for i in range(40)]
     rows += [(100, None, "en", "s"), (101, "", None, "s"), (102, "123 !!", "de", "s"), (103, "漢字漢字漢字漢字", None, "s"), (None, "the cat and the dog", None, None), (1, "the dog", "en", "s")]
