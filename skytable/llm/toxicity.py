@@ -2,7 +2,9 @@
 
 Words are runs of letters (A-Z as a-z). Token labels for training come from the document labels and
 counts over all labelled training rows: within toxic documents, a word counts as toxic if the word
-itself, or its first letters, are far more frequent in toxic than in other documents. The field has
+itself, or its first letters, are far more frequent in toxic than in other documents, and either
+common among them or beyond chance by the log-likelihood ratio, which asks for no share of all
+documents: words of a small language, or one of many, count too. The field has
 two states and features of the word, its first and last letters and both neighbours, hashed into
 weight tables. It is fitted on at most SAMPLE documents of each class, of at most SAMPLE_CHARS code
 points, in one task. Forward and backward messages of a two-state chain are ratios, so all documents
@@ -29,8 +31,9 @@ SAMPLE_CHARS = 16_384
 BITS = 18
 PREFIX, SUFFIX = 4, 4
 ROUNDS = 40
-# A word of a toxic document is labelled toxic from this log ratio of document shares, and share, on.
-LEAST_RATIO, LEAST_SHARE, LEAST_DOCS = 2.5, 0.03, 4
+# A word of a toxic document is labelled toxic from this log ratio of document shares, and share or
+# log-likelihood ratio (chi-squared of one degree: about one chance in ten thousand), on.
+LEAST_RATIO, LEAST_SHARE, LEAST_DOCS, LEAST_LIKELIHOOD = 2.5, 0.03, 4, 15.0
 SPAN = 0.5
 _MANY = 5
 _DOCS = 2048
@@ -136,13 +139,24 @@ def _presence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         **{f"n{c}": pa.array([int(n[c])] * 128, pa.int64()) for c in (0, 1)}})
 
 
+def _likelihood(c: list[np.ndarray], n: list[int]) -> np.ndarray:
+    """Log-likelihood ratio of counts ``c`` among ``n`` documents of two classes against one share for both."""
+    share = (c[0] + c[1]) / max(n[0] + n[1], 1)
+    out = np.zeros(len(share))
+    for seen, of in zip(c, n, strict=True):
+        for part, expected in ((seen, of * share), (of - seen, of * (1 - share))):
+            out += np.where(part > 0, part * np.log(np.maximum(part, 1) / np.maximum(expected, 1e-12)), 0)
+    return 2 * out
+
+
 def _telling(table: pa.Table) -> pa.Table:
     """Places of one part of the table that tell toxic documents from others."""
     c = [np.stack([np.asarray(x.as_py(), dtype=np.int64) for x in table.column(f"c{k}")]).sum(axis=0) for k in (0, 1)]
     n = [sum(table.column(f"n{k}").to_pylist()) for k in (0, 1)]
     part = table.column("part")[0].as_py()
     ratio = np.log((c[1] + 0.5) / (n[1] + 1)) - np.log((c[0] + 0.5) / (n[0] + 1))
-    found = np.flatnonzero((ratio >= LEAST_RATIO) & (c[1] >= np.maximum(LEAST_DOCS, LEAST_SHARE * n[1])))
+    frequent = (c[1] >= LEAST_SHARE * n[1]) | (_likelihood(c, n) >= LEAST_LIKELIHOOD)
+    found = np.flatnonzero((ratio >= LEAST_RATIO) & (c[1] >= LEAST_DOCS) & frequent)
     return pa.table({"place": pa.array(found + part * len(c[0]), pa.int32())})
 
 

@@ -97,6 +97,19 @@ def test_toxicity_held_out(spark):
     assert sum(r.predicted for r in rows if not r.toxic) <= 0.03 * sum(1 - r.toxic for r in rows)
 
 
+def test_toxicity_held_out_in_every_language(spark):
+    sf = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    got = toxicity.predictions(docs, labels).join(labels, "doc_id").join(docs.select("doc_id", "lang"), "doc_id").filter("held_out")
+    counts = {(r.lang, r.toxic): (r.n, r.hit) for r in got.groupBy("lang", "toxic").agg(F.count("*").alias("n"), F.sum("predicted").alias("hit")).collect()}
+    assert {k[0] for k in counts} == {"de", "en", "es", "fr"}
+    for lang in ("de", "en", "es", "fr"):
+        n, hit = counts[(lang, 1)]
+        assert hit >= 0.8 * n, counts
+        n, hit = counts[(lang, 0)]
+        assert hit <= 0.05 * n, counts
+
+
 def test_toxicity_marginals_and_edges(spark):
     import itertools
 
