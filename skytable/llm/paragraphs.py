@@ -19,8 +19,9 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from skytable.functions.storage import checkpointed, removed, written, written_at
 from skytable.llm.components import linked
@@ -34,6 +35,7 @@ HASHES = 64
 RECALL = 0.999
 WINDOW, SPREAD = 32, 20
 _MAX_PIECES = 4096
+_REMOVED = "not (doc_id <=> keep_doc_id and paragraph = keep_paragraph)"
 
 
 _PARITY = [f"p{k}" for k in range(4)]
@@ -161,28 +163,37 @@ def _windows(window: int, spread: int, shared=None) -> Callable[[Iterator[pa.Rec
                 points = np.concatenate([np.zeros(1, np.int64), np.cumsum((w.joined & 0xC0) != 0x80)])
                 lines = np.cumsum(w.joined == 10)
                 begin = points[w.text_start[text]]
-                line = lines[w.start[at]] - np.where(w.text_start[text] > 0, lines[w.text_start[text] - 1], 0)
+                above = np.where(w.text_start[text] > 0, lines[w.text_start[text] - 1], 0)
+                line, last = lines[w.start[at]] - above, lines[w.start[at + window - 1]] - above
                 rows = pa.array(text)
                 yield pa.RecordBatch.from_arrays(
-                    [_signed(h[at]), part.column("__id").take(rows), part.column("__key").take(rows), pa.array(line),
+                    [_signed(h[at]), part.column("__id").take(rows), part.column("__key").take(rows), pa.array(line), pa.array(last),
                      pa.array(points[w.start[at]] - begin), pa.array(points[w.end[at + window - 1]] - begin)],
-                    ["hash", "doc_id", "text_key", "paragraph", "start", "end"])
+                    ["hash", "doc_id", "text_key", "paragraph", "last", "start", "end"])
     return run
 
 
 def _passages(rows: DataFrame, classed: DataFrame, window: int, spread: int) -> DataFrame:
-    """Runs of words that other documents have too, outside of lines that are in a class: spans by line and kept place."""
+    """Runs of words that other documents have too, among what is left without removed lines: spans by line and kept place."""
     spark = rows.sparkSession
     known = rows.filter("__id is not null")
     hashes = known.mapInArrow(_windows(window, spread), "hash long, doc_id long").groupBy("hash").agg(F.min("doc_id").alias("p"), F.max("doc_id").alias("q"))
     hashes = written(hashes.filter("p != q").select("hash"), "windows")
     bitmap = spark.sparkContext.broadcast(bitmap_of(hashes.select(F.col("hash").alias("place"))))
-    found = known.mapInArrow(_windows(window, spread, bitmap), "hash long, doc_id long, text_key long, paragraph long, start long, end long")
-    found = written(found.join(hashes, "hash", "left_semi"), "window-places")
-    first = found.groupBy("hash").agg(F.min(F.struct("doc_id", "paragraph")).alias("first"), F.count("*").alias("n"))
-    open_ = found.join(classed.select("doc_id", "text_key", "paragraph"), ["doc_id", "text_key", "paragraph"], "left_anti")
-    spans = open_.join(first, "hash").groupBy("doc_id", "text_key", "paragraph", "first").agg(
-        F.min("start").alias("start"), F.max("end").alias("end"), F.max("n").alias("class_size"), F.count("*").alias("k"))
+    found = known.mapInArrow(_windows(window, spread, bitmap), "hash long, doc_id long, text_key long, paragraph long, last long, start long, end long")
+    found = found.join(hashes, "hash", "left_semi")
+    # a run that touches a removed line goes with it; the line that a class keeps stays open
+    gone = classed.filter(_REMOVED).groupBy("doc_id", "text_key").agg(F.collect_set("paragraph").alias("gone"))
+    open_ = written(found.join(gone, ["doc_id", "text_key"], "left").filter("gone is null or not exists(gone, x -> x between paragraph and last)").drop("gone", "last"), "window-places")
+    first = open_.groupBy("hash").agg(F.min(F.struct("doc_id", "paragraph")).alias("first"), F.count("*").alias("n"), F.max("doc_id").alias("q"))
+    placed = open_.join(first.filter("first.doc_id != q").drop("q"), "hash")
+    # runs of one passage overlap, as they begin at most ``spread`` words apart; others are spans of their own
+    line = ["doc_id", "text_key", "paragraph", "first"]
+    before = Window.partitionBy(*line).orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
+    so_far = Window.partitionBy(*line).orderBy("start", "end").rowsBetween(Window.unboundedPreceding, 0)
+    cut = placed.withColumn("begins", F.coalesce((F.col("start") > F.max("end").over(before)).cast("int"), F.lit(1)))
+    spans = cut.withColumn("span", F.sum("begins").over(so_far)).groupBy(*line, "span").agg(
+        F.min("start").alias("start"), F.max("end").alias("end"), F.max("n").alias("class_size"))
     return spans.select("doc_id", "text_key", "paragraph", "start", "end", F.lit(window).cast("long").alias("n_words"), "class_size",
                         F.col("first.doc_id").alias("keep_doc_id"), F.col("first.paragraph").alias("keep_paragraph"), F.lit("passage").alias("unit"))
 
@@ -238,14 +249,32 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
         F.col("first.paragraph").alias("keep_paragraph"), F.lit("paragraph").alias("unit"))
     out = written(out, "paragraph-classes")
     out = out.unionByName(_passages(rows, out, WINDOW, SPREAD))
-    return out.withColumn("removed", ~(F.col("doc_id").eqNullSafe(F.col("keep_doc_id")) & (F.col("paragraph") == F.col("keep_paragraph"))))
+    return out.withColumn("removed", F.expr(_REMOVED))
+
+
+@F.udf(T.StringType(), useArrow=True)
+def _left(text: str, gone: list[int], cuts: list[tuple[int, int]]) -> str:
+    """``text`` without the lines ``gone`` and the code points in ``cuts``; ends of lines that stay are kept."""
+    out, at = [], 0
+    for number, line in enumerate(text.split("\n")):
+        if number not in gone:
+            kept, done = [], 0
+            for start, end in sorted((c[0] - at, c[1] - at) for c in cuts):
+                kept.append(line[done:max(start, done)])
+                done = max(done, end)
+            out.append("".join([*kept, line[done:]]))
+        at += len(line) + 1
+    return "\n".join(out)
 
 
 def cleaned(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the paragraphs that ``found`` (of ``repeated``) removes; passages inside of lines and other texts stay as they were."""
-    gone = found.filter("removed and unit = 'paragraph'").groupBy("doc_id", "text_key").agg(F.collect_set("paragraph").alias("__gone"))
-    gone = gone.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), "__gone")
+    """``docs`` without the paragraphs and the spans of passages that ``found`` (of ``repeated``) removes; other texts stay as they were."""
+    passage = F.col("unit") == "passage"
+    gone = found.filter("removed").groupBy("doc_id", "text_key").agg(
+        F.collect_set(F.when(~passage, F.col("paragraph"))).alias("__gone"), F.collect_set(F.when(passage, F.struct("start", "end"))).alias("__cuts"))
+    gone = gone.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), "__gone", "__cuts")
     keyed = docs.withColumn("__own", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
     both = keyed.join(gone, (keyed["__own"] == gone["__key"]) & keyed[id_col].eqNullSafe(gone["__id"]), "left")
-    left: Column = F.array_join(F.filter(F.split(F.col(text_col), "\n", -1), lambda x, i: ~F.array_contains("__gone", i.cast("long"))), "\n")
-    return both.withColumn(text_col, F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(left)).select(*[keyed[c] if c != text_col else F.col(c) for c in docs.columns])
+    left = _left(F.col(text_col), F.col("__gone"), F.col("__cuts"))
+    some = both.filter("__key is not null").withColumn(text_col, left)
+    return some.unionByName(both.filter("__key is null")).select(*docs.columns)

@@ -136,6 +136,39 @@ def test_paragraphs_catch_copies_near_copies_and_passages(spark, words):
     assert paragraphs.repeated(docs(spark, [])).count() == 0
 
 
+def test_paragraphs_passages_of_kept_lines_and_kept_places(spark, words):
+    passage, other, long, own = words(70, 61), words(70, 62), words(700, 60), [words(60, 63 + k) for k in range(8)]
+    shared = f"{own[0]} {passage} {own[1]}"
+    docs = spark.createDataFrame([
+        # a line kept in 2 and removed in 3 holds a passage of 1
+        (1, f"{own[2]} {passage} {own[3]}"), (2, shared), (3, shared),
+        # the earliest place of another passage is in a near copy that goes with its class
+        (10, long), (11, f"{long} {other}"), (12, f"{own[6]} {other}"),
+        # two passages of one line with own words between
+        (20, f"{passage} {own[7]} {other}")], "doc_id long, text string")
+    found = paragraphs.repeated(docs)
+    rows = found.collect()
+    assert [(r.keep_doc_id, r.removed) for r in rows if r.doc_id == 2 and r.unit == "passage"] == [(1, True)]
+    gone = {(r.doc_id, r.paragraph) for r in rows if r.unit == "paragraph" and r.removed}
+    assert gone == {(3, 0), (11, 0)}
+    assert all((r.keep_doc_id, r.keep_paragraph) not in gone for r in rows)
+    text = {r.doc_id: r.text for r in paragraphs.cleaned(docs, found).collect()}
+    inside = " ".join(passage.split()[20:50])
+    assert [i for i, t in sorted(text.items()) if inside in t] == [1]
+    assert [i for i, t in sorted(text.items()) if " ".join(other.split()[20:50]) in t] == [12]
+    # words of its own are never cut
+    assert own[7] in text[20] and own[0] in text[2] and own[1] in text[2] and text[3] == ""
+
+
+def test_paragraphs_first_place_is_not_a_removed_line(spark, words):
+    passage, a, b, c = words(70, 71), words(60, 72), words(60, 73), words(60, 74)
+    line = f"{a} {passage} {b}"
+    docs = spark.createDataFrame([(5, f"{line}\n{line}"), (7, f"{c} {passage}")], "doc_id long, text string")
+    rows = paragraphs.repeated(docs).collect()
+    assert {(r.doc_id, r.paragraph, r.removed) for r in rows if r.unit == "paragraph"} == {(5, 0, False), (5, 1, True)}
+    assert {(r.doc_id, r.paragraph, r.removed) for r in rows if r.unit == "passage"} == {(5, 0, False), (7, 0, True)}
+
+
 def test_banding_has_the_wanted_recall():
     bands, rows = paragraphs.banding()
     assert bands * rows <= paragraphs.HASHES and 1 - (1 - 0.8 ** rows) ** bands >= paragraphs.RECALL
