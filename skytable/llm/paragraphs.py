@@ -28,7 +28,8 @@ from skytable.llm.components import linked
 from skytable.llm.ngram_join import bitmap_of
 from skytable.llm.words import Words, mixed, powers, shingles, steps, BACK, BASE
 
-LEAST_WORDS = 40
+# Six shingles.
+LEAST_WORDS = 10
 SIZE = 5
 PERCENT = 80
 HASHES = 64

@@ -169,6 +169,15 @@ def test_paragraphs_first_place_is_not_a_removed_line(spark, words):
     assert {(r.doc_id, r.paragraph, r.removed) for r in rows if r.unit == "passage"} == {(5, 0, False), (7, 0, True)}
 
 
+def test_paragraphs_of_few_words(spark, words):
+    exact, near = words(15, 81), words(38, 82).split()
+    changed = " ".join([*near[:-1], "changed"])
+    rows = paragraphs.repeated(spark.createDataFrame(
+        [(1, f"{words(60, 83)}\n{exact}"), (2, f"{exact}\n{words(60, 84)}"), (3, " ".join(near)), (4, changed), (5, words(9, 85)), (6, words(9, 85))], "doc_id long, text string")).collect()
+    assert {(r.unit, r.doc_id, r.paragraph, r.keep_doc_id, r.removed) for r in rows} == {
+        ("paragraph", 1, 1, 1, False), ("paragraph", 2, 0, 1, True), ("paragraph", 3, 0, 3, False), ("paragraph", 4, 0, 3, True)}
+
+
 def test_banding_has_the_wanted_recall():
     bands, rows = paragraphs.banding()
     assert bands * rows <= paragraphs.HASHES and 1 - (1 - 0.8 ** rows) ** bands >= paragraphs.RECALL
