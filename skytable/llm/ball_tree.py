@@ -17,7 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skytable.functions.storage import written
@@ -26,8 +26,6 @@ SHARD_ROWS = 8_192
 QUERY_BLOCK = 1_024
 LEAF_ROWS = 128
 SCALE = 64
-# Larger components could make a score that no long holds.
-LARGEST = 1 << 26
 _NONE = np.iinfo(np.int64).min + 1
 
 
@@ -71,8 +69,10 @@ class BallTree:
 
     def bounds(self, queries: np.ndarray) -> np.ndarray:
         """Upper bound of the inner product of each query with any row of each leaf."""
-        reach = queries @ self.centre.T + np.sqrt((queries ** 2).sum(axis=1))[:, None] * self.radius
-        reach += 1e-9 * np.abs(reach) + 1e-3
+        size = np.sqrt((queries ** 2).sum(axis=1))[:, None]
+        reach = queries @ self.centre.T + size * self.radius
+        # sums of large products that cancel are off by their own size
+        reach += 1e-9 * size * (np.sqrt((self.centre ** 2).sum(axis=1)) + self.radius) + 1e-3
         for node in range(1, len(self.parent)):  # parents come before their children
             reach[:, node] = np.minimum(reach[:, node], reach[:, self.parent[node]])
         return reach[:, self.leaf]
@@ -90,12 +90,26 @@ def _best(scores: np.ndarray, place: np.ndarray, k: int, top: int, n: int) -> tu
     return np.take_along_axis(scores, at, 1), np.take_along_axis(place, at, 1)
 
 
+def _largest(x: np.ndarray) -> int:
+    return max(int(x.max(initial=0)), -int(x.min(initial=0)))
+
+
+def _reach(x: np.ndarray) -> int:
+    """The largest sum of the sizes of a row's components."""
+    return max((sum(map(abs, row)) for row in x.tolist()), default=0)
+
+
 def search(ids: np.ndarray, rows: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, floor: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Rows of the shard among each query's k best that reach ``floor``: place of the query, vec_id, score."""
     by_id = np.argsort(ids, kind="stable")
     ids, rows = ids[by_id], rows[by_id]
-    largest = int(max(np.abs(rows).max(initial=0), np.abs(queries).max(initial=0)))
-    top = rows.shape[1] * largest * largest
+    # no score of these rows is larger; Python's whole numbers do not run over
+    top = rows.shape[1] * _largest(rows) * _largest(queries)
+    if top >= 1 << 62:
+        # exact bound: largest sums of sizes instead of the number of components times the largest product
+        top = min(_reach(rows) * _largest(queries), _reach(queries) * _largest(rows))
+    if top >= 1 << 62:
+        raise OverflowError(f"inner products of up to {top} may not fit a long")
     kind = np.float64 if top < 1 << 52 else np.int64
     x, q = rows.astype(np.float64), queries.astype(np.float64)
     tree = BallTree.built(x)
@@ -140,11 +154,16 @@ def _task(k: int):
 def quantised(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """vec_id, dim, v (floor of SCALE times each component) of the vectors that take part.
 
-    Null and empty vectors, vectors with a null or non-finite component or one beyond LARGEST, and
-    rows without an id take no part.
+    Null and empty vectors, vectors with a null or non-finite component, and rows without an id take
+    no part. A component whose SCALE fold no long holds is an error.
     """
-    v = F.transform(F.col(vector_col), lambda x: F.floor(x.cast("double") * SCALE))
-    fine = F.forall(vector_col, lambda x: F.coalesce(F.abs(x.cast("double")) < LARGEST / SCALE, F.lit(False)))
+    def whole(x: Column) -> Column:
+        y = F.floor(x.cast("double") * SCALE)
+        held = F.abs(x.cast("double")) < float(1 << 63) / SCALE
+        return F.when(held, y).otherwise(F.raise_error(F.concat(F.lit("component too large for a score that a long holds: "), x.cast("string"))).cast("long"))
+
+    v = F.transform(F.col(vector_col), whole)
+    fine = F.forall(vector_col, lambda x: F.coalesce(F.abs(x.cast("double")) < float("inf"), F.lit(False)))
     rows = vectors.filter(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull()).filter((F.size(vector_col) > 0) & fine)
     return rows.select(F.col(id_col).cast("long").alias("vec_id"), F.size(vector_col).alias("dim"), F.transform(v, lambda x: x.cast("long")).alias("v"))
 

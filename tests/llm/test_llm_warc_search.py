@@ -2,6 +2,7 @@
 
 import gzip
 import hashlib
+import math
 import random
 
 import numpy as np
@@ -114,3 +115,17 @@ def test_large_components_stay_exact():
     rows = np.array([[1 << 25, -3], [1 << 25, 5], [-(1 << 25), 1]], dtype=np.int64)
     of, found, score = ball_tree.search(np.array([1, 2, 3]), rows, np.array([9]), np.array([[(1 << 25) + 1, 7]], dtype=np.int64), np.full(1, ball_tree._NONE), 2)
     assert dict(zip(found.tolist(), score.tolist(), strict=True)) == {1: (1 << 25) * ((1 << 25) + 1) - 21, 2: (1 << 25) * ((1 << 25) + 1) + 35}
+
+
+def test_large_finite_vectors_take_part(spark):
+    rows = [(0, [1.0, 2.0]), (1, [3e6, -2.0]), (2, [2e6, 5e6]), (3, [1.0, float("inf")]), (4, [None, 1.0]), (5, [0.5, 0.25]), (6, [float("nan"), 1.0])]
+    some = ball_tree.quantised(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    got = {(r.query_id, r.vec_id): r.score for r in ball_tree.top_k(some, some, 20).collect()}
+    v = {i: [math.floor(64 * x) for x in e] for i, e in rows if i in (0, 1, 2, 5)}
+    assert got == {(a, b): sum(x * y for x, y in zip(v[a], v[b], strict=True)) for a in v for b in v if a != b}
+    far = ball_tree.quantised(spark.createDataFrame([(0, [1e300, 1.0]), (1, [1.0, 1.0])], "vec_id long, embedding array<double>"))
+    with pytest.raises(Exception, match="too large"):
+        ball_tree.top_k(far, far, 1).collect()
+    far = ball_tree.quantised(spark.createDataFrame([(0, [1e10, 1.0]), (1, [1e10, 1.0])], "vec_id long, embedding array<double>"))
+    with pytest.raises(Exception, match="may not fit a long"):
+        ball_tree.top_k(far, far, 1).collect()
