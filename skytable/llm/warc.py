@@ -7,7 +7,9 @@ length field; a record of 16 MB or more gets an empty member behind it). The arc
 
 The reader takes each archive apart on its own. Where a member or a record fails a check (CRC,
 header, length, digest, end of record), it looks for the next place at which a whole valid record
-begins, goes on from there, and logs the bytes in between as a gap.
+begins, goes on from there, and logs the bytes in between as a gap. The same is done within the
+content of a member, also with what a member that is cut or broken gave before; of that, only records
+count whose digest is right.
 """
 
 from __future__ import annotations
@@ -32,6 +34,7 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 _END = b"\r\n\r\n"
 _FEED = 1 << 16
+_VERSION = re.compile(rb"WARC/1\.[01]\r\n")
 _BEGINS = re.compile(rb"\x1f\x8b\x08|WARC/1\.[01]\r\n")
 
 
@@ -99,21 +102,31 @@ class Record:
 
 
 class Damaged(Exception):
-    """A check that failed."""
+    """A check that failed; ``content`` is what a member gave up to there."""
+
+    def __init__(self, reason: str, content: bytes = b""):
+        super().__init__(reason)
+        self.content = content
 
 
 def _member(data: bytes, at: int) -> tuple[bytes, int]:
     """Content and end of the gzip member at ``at``; its CRC and length are checked."""
     d, out, end = zlib.decompressobj(31), [], at
-    try:
-        while not d.eof:
-            chunk = data[end:end + _FEED]
-            if not chunk:
-                raise Damaged("cut member")
+    while not d.eof:
+        chunk, before = data[end:end + _FEED], d.copy()
+        if not chunk:
+            raise Damaged("cut member", b"".join(out))
+        try:
             out.append(d.decompress(chunk))
-            end += len(chunk)
-    except zlib.error as e:
-        raise Damaged("broken member") from e
+        except zlib.error as e:
+            # byte by byte, up to the one that fails
+            try:
+                for k in range(len(chunk)):
+                    out.append(before.decompress(chunk[k:k + 1]))
+            except zlib.error:
+                pass
+            raise Damaged("broken member", b"".join(out)) from e
+        end += len(chunk)
     return b"".join(out), end - len(d.unused_data)
 
 
@@ -149,19 +162,58 @@ def _record(data: bytes, at: int) -> tuple[dict[str, str], bytes, int]:
     return fields, payload, end + 4
 
 
+def _inside(content: bytes, start: int, end: int, vouched: bool) -> list[Record]:
+    """Records of a member's content, and gaps within it; only those with a digest where ``vouched`` is set. Nothing if it has no record."""
+    records, place, lost, reason, some = [], 0, None, "", False
+
+    def gap(until: int) -> None:
+        records.append(Record(start, end, {}, reason=f"{reason} (bytes {lost} to {until} of the member's content)"))
+
+    while place < len(content):
+        if lost is None and content[place] in b"\x00\r\n":
+            place += 1
+            continue
+        try:
+            fields, payload, after = _record(content, place)
+            digests = ["warc-block-digest", *(["warc-payload-digest"] if fields.get("warc-type") != "revisit" else [])]
+            if vouched and not any(fields.get(d, "").startswith("sha256:") for d in digests):
+                raise Damaged("no digest in a broken member")
+        except Damaged as e:
+            if lost is None:
+                lost, reason = place, str(e)
+            begins = _VERSION.search(content, place + 1)
+            place = begins.start() if begins else len(content)
+            continue
+        if lost is not None:
+            gap(place)
+            lost = None
+        records.append(Record(start, end, fields, payload))
+        place, some = after, True
+    if lost is not None:
+        gap(len(content))
+    if lost is not None and not some:
+        raise Damaged(reason)
+    return records
+
+
 def _at(data: bytes, at: int) -> tuple[list[Record], int]:
-    """The records of the member or plain record at ``at``, and where it ends."""
+    """The records of the member or plain record at ``at``, with gaps inside the member, and where it ends."""
     if data.startswith(b"\x1f\x8b\x08", at):
         inside, end = _member(data, at)
-        records, place = [], 0
-        while place < len(inside):
-            fields, payload, place = _record(inside, place)
-            records.append(Record(at, end, fields, payload))
-        return records, end
+        return _inside(inside, at, end, vouched=False), end
     fields, payload, end = _record(data, at)
     return [Record(at, end, fields, payload)], end
 
 
+def _given(data: bytes, at: int, content: bytes) -> list[Record]:
+    """Records in what a broken member at ``at`` gave; the gap that follows names what is lost behind them."""
+    begins = _BEGINS.search(data, at + 1)
+    try:
+        return _inside(content, at, begins.start() if begins else len(data), vouched=True)
+    except Damaged:
+        return []
+
+
 def salvage(data: bytes) -> Iterator[Record]:
     """All records of an archive in order, with a gap for every stretch of bytes that belongs to none.
 
@@ -175,6 +227,11 @@ def salvage(data: bytes) -> Iterator[Record]:
         try:
             records, end = _at(data, at)
         except Damaged as e:
+            if given := _given(data, at, e.content) if e.content else []:
+                if lost is not None:
+                    yield Record(lost, at, {}, reason=reason)
+                yield from given
+                lost = None
             if lost is None:
                 lost, reason = at, str(e)
             begins = _BEGINS.search(data, at + 1)

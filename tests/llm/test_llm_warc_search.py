@@ -47,6 +47,27 @@ def test_salvage_checks_length_and_digest():
     assert ids(quoting + good) == [("<urn:page:2>", None), ("<urn:page:1>", None)]
 
 
+def test_salvage_goes_on_inside_of_a_member():
+    name = lambda i: f"<urn:page:{i}>"
+    r = random.Random(5)
+    parts = [record(i, r.randbytes(3000)) for i in range(30)]
+    bad = bytearray(parts[3])
+    bad[-20] ^= 1
+    content = b"".join([*parts[:3], bytes(bad), *parts[4:]])
+    packed = gzip.compress(content)
+    got = list(warc.salvage(packed))
+    assert [x.fields.get("warc-record-id") for x in got if x.reason is None] == [name(i) for i in range(30) if i != 3]
+    assert [x.reason.split(" (")[0] for x in got if x.reason] == ["wrong block digest"]
+    # a wrong CRC, and a cut tail with a whole member behind it
+    wrong = bytearray(gzip.compress(b"".join(parts)))
+    wrong[-6] ^= 1
+    assert [i for i, gap in ids(bytes(wrong)) if gap is None] == [name(i) for i in range(30)] and any(gap for _, gap in ids(bytes(wrong)))
+    cut = gzip.compress(b"".join(parts))
+    cut = cut[:len(cut) // 2] + warc.member_bytes(record(99))
+    found = [i for i, gap in ids(cut) if gap is None]
+    assert found[:10] == [name(i) for i in range(10)] and found[-1] == name(99) and len(found) == len(set(found)) > 12
+
+
 def test_members_end_in_zero_and_are_plain_gzip():
     data = b"".join(warc.member_bytes(record(i)) for i in range(3))
     assert gzip.decompress(data) == b"".join(record(i) for i in range(3))
