@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from skytable.llm import ball_tree, bpe, exact_dedup, language, mixing, ngram_join, paragraphs, pii, toxicity, warc
+from skytable.llm import ball_tree, bpe, divergence, exact_dedup, filters, language, mixing, ngram_join, paragraphs, pii, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -99,3 +99,13 @@ SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, least(doc_id, COALESCE((SEL
 FROM sets""")
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.joined(table(spark, sf_dir, "documents"))[0].select("doc_id", "n_shingles", "component_id")
+
+
+@query("op11_filter_interaction", filters.AUDIT_SQL)
+def op11_filter_interaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filters.interactions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op12_source_divergence", divergence.DIVERGENCE_SQL)
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergences(table(spark, sf_dir, "documents"))

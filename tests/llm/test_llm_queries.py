@@ -26,7 +26,7 @@ def test_same_rows(spark, name):
 
 def test_one_query_for_each_operator():
     names = [n for n in entry.queries() if re.match(r"op[0-9]+_", n)]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11)) and "pipeline" in entry.queries()
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14)) and "pipeline" in entry.queries()
 
 
 def test_bpe_query_equals_the_library(spark):
