@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from skytable.llm import ball_tree, bpe, divergence, exact_dedup, filters, language, mixing, ngram_join, paragraphs, pii, toxicity, warc
+from skytable.llm import ball_tree, bpe, context_mixing, divergence, exact_dedup, filters, language, mixing, ngram_join, paragraphs, pii, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -109,3 +109,8 @@ def op11_filter_interaction(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op12_source_divergence", divergence.DIVERGENCE_SQL)
 def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.divergences(table(spark, sf_dir, "documents"))
+
+
+@query("op13_context_mixing")
+def op13_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return context_mixing.scores(table(spark, sf_dir, "documents"))
