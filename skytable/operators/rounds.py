@@ -52,3 +52,27 @@ def ordered_suppression(nodes: DataFrame, edges: DataFrame, key: str) -> DataFra
         links = checkpointed(links.join(done, "earlier", "left_anti")
                              .join(decided.withColumnRenamed(key, "later"), "later", "left_anti"))
     return open_nodes if kept is None else kept.unionByName(open_nodes)
+
+
+def connected(edges: DataFrame) -> DataFrame:
+    """The least id that each id of ``edges`` (columns a, b) reaches: ``id``, ``root``.
+
+    Ids may be of any type that has an order. Every round ties the larger neighbours of a node to the least node it
+    knows, then the smaller ones, so trees get flatter by half and a hub's edges stay one each; rounds end when the
+    edges are stars.
+    """
+    now = checkpointed(edges.filter("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    while True:
+        ends = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        low = ends.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        up = ends.join(low, "a").filter("b > a").select(F.col("m").alias("a"), "b").distinct()
+        low = up.groupBy("b").agg(F.min("a").alias("m"))
+        tied = up.join(low, "b").filter("a != m").select(F.col("m").alias("a"), F.col("a").alias("b"))
+        new = checkpointed(tied.unionByName(low.select(F.col("m").alias("a"), "b")).distinct())
+        # stars: the same edges as before, and no node is both a centre and a ray
+        same = new.join(now, ["a", "b"], "left_anti").isEmpty() and now.join(new, ["a", "b"], "left_anti").isEmpty()
+        now = new
+        if same:
+            break
+    roots = now.select(F.col("a").alias("id")).distinct().withColumn("root", F.col("id"))
+    return now.select(F.col("b").alias("id"), F.col("a").alias("root")).unionByName(roots)

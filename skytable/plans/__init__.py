@@ -1,6 +1,7 @@
 """The registered queries, in the order of the operator inventory."""
 
 from skytable.plans import (  # noqa: F401
+    blob_queries,
     capture_queries,
     frame_queries,
     input_queries,
@@ -8,6 +9,7 @@ from skytable.plans import (  # noqa: F401
     object_queries,
     pixel_queries,
     sky_queries,
+    spike_queries,
     stream_queries,
 )
 from skytable.plans.registry import ORACLE, QUERIES
