@@ -35,7 +35,7 @@ SCALE = 1_000_000_000
 TERM_RANKS = 200
 # Bytes of text whose pointers are sorted together.
 SLICE_BYTES = 4 << 20
-BLOCK_CELLS = 1 << 21
+BLOCK_CELLS = 1 << 17
 # Sources that a block compares with all others at once.
 TILE_SOURCES = 512
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
