@@ -8,7 +8,7 @@ from skytable.functions.storage import fresh_path
 from skytable.plans.frame_queries import JUDGED, OVERRIDE, frames
 from skytable.plans.registry import query
 from skytable.plans.views import table, view, with_views
-from skytable.streaming import streams
+from skytable.streaming import ranks, scans, streams
 
 
 def arriving(spark, df, name: str, parts: int = 1):
@@ -75,3 +75,42 @@ def hand_override_stream(spark, sf):
     from skytable.operators.frames import verdicts
     o = streams.latest_overrides(arriving(spark, early.unionByName(last), "overrides", 3), fresh_path(spark, "latest"))
     return streams.overridden_states(verdicts(f), o).select("frame_id", "final")
+
+
+# first all paths are listed, then their digests come, then the folder is listed again with a fifth of the files touched, then with nothing new
+@query("known_files", with_views("files", """acts AS (SELECT concat('p', CAST(file_id AS VARCHAR)) AS path, 'read' AS action, CAST(NULL AS VARCHAR) AS digest, size, 1 AS mtime FROM files
+UNION ALL SELECT concat('p', CAST(file_id AS VARCHAR)), 'digest', digest, size, 1 FROM files WHERE size % 7 <> 3
+UNION ALL SELECT concat('p', CAST(file_id AS VARCHAR)), 'read', NULL, size, CASE WHEN size % 5 = 0 THEN 2 ELSE 1 END FROM files WHERE size % 5 = 0 OR size % 7 = 3
+UNION ALL SELECT concat('p', CAST(file_id AS VARCHAR)), 'digest', sha1(digest), size, 2 FROM files WHERE size % 5 = 0)
+SELECT path, action, digest, size, CAST(mtime AS BIGINT) AS mtime, CAST(count(*) AS BIGINT) AS times FROM acts GROUP BY ALL"""))
+def known_files(spark, sf):
+    f = view(spark, sf, "files").select(F.concat(F.lit("p"), F.col("file_id")).alias("path"), F.col("size").cast("long").alias("size"), "digest")
+    touched = F.col("size") % 5 == 0
+    listed = f.select("path", "size", F.lit(1).cast("long").alias("mtime"), F.lit(10).cast("long").alias("seen"), F.lit(None).cast("string").alias("digest"))
+    # digests that come twice, and one of an older look at the file, say nothing
+    digests = f.filter("size % 7 <> 3").select("path", "size", F.lit(1).cast("long").alias("mtime"), F.lit(10).cast("long").alias("seen"), "digest")
+    again = listed.withColumns({"mtime": F.when(touched, 2).otherwise(1).cast("long"), "seen": F.lit(20).cast("long")})
+    last = f.filter(touched).select("path", "size", F.lit(2).cast("long").alias("mtime"), F.lit(20).cast("long").alias("seen"), F.sha1("digest").alias("digest"))
+    late = listed.withColumn("seen", F.lit(5).cast("long"))
+    root = fresh_path(spark, "known")
+    for events in (listed, digests.unionByName(digests), again.unionByName(late), last.unionByName(digests.filter(touched))):
+        events.write.mode("append").parquet(f"{root}/events")
+        acts = scans.settle(spark, root)
+    return acts.groupBy("path", "action", "digest", "size", "mtime").agg(F.count("*").alias("times"))
+
+
+@query("running_gates", with_views("frames", """RECURSIVE b AS (SELECT 0 AS batch UNION ALL SELECT batch + 1 FROM b WHERE batch < 2),
+valid AS (SELECT b.batch, f.* FROM frames f JOIN b ON frame_id % 3 <= b.batch WHERE fwhm > 0 AND eccentricity > 0 AND stars > 0 AND psf_snr > 0),
+long AS (SELECT batch, filter, 'psf_snr' AS metric, CAST(psf_snr AS DOUBLE) AS value FROM valid UNION ALL SELECT batch, filter, 'fwhm', fwhm FROM valid
+  UNION ALL SELECT batch, filter, 'eccentricity', eccentricity FROM valid UNION ALL SELECT batch, filter, 'stars', CAST(stars AS DOUBLE) FROM valid),
+mids AS (SELECT batch, filter, metric, count(*) AS n, median(value) AS med FROM long GROUP BY ALL),
+devs AS (SELECT l.batch, l.filter, l.metric, 14826e-4 * median(abs(l.value - m.med)) AS sd FROM long l JOIN mids m ON l.batch = m.batch AND l.filter = m.filter AND l.metric = m.metric GROUP BY ALL)
+SELECT CAST(m.batch AS INTEGER) AS batch, m.filter, m.metric, n, round(med, 9) AS median, CASE WHEN m.metric <> 'psf_snr' THEN round(sd, 9) END AS sigma FROM mids m JOIN devs d ON m.batch = d.batch AND m.filter = d.filter AND m.metric = d.metric WHERE n >= 10"""))
+def running_gates(spark, sf):
+    f = frames(spark, sf)
+    path = fresh_path(spark, "nights")
+    for third in range(3):
+        f.filter(F.col("frame_id") % 3 == third).coalesce(1).write.mode("append").parquet(path)
+    stream = streams.table_stream(spark, path, f, files_per_batch=1)
+    g = ranks.running_gates(stream, fresh_path(spark, "running"))
+    return g.select("batch", "filter", "metric", "n", F.round("median", 9).alias("median"), F.round("sigma", 9).alias("sigma"))

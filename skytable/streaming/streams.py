@@ -69,12 +69,14 @@ def settled(before: DataFrame, after: DataFrame, late: str = "1 hour", within: s
 
 # --- tables kept by batches ----------------------------------------------------------------
 
-def _run_batches(stream: DataFrame, root: str, step) -> None:
+def run_batches(stream: DataFrame, root: str, step) -> None:
+    """Run ``step`` on every batch of what has arrived."""
     q = (stream.writeStream.foreachBatch(step).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start())
     q.awaitTermination()
 
 
-def _versions(spark: SparkSession, root: str, name: str) -> list[int]:
+def versions(spark: SparkSession, root: str, name: str) -> list[int]:
+    """Batches that have a version of a table under ``root``."""
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(f"{root}/{name}")
     fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -92,11 +94,11 @@ def rolling_verdicts(stream: DataFrame, root: str, settings: DataFrame | None =
     def step(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{root}/cohort/batch={number}")
         cohort = batch.sparkSession.read.schema(batch.schema).parquet(*[
-            f"{root}/cohort/batch={n}" for n in _versions(batch.sparkSession, root, "cohort") if n <= number])
+            f"{root}/cohort/batch={n}" for n in versions(batch.sparkSession, root, "cohort") if n <= number])
         frame_rules.verdicts(cohort, settings).write.mode("overwrite").parquet(f"{root}/verdicts/batch={number}")
-    _run_batches(stream, root, step)
+    run_batches(stream, root, step)
     spark = stream.sparkSession
-    return spark.read.parquet(f"{root}/verdicts/batch={_versions(spark, root, 'verdicts')[-1]}")
+    return spark.read.parquet(f"{root}/verdicts/batch={versions(spark, root, 'verdicts')[-1]}")
 
 
 def latest_overrides(stream: DataFrame, root: str, key: str = "path", order: Column | None = None) -> DataFrame:
@@ -106,14 +108,14 @@ def latest_overrides(stream: DataFrame, root: str, key: str = "path", order: Col
     def step(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         rows = batch.select(key, "override", "at")
-        before = [n for n in _versions(spark, root, "overrides") if n < number]
+        before = [n for n in versions(spark, root, "overrides") if n < number]
         if before:
             rows = rows.unionByName(spark.read.schema(rows.schema).parquet(f"{root}/overrides/batch={before[-1]}"))
         rows.groupBy(key).agg(F.max_by("override", rank).alias("override"), F.max("at").alias("at")).write.mode("overwrite").parquet(
             f"{root}/overrides/batch={number}")
-    _run_batches(stream, root, step)
+    run_batches(stream, root, step)
     spark = stream.sparkSession
-    return spark.read.parquet(f"{root}/overrides/batch={_versions(spark, root, 'overrides')[-1]}")
+    return spark.read.parquet(f"{root}/overrides/batch={versions(spark, root, 'overrides')[-1]}")
 
 
 def overridden_states(verdicts: DataFrame, overrides: DataFrame, key: str = "path") -> DataFrame:
