@@ -4,8 +4,10 @@ A document is the set of its 3-word shingles. Two sets of Jaccard similarity t s
 the first n - ceil(t n) + 1 tokens of each, under any order of all tokens. Three orders are used:
 rare tokens first (by a count-min row over all documents; any function of the token is a valid order,
 so the counts need not be exact), and two orders by independent hashes. Buckets of the first order
-propose pairs whose sizes, places in the order and parity bitmaps leave enough to share; a pair goes on only if it also shares prefix tokens under the second and third order;
-then the shingle sets themselves are compared.
+propose pairs whose sizes, places in the order and parity bitmaps leave enough to share. A pair goes on
+only if it also shares prefix tokens under the second and third order, and if parity bitmaps that grow
+with the sets (two bits a token) do not differ in more bits than a linked pair may have tokens apart.
+Up to there only prefixes and bitmaps move; the shingle sets themselves are brought to the pairs that are left.
 
 Documents of equal sets are one node. Only connection is asked for, so members of a bucket are first
 compared with one of them; see ``components.linked``. Prefixes are kept in a written table; whole
@@ -87,6 +89,25 @@ def _digest(h: np.ndarray, ends: np.ndarray, n: np.ndarray) -> np.ndarray:
     return mixed(np.where(n > 0, total, np.uint64(0)) ^ mixed(n.astype(np.uint64))).view(np.int64)
 
 
+def _parities(h: np.ndarray, n: np.ndarray) -> pa.ListArray:
+    """For each set a bitmap of at least two bits a token: how often each residue occurs, modulo 2.
+
+    Sizes are powers of 2, so that the larger bitmap of two may be folded onto the smaller.
+    """
+    words = 1 << np.ceil(np.log2(np.maximum(n / 32, 4))).astype(np.int64)
+    ends = np.cumsum(words)
+    mask = np.repeat(words * 64 - 1, n).astype(np.uint64)
+    place = np.repeat((ends - words) * 64, n) + (h & mask).astype(np.int64)
+    odd = np.bincount(place, minlength=int(ends[-1]) * 64 if len(n) else 0) & 1
+    return _lists(np.packbits(odd.astype(np.uint8)).view(np.int64), words, pa.int64())
+
+
+def _folded(one: str, other: str) -> str:
+    """SQL for bitmap ``one`` at the size of the smaller of both."""
+    return (f"CASE WHEN size({one}) <= size({other}) THEN {one} ELSE transform(sequence(0, size({other}) - 1), "
+            f"i -> aggregate(sequence(i, size({one}) - 1, size({other})), 0L, (s, j) -> s ^ {one}[j])) END")
+
+
 def rarity(texts: DataFrame, size: int) -> np.ndarray:
     """Class of each bin, rare first: the rounded logarithm of how many documents meet it. 2 ** BINS bytes at any input size."""
     parts = texts.mapInArrow(_counted(size), "part int, n array<int>").groupBy("part").applyInArrow(_added, "part int, n array<long>").collect()
@@ -119,7 +140,7 @@ def _prefixed(shared, size: int, percent: int) -> Callable[[Iterator[pa.RecordBa
 
 
 def _whole(size: int, percent: int, shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Sets of the rows whose id is on the bitmap, with their prefixes under the second and third order."""
+    """Sets of the rows whose id is on the bitmap, with their sizes, parities and prefixes under the second and third order."""
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, bitmap = shared.value
         for batch in batches:
@@ -131,8 +152,8 @@ def _whole(size: int, percent: int, shared) -> Callable[[Iterator[pa.RecordBatch
                     piece, h = keys & ~_LOW, keys & _LOW
                     take, at = _prefix(n, ends, percent)
                     other = [(np.sort(piece | (mixed(h ^ c) >> np.uint64(12)))[at] & _LOW).astype(np.int64) for c in _ORDERS]
-                    yield pa.RecordBatch.from_arrays([pa.array(_digest(h, ends, n)), *[_lists(o, take, pa.int64()) for o in other],
-                                                      _lists(h.astype(np.int64), n, pa.int64())], ["id", "order2", "order3", "set"])
+                    yield pa.RecordBatch.from_arrays([pa.array(_digest(h, ends, n)), pa.array(n, pa.int64()), *[_lists(o, take, pa.int64()) for o in other],
+                                                      _parities(h, n), _lists(h.astype(np.int64), n, pa.int64())], ["id", "n", "order2", "order3", "parity", "set"])
     return whole
 
 
@@ -167,21 +188,28 @@ def joined(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, s
     full = prefixes.filter("n > 0 and id is not null")
     # a node is a set, named by its digest: copies of a set fall together without a join
     reps = written(full.groupBy("d1").agg(F.min("id").alias("rep")), "classes")
-    entries = full.select(F.posexplode("rare").alias("pos", "bucket"), F.col("d1").alias("id")).select("bucket", "id", "pos")
-    more = full.select(F.col("d1").alias("id"), "n", *_PARITY).dropDuplicates(["id"])
+    # one row for each set: the copies, which are few or fall out of a join by slim ids, take no part in buckets
+    copies = written(full.select("d1", "id").join(reps, "d1").filter("id != rep").select("d1", "id").distinct(), "copies")
+    single = full.join(copies, ["d1", "id"], "left_anti")
+    entries = single.select(F.posexplode("rare").alias("pos", "bucket"), F.col("d1").alias("id")).select("bucket", "id", "pos")
+    more = single.select(F.col("d1").alias("id"), "n", *_PARITY).dropDuplicates(["id"])
 
     def verify(near: DataFrame) -> DataFrame:
         ids = near.select(F.col("a").alias("d1")).union(near.select("b")).distinct().join(reps, "d1")
         bitmap = docs.sparkSession.sparkContext.broadcast(bitmap_of(ids.select(bitmap_place(F.col("rep")).alias("place"))))
         sets, sets_path = written_at(rows.filter("__id is not null").withColumn("__place", bitmap_place(F.col("__id"))).mapInArrow(
-            _whole(size, percent, bitmap), "id long, order2 array<long>, order3 array<long>, set array<long>"), "sets")
-        # where few pairs are left, the optimizer brings them to the sets instead of shuffling those
-        x, y = [sets.select(F.col("id").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in ("order2", "order3", "set")]) for side in "ab"]
-        both = near.join(x, "a").join(y, "b").filter("arrays_overlap(order2_a, order2_b) and arrays_overlap(order3_a, order3_b)")
-        both = both.select("a", "b", F.size("set_a").cast("long").alias("p"), F.size("set_b").cast("long").alias("q"),
-                           F.size(F.array_intersect("set_a", "set_b")).cast("long").alias("shared"))
+            _whole(size, percent, bitmap), "id long, n long, order2 array<long>, order3 array<long>, parity array<long>, set array<long>"), "sets")
+
+        def beside(pairs: DataFrame, *columns: str) -> DataFrame:
+            # where few pairs are left, the optimizer brings them to the sets instead of shuffling those
+            x, y = [sets.select(F.col("id").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in columns]) for side in "ab"]
+            return pairs.join(x, "a").join(y, "b")
+        differ = f"aggregate(zip_with({_folded('parity_a', 'parity_b')}, {_folded('parity_b', 'parity_a')}, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x)"
+        left, left_path = written_at(beside(near, "n", "order2", "order3", "parity").filter(
+            f"arrays_overlap(order2_a, order2_b) and arrays_overlap(order3_a, order3_b) and {100 + percent} * ({differ}) <= {100 - percent} * (n_a + n_b)").select("a", "b"), "pairs")
+        both = beside(left, "n", "set").select("a", "b", F.col("n_a").alias("p"), F.col("n_b").alias("q"), F.size(F.array_intersect("set_a", "set_b")).cast("long").alias("shared"))
         links = checkpointed(both.filter(f"100 * shared >= {percent} * (p + q - shared)").select("a", "b").distinct())
-        removed(docs.sparkSession, sets_path)
+        removed(docs.sparkSession, sets_path, left_path)
         bitmap.destroy()
         return links
 

@@ -181,3 +181,35 @@ def test_paragraphs_of_few_words(spark, words):
 def test_banding_has_the_wanted_recall():
     bands, rows = paragraphs.banding()
     assert bands * rows <= paragraphs.HASHES and 1 - (1 - 0.8 ** rows) ** bands >= paragraphs.RECALL
+
+
+def test_parities_never_lose_a_linked_pair():
+    import numpy as np
+
+    from skytable.llm.words import mixed
+    r = random.Random(1)
+    for percent in (80, 90):
+        for n in (1, 5, 40, 127, 128, 129, 700, 4096, 9000):
+            a = mixed(np.arange(n, dtype=np.uint64) + np.uint64(r.randrange(1 << 40))) >> np.uint64(12)
+            gone = (100 - percent) * n // 100
+            b = a[:n - gone // 2]
+            b = np.concatenate([b, mixed(np.arange(gone // 3, dtype=np.uint64) + np.uint64(7)) >> np.uint64(12)])
+            if not len(b):
+                continue
+            lists = ngram_join._parities(np.concatenate([a, b]), np.array([len(a), len(b)])).to_pylist()
+            small = min(map(len, lists))
+            x, y = [np.bitwise_xor.reduce(np.array(v, dtype=np.int64).reshape(-1, small), axis=0) for v in lists]
+            differ = sum(bin(int(v) & (1 << 64) - 1).count("1") for v in x ^ y)
+            apart = len(set(a.tolist()) ^ set(b.tolist()))
+            assert differ <= apart and (apart - differ) % 2 == 0
+            assert small * 64 >= 2 * min(len(a), len(b))
+
+
+def test_ngram_join_of_long_near_copies_and_an_id_with_two_texts(spark, words):
+    long = words(4000, 1, 900).split()
+    rows = [(i, " ".join(long[:3700 + 40 * i] + words(60, i).split())) for i in range(8)] + [(20, "one two three four"), (20, "five six seven"), (19, "one two three four"), (21, "five six seven")]
+    out, _ = ngram_join.joined(docs(spark, rows))
+    got = sorted((r.doc_id, r.component_id) for r in out.collect() if r.doc_id > 8)
+    assert got == [(19, 19), (20, 19), (20, 20), (21, 20)]
+    near = {r.doc_id: (r.n_shingles, r.component_id) for r in out.collect() if r.doc_id <= 8}
+    assert near == brute_components([r for r in rows if r[0] <= 8], 3, 90)
