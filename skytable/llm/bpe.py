@@ -185,6 +185,9 @@ def summary(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
 
 
 def tokenised(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
-    """doc_id, ids, n_tokens and whether the decoded bytes are those of the text they came from (by SHA-256)."""
-    ids = encoded(docs, ranks_path, pattern)
-    return ids.select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"))
+    """doc_id, ids, n_tokens and ``round_trip``: whether the ids decode to the bytes of the text they came from (by SHA-256)."""
+    keyed = docs.select(F.struct("doc_id", F.sha2(F.coalesce(F.col("text"), F.lit("")), 256).alias("digest")).alias("of"), "text")
+    ids = encoded(keyed, ranks_path, pattern, id_col="of").withColumn("kept", F.col("ids"))
+    back = decoded(ids, ranks_path, keep=("doc_id", "kept"))
+    return back.select("doc_id.doc_id", F.col("kept").alias("ids"), F.size("kept").cast("long").alias("n_tokens"),
+                       (F.sha2("decoded", 256) == F.col("doc_id.digest")).alias("round_trip"))

@@ -14,10 +14,14 @@ sums per block meet in one place, and only the block in which the budget ends is
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping
+from itertools import islice
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from skytable.functions.storage import checkpointed, written
 
@@ -29,6 +33,7 @@ DOMAINS = 4
 BLOCK_DIGITS = 3
 LANGUAGE_WEIGHTS: Mapping[str, int] = {"en": 4, "de": 2, "fr": 2, "es": 2}
 NONE = "(none)"
+_WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
 def word_count(text: Column) -> Column:
@@ -132,11 +137,38 @@ def mixture(docs: DataFrame, fraction: tuple[int, int] = FRACTION, epochs: int =
     return _chosen(rows, fraction, epochs, seed).withColumnRenamed("__id", "doc_id")
 
 
+@F.pandas_udf(StringType())
+def _first_words(text: pd.Series, words: pd.Series) -> pd.Series:
+    """The texts up to the end of their first so many words."""
+    def cut(t: str, n: int) -> str:
+        last = next(islice(_WORD.finditer(t), n - 1, n), None)
+        return t if last is None else t[:last.end()]
+    return pd.Series([cut(t, n) for t, n in zip(text, words, strict=True)])
+
+
 def mixed(docs: DataFrame, fraction: tuple[int, int] = FRACTION, epochs: int = EPOCHS, seed: int = SEED) -> DataFrame:
-    """The documents of the mixture with their own columns, once for each epoch that takes any of their tokens."""
+    """The documents of the mixture with their own columns, once for each epoch that takes any of their tokens.
+
+    The choice is made on slim rows, which meet the documents once, by doc_id and a hash of the whole row. A document in
+    which its leaf's budget ends, one a leaf at most, has its text cut behind the last token taken; its ``n_chars``, where there
+    is such a column, follows. Of rows that are alike in all columns as many stay as are taken.
+    """
     columns = docs.columns
-    rows = _keyed(docs, F.struct(*[docs[c] for c in columns]).alias("__row"))
-    return _chosen(rows, fraction, epochs, seed).select(*[F.col("__row")[c].alias(c) for c in columns])
+    key = F.xxhash64(*[docs[c] for c in columns]).alias("__key")
+    rows = written(_keyed(docs, key), "mixing")
+    same = rows.groupBy("__id", "__key").agg(F.count("*").alias("__alike"))
+    taken = _chosen(rows, fraction, epochs, seed).groupBy("__id", "__key").agg(F.collect_list(F.struct("epoch", "taken", "tokens")).alias("__taken"))
+    plan = written(taken.join(
+        same.withColumnRenamed("__id", "__same").withColumnRenamed("__key", "__of"), (F.col("__key") == F.col("__of")) & F.col("__id").eqNullSafe(F.col("__same"))
+    ).select(F.col("__id").alias("__same"), F.col("__key").alias("__of"), "__alike", "__taken"), "mixture")
+    whole = docs.select(F.struct(*[docs[c] for c in columns]).alias("__row"), key).join(
+        plan, (F.col("__key") == F.col("__of")) & F.col("__row.doc_id").eqNullSafe(F.col("__same")))
+    once = whole.filter("__alike = 1").unionByName(whole.filter("__alike > 1").dropDuplicates(["__same", "__of"]))
+    each = once.select("__row", F.explode("__taken").alias("__t"))
+    full = each.filter("__t.taken >= __t.tokens").select([F.col("__row")[c].alias(c) for c in columns])
+    cut = each.filter("__t.taken < __t.tokens").withColumn("__text", _first_words(F.col("__row.text"), F.col("__t.taken")))
+    own = {"text": F.col("__text")} | ({"n_chars": F.length("__text").cast(docs.schema["n_chars"].dataType)} if "n_chars" in columns else {})
+    return full.unionByName(cut.select([own.get(c, F.col("__row")[c]).alias(c) for c in columns]))
 
 
 #: The same rules in SQL; a document table named ``documents`` is read.

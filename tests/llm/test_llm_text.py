@@ -241,3 +241,26 @@ def test_mixed_keeps_columns(spark):
     assert mixing.mixed(frame(spark, [])).count() == 0
     out = mixing.mixed(frame(spark, ["a b"] * 10).withColumn("__id", F.lit(1)))
     assert out.columns == ["doc_id", "text", "lang", "source", "__id"] and out.count() == 5
+
+
+def test_mixed_takes_what_the_mixture_says(spark):
+    r = random.Random(6)
+    texts = [" ".join(f"w{r.randrange(50)}" for _ in range(r.randrange(0, 40))) for _ in range(120)] + ["same  text \n here"] * 3
+    docs = frame(spark, texts).withColumn("n_chars", F.length("text").cast("long"))
+    docs = docs.unionByName(docs.filter("doc_id % 40 = 7"))  # rows that are alike in all columns
+    chosen = [(x.doc_id, x.taken) for x in mixing.mixture(docs, (2, 5)).collect()]
+    text = {x.doc_id: x.text for x in docs.collect()}
+    out = mixing.mixed(docs, (2, 5)).collect()
+    words = lambda t: re.findall(r"[^\x20\x09-\x0D]+", t)
+    assert sorted((x.doc_id, len(words(x.text))) for x in out) == sorted(chosen)
+    assert all(text[x.doc_id].startswith(x.text) and x.n_chars == len(x.text) for x in out)
+    assert any(len(x.text) < len(text[x.doc_id]) for x in out)
+
+
+def test_tokenised_says_that_texts_come_back(spark):
+    from skytable.llm.queries import RANKS
+    import public_tokenizers
+
+    docs = spark.createDataFrame([(1, "a b"), (2, None), (3, "ünï " * 20_000), (None, "x")], "doc_id long, text string")
+    got = bpe.tokenised(docs, RANKS, public_tokenizers.PATTERN).collect()
+    assert len(got) == 4 and all(x.round_trip for x in got) and {x.doc_id: x.n_tokens for x in got}[2] == 0
