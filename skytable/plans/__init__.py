@@ -3,6 +3,7 @@
 from skytable.plans import (  # noqa: F401
     blob_queries,
     capture_queries,
+    fits_queries,
     frame_queries,
     input_queries,
     match_queries,
