@@ -7,6 +7,7 @@ and driver and executors are one local process; elsewhere that is an error.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -59,3 +60,13 @@ def removed(spark: SparkSession, *paths: str) -> None:
     for p in paths:
         path = jvm.org.apache.hadoop.fs.Path(p)
         path.getFileSystem(conf).delete(path, True)
+
+
+def released(spark: SparkSession) -> None:
+    """Let Spark delete shuffle files that no DataFrame needs any more.
+
+    It does so when the driver collects its garbage, which a driver with memory to spare seldom does by itself; a job of
+    many rounds would keep the files of all of them.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
