@@ -9,6 +9,8 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -38,6 +40,7 @@ FS_PEDESTAL = 0.5
 FS_SCALE = 2.0
 SETTLE_WINDOW = 4
 DEBLEND_CAP = 2.0
+SPARSE_CUTS, LEAST_KEPT = 5, 10
 
 KEY = ["image_id"]
 
@@ -148,20 +151,31 @@ def noise_sigma(px: DataFrame, value: str = "v") -> DataFrame:
     return rows.select(*KEY, F.greatest(F.col("mad"), half, F.lit(NOISE_FLOOR)).alias("noise"))
 
 
+def _clipped_middle(rows: pa.Table) -> pa.Table:
+    """Upper median of the values of an image after the cuts; they are sorted once, and a cut only moves the end."""
+    v = np.asarray(rows.column("v").drop_null(), dtype=np.float64)
+    v = np.sort(v[~np.isnan(v)])
+    n = len(v)
+    for _ in range(SPARSE_CUTS if n else 0):
+        middle = v[n // 2]
+        off = np.partition(np.abs(v[:n] - middle), n // 2)[n // 2]
+        sigma = MAD_TO_SIGMA * off if off else 1.0
+        kept = int(np.searchsorted(v[:n], middle + 3.0 * sigma / MAD_TO_SIGMA, side="right"))
+        if kept < LEAST_KEPT or kept == n:
+            break
+        n = kept
+    some = [0] if n else []
+    return pa.table({"image_id": rows.column("image_id").take(pa.array(some, pa.int64())), "median": pa.array([v[n // 2]] if n else [], pa.float64())})
+
+
 def sparse_median(px: DataFrame, value: str = "v") -> DataFrame:
     """Upper median of the sample after up to five cuts of everything 3 sigma above it.
 
-    An image is left alone once nothing is cut, or when a cut would leave under ten values.
+    An image is left alone once nothing is cut, or when a cut would leave under ten values. The sample of one image is
+    sorted in one task: a seventh of its pixels, 8 bytes each.
     """
-    rest = checkpointed(sampled(px).select(*KEY, F.col(value).alias("v")))
-    for _ in range(5):
-        stats = robust_spread(rest, KEY, "v", upper=True)
-        limit = F.col("median") + 3.0 * F.col("sigma") / MAD_TO_SIGMA
-        judged = rest.join(stats.select(*KEY, limit.alias("limit")), KEY)
-        kept = judged.groupBy(*KEY).agg(F.count_if(F.col("v") <= F.col("limit")).alias("kept"))
-        judged = judged.join(kept, KEY)
-        rest = checkpointed(judged.filter((F.col("kept") < 10) | (F.col("v") <= F.col("limit"))).select(*KEY, "v"))
-    return upper_medians(rest, KEY, "v").select(*KEY, "median")
+    kind = px.schema["image_id"].dataType.simpleString()
+    return sampled(px).select(*KEY, F.col(value).cast("double").alias("v")).groupBy(*KEY).applyInArrow(_clipped_middle, f"image_id {kind}, median double")
 
 
 def linear_fit(pairs: DataFrame, key: str, limit: float = WB_SATURATION, *, clip: bool = False) -> DataFrame:

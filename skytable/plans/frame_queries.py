@@ -299,6 +299,20 @@ def reference_frame_stretch(spark, sf):
     return op.reference_frames(frames(spark, sf)).select("filter", "frame_id", F.round("background", 6).alias("background"))
 
 
+# the pixels of a frame are those of the embedding with its number, modulo 500
+@query("shared_stretch", with_views("frames pixels", """ranked AS (SELECT *, row_number() OVER (PARTITION BY filter ORDER BY background, frame_id) AS rn, count(*) OVER (PARTITION BY filter) AS n FROM frames),
+mid AS (SELECT filter, background FROM ranked WHERE rn = (n - 1) // 2 + 1),
+ref AS (SELECT f.filter, min(f.frame_id) AS frame_id FROM frames f JOIN mid m ON f.filter = m.filter AND f.background = m.background GROUP BY f.filter),
+px AS (SELECT r.filter, r.frame_id, 4e-1 + v / 2e0 AS v FROM ref r JOIN pixels p ON p.image_id = r.frame_id % 500), m AS (SELECT filter, frame_id, median(v) AS med FROM px GROUP BY ALL),
+s AS (SELECT m.filter, m.frame_id, med, greatest(0e0, med - 28e-1 * 14826e-4 * median(abs(v - med))) AS shadows FROM px JOIN m ON px.filter = m.filter GROUP BY m.filter, m.frame_id, med)
+SELECT filter, frame_id, round(shadows, 6) AS shadows, round((25e-2 - 1) * greatest(1e-8, med - shadows) / ((2 * 25e-2 - 1) * greatest(1e-8, med - shadows) - 25e-2), 6) AS midtone FROM s"""))
+def shared_stretch(spark, sf):
+    f = frames(spark, sf)
+    px = view(spark, sf, "pixels").withColumnRenamed("image_id", "__i").join(f.select(F.col("frame_id").alias("image_id"), (F.col("frame_id") % 500).alias("__i")), "__i")
+    s = op.shared_stretch(f, px.select("image_id", (0.4 + F.col("v") / 2.0).alias("v")))
+    return s.withColumns({c: F.round(c, 6) for c in ("shadows", "midtone")})
+
+
 @query("score_rank", sql(VALID + """, m AS (SELECT filter, median(psf_snr) AS a, median(fwhm) AS b, median(eccentricity) AS c, median(CAST(stars AS DOUBLE)) AS d FROM valid GROUP BY filter)
 SELECT f.frame_id, CASE WHEN fwhm > 0 AND eccentricity > 0 AND stars > 0 AND psf_snr > 0 THEN round(5e-1 * greatest(25e-2, least(4e0, psf_snr / a)) + 3e-1 * greatest(25e-2, least(4e0, b / fwhm))
   + 1e-1 * greatest(25e-2, least(4e0, c / eccentricity)) + 1e-1 * greatest(25e-2, least(4e0, stars / d)), 6) END AS score FROM frames f LEFT JOIN m ON f.filter = m.filter"""))

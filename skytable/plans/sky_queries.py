@@ -271,6 +271,27 @@ def nearest_neighbour_residual(spark, sf):
     return op.nearest_residual(placed(spark, sf), detections(spark, sf)).withColumn("residual", F.round("residual", 6))
 
 
+# eight images of the same field; every fourth has no distortion
+SIP = """dd AS (SELECT det_id % 8 AS image_id, det_id, x, y, x + 1 - 2e3 AS u, y + 1 - 2e3 AS v, CASE WHEN det_id % 4 = 0 THEN 0 ELSE 1 END AS k FROM detections),
+steps AS (SELECT * FROM (VALUES (0, 0e0, 0e0), (1, 5e-1, 0e0), (2, -5e-1, 0e0), (3, 0e0, 5e-1), (4, 0e0, -5e-1)) t(step, du, dv)),
+warped AS (SELECT image_id, det_id, step, (u + du) + k * (2e-7 * (u + du) * (u + du) - 3e-7 * (u + du) * (v + dv) + 1e-10 * (u + du) * (u + du) * (u + du)) AS a,
+  (v + dv) + k * (1e-7 * (v + dv) * (v + dv) - 2e-10 * (v + dv) * (v + dv) * (v + dv)) AS b FROM dd, steps),
+jac AS (SELECT image_id, det_id, max(CASE WHEN step = 0 THEN a END) + 2e3 - 1 AS ux, max(CASE WHEN step = 0 THEN b END) + 2e3 - 1 AS uy, sum(CASE step WHEN 1 THEN a WHEN 2 THEN -a END) AS j0, sum(CASE step WHEN 3 THEN a WHEN 4 THEN -a END) AS j1,
+  sum(CASE step WHEN 1 THEN b WHEN 2 THEN -b END) AS j2, sum(CASE step WHEN 3 THEN b WHEN 4 THEN -b END) AS j3 FROM warped GROUP BY image_id, det_id),
+near AS (SELECT j.*, star_id, ux - p.x AS dx, uy - p.y AS dy, row_number() OVER (PARTITION BY det_id ORDER BY (ux - p.x) * (ux - p.x) + (uy - p.y) * (uy - p.y), star_id) AS rn FROM jac j JOIN placed p ON abs(ux - p.x) <= 6 AND abs(uy - p.y) <= 6)"""
+
+
+@query("distorted_residual", with_views("placed detections", SIP + """
+SELECT image_id, det_id, star_id, round(residual, 6) AS residual FROM (SELECT *, sqrt(power((j3 * dx - j1 * dy) / (j0 * j3 - j1 * j2), 2) + power((j0 * dy - j2 * dx) / (j0 * j3 - j1 * j2), 2)) AS residual FROM near WHERE rn = 1) WHERE residual <= 3"""))
+def distorted_residual(spark, sf):
+    def terms(*given):
+        return F.when(F.col("det_id") % 4 != 0, F.array(*[F.struct(F.lit(p).alias("p"), F.lit(q).alias("q"), F.lit(c).alias("c")) for p, q, c in given]))
+    d = detections(spark, sf).select((F.col("det_id") % 8).alias("image_id"), "det_id", "x", "y", F.lit(2000.0).alias("crpix1"), F.lit(2000.0).alias("crpix2"),
+                                     terms((2, 0, 2e-7), (1, 1, -3e-7), (3, 0, 1e-10)).alias("sip_a"), terms((0, 2, 1e-7), (0, 3, -2e-10)).alias("sip_b"))
+    stars = placed(spark, sf).withColumn("image_id", F.explode(F.sequence(F.lit(0), F.lit(7)).cast("array<bigint>")))
+    return op.distorted_residual(stars, d).withColumn("residual", F.round("residual", 6))
+
+
 def clip_sql(rounds: int) -> str:
     """Rounds of clipping as chained CTEs; a settled image does not change."""
     text = NEAREST + ",\nk0 AS (SELECT det_id % 8 AS image_id, residual FROM best WHERE rn = 1), every AS (SELECT * FROM k0)"
