@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skytable.functions.storage import checkpointed
+from skytable.functions.storage import checkpointed, released, removed, written_at
 
 # Rounds in which every bucket compares its members with a few of them before it compares what is left apart.
 STAR_ROUNDS = 2
@@ -47,8 +47,8 @@ def linked(entries: DataFrame, verify: Callable[[DataFrame], DataFrame], fits: C
     """Components of the links among ids that share a bucket: (id, component) and the links found (a, b).
 
     ``entries`` has bucket, id and what ``fits`` reads of it; ``more`` has one row for each id with what
-    else it reads, and is met only where a bucket has two ids; ``verify`` takes pairs (a < b) and returns
-    those that are links, already written or checkpointed. Only connection matters, so a bucket first compares all its members with
+    else it reads, and is met only where a bucket has two ids; ``verify`` takes pairs (a < b, a table that is removed afterwards) and returns
+    those that are links. Only connection matters, so a bucket first compares all its members with
     ``middles`` of them (others each round) and drops out once its members are connected. When few
     pairs are left apart, or a round finds few links, or after STAR_ROUNDS, all pairs of members that are still apart are
     compared: no link between two components can be missed.
@@ -57,7 +57,8 @@ def linked(entries: DataFrame, verify: Callable[[DataFrame], DataFrame], fits: C
     rows = entries.join(busy, "bucket").distinct()
     if more is not None:
         rows = rows.join(more, "id")
-    rows = checkpointed(rows.withColumn("component", F.col("id")))
+    rows, rows_path = written_at(rows.withColumn("component", F.col("id")), "members")
+    spark = rows.sparkSession
     carried = [c for c in rows.columns if c not in ("bucket", "id", "component")]
     found: DataFrame | None = None
     fruitful, last, of = True, False, None
@@ -83,17 +84,25 @@ def linked(entries: DataFrame, verify: Callable[[DataFrame], DataFrame], fits: C
             middle = rows.groupBy("bucket").agg(picks.alias("m")).select("bucket", F.explode("m").alias("m")).select("bucket", "m.*").alias("x")
             pairs = middle.join(b, F.expr(apart + (f" and {fits('x', 'y')}" if fits else ""))).select(
                 F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
-        pairs = checkpointed(pairs.distinct())
-        links = verify(pairs).select("a", "b")
+        pairs, pairs_path = written_at(pairs.distinct(), "candidates")
+        links = checkpointed(verify(pairs).select("a", "b"))
         fruitful = links.count() >= FRUITFUL * pairs.count()
+        removed(spark, pairs_path)
         found = links if found is None else found.unionByName(links)
         if last:
             break
         of = checkpointed(components(joined(links)))
         rows = rows.drop("component").join(of, "id", "left").withColumn("component", F.coalesce("component", "id"))
         open_ = rows.groupBy("bucket").agg(F.min("component").alias("p"), F.max("component").alias("q")).filter("p != q").select("bucket")
-        rows = checkpointed(rows.join(open_, "bucket"))
+        # tables and shuffle files of a round go before the next one starts
+        before = rows_path
+        rows, rows_path = written_at(rows.join(open_, "bucket"), "members")
+        removed(spark, before)
+        released(spark)
     if found is None:
-        found = rows.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)
+        found = spark.createDataFrame([], rows.select(F.col("id").alias("a"), F.col("id").alias("b")).schema)
+        removed(spark, rows_path)
         return components(found), found
+    removed(spark, rows_path)
+    released(spark)
     return (checkpointed(components(joined(links))) if last else of), found
