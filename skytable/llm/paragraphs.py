@@ -239,9 +239,11 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
         return (f"100 * least({x}.n, {y}.n) >= {percent} * greatest({x}.n, {y}.n) "
                 f"and {100 + percent} * ({differ}) <= {100 - percent} * ({x}.n + {y}.n)")
 
-    entries = paras.select(F.explode("bands").alias("bucket"), "id")
-    more = paras.select("id", "n", *_PARITY).dropDuplicates(["id"])
-    components, _ = linked(entries, verify, fits, more, middles=4)
+    # one row for each different line, not for each place of it
+    lines, lines_path = written_at(paras.select("id", "bands", "n", *_PARITY).dropDuplicates(["id"]), "lines")
+    entries = lines.select(F.explode("bands").alias("bucket"), "id")
+    components, _ = linked(entries, verify, fits, lines.drop("bands"), middles=4)
+    removed(docs.sparkSession, lines_path)
     placed = paras.drop("bands", "n", *_PARITY).join(components, "id", "left").withColumn("class", F.coalesce("component", "id"))
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "paragraph"))
     classes = placed.groupBy("class").agg(F.count("*").alias("class_size"), first.alias("first")).filter("class_size > 1")
