@@ -400,6 +400,23 @@ def radial_profile(spark, sf):
     return rounded(rings(spark, sf), "raw")
 
 
+# a second detection, whose core covers the right of every ring
+CORES = RINGS + """, cores AS (SELECT DISTINCT image_id, image_id * 10 AS star, 2 AS x0, 3 AS y0, 4 AS x1, 5 AS y1 FROM px UNION ALL SELECT DISTINCT image_id, image_id * 10 + 1, 5, 3, 7, 6 FROM px),
+lab AS (SELECT p.image_id, p.y, p.x, min(star) AS label FROM px p JOIN cores c ON p.image_id = c.image_id AND p.x >= x0 - 1 AND p.x < x1 + 1 AND p.y >= y0 - 1 AND p.y < y1 + 1 GROUP BY ALL)"""
+
+
+@query("radial_profile_cores", sql(CORES + f""", own AS (SELECT p.image_id, a.star, CAST(floor(sqrt((p.x - sx) * (p.x - sx) + (p.y - sy) * (p.y - sy)) + 5e-1) AS INTEGER) AS r, v FROM px p JOIN at3 a ON p.image_id = a.image_id
+  LEFT JOIN lab l ON l.image_id = p.image_id AND l.y = p.y AND l.x = p.x WHERE label IS NULL OR label = a.star)
+SELECT image_id, star, r, round({upper_sql('v')}, 6) AS raw FROM own WHERE r <= 4 GROUP BY image_id, star, r"""))
+def radial_profile_cores(spark, sf):
+    ids = pixels(spark, sf).select("image_id").distinct()
+
+    def core(k, *rect):
+        return ids.select("image_id", (F.col("image_id") * 10 + k).alias("star"), *[F.lit(v).alias(c) for c, v in zip(("x0", "y0", "x1", "y1"), rect, strict=True)])
+    labels = op.core_labels(core(0, 2, 3, 4, 5).unionByName(core(1, 5, 3, 7, 6)), 1.0)
+    return rounded(op.ring_profile(pixels(spark, sf), stars_at(spark, sf), 4, labels=labels), "raw")
+
+
 @query("smooth_profile", sql(RINGS + """, sm AS (SELECT *, CASE WHEN r >= 1 THEN avg(CASE WHEN r >= 1 THEN raw END) OVER (PARTITION BY image_id, star ORDER BY r ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) ELSE raw END AS m FROM rp)
 SELECT image_id, star, r, round(min(m) OVER (PARTITION BY image_id, star ORDER BY r), 6) AS smooth FROM sm"""))
 def smooth_profile(spark, sf):
@@ -481,6 +498,26 @@ def pixel_ownership(spark, sf):
     return op.pixel_owner(px, stars)
 
 
+# two sprites, and a detection that is none, in every image; both modes
+SPRITES = PX + """, ids AS (SELECT DISTINCT image_id FROM px), sp AS (SELECT image_id, k AS star, k * 3 + image_id % 2 + 1 AS x0, 2 + image_id % 3 AS y0, CASE WHEN (image_id + k) % 2 = 0 THEN 5e0 ELSE 4e0 + k END AS flux FROM ids, (SELECT unnest([0, 1]) AS k) ks),
+claims AS (SELECT p.image_id, p.y, p.x, m.mode, star, CASE WHEN p.x >= x0 AND p.x < x0 + 2 AND p.y >= y0 AND p.y < y0 + 2 THEN 1 ELSE 0 END AS rk, flux FROM px p JOIN sp ON p.image_id = sp.image_id, (SELECT unnest([FALSE, TRUE]) AS mode) m
+  WHERE (p.x >= x0 AND p.x < x0 + 2 AND p.y >= y0 AND p.y < y0 + 2) OR (p.x >= x0 - 2 AND p.x < x0 + 4 AND p.y >= y0 - 2 AND p.y < y0 + 4 AND (NOT m.mode OR sqrt((p.x - x0 - 5e-1) * (p.x - x0 - 5e-1) + (p.y - y0 - 5e-1) * (p.y - y0 - 5e-1)) < 3e0))
+  UNION ALL SELECT image_id, y, x, FALSE, NULL, 2, 0e0 FROM px WHERE x >= 3 AND x < 5 AND y >= 3 AND y < 5),
+bst AS (SELECT *, row_number() OVER (PARTITION BY image_id, y, x, mode ORDER BY rk DESC, CASE WHEN rk = 1 THEN star * 1e0 ELSE flux END DESC, star) AS rn FROM claims)"""
+
+
+@query("sprite_ownership", sql(SPRITES + " SELECT p.image_id, p.y, p.x, m.mode AS halo_mode, b.star AS owner FROM px p CROSS JOIN (SELECT unnest([FALSE, TRUE]) AS mode) m LEFT JOIN bst b ON b.rn = 1 AND b.mode = m.mode AND b.image_id = p.image_id AND b.y = p.y AND b.x = p.x"))
+def sprite_ownership(spark, sf):
+    px = pixels(spark, sf)
+    i, k = F.col("image_id"), F.col("star")
+    sp = px.select("image_id").distinct().withColumn("star", F.explode(F.array(F.lit(0), F.lit(1)))).withColumns({"x0": k * 3 + i % 2 + 1, "y0": 2 + i % 3})
+    sp = sp.withColumns({"x1": F.col("x0") + 2, "y1": F.col("y0") + 2, "x": F.col("x0") + 0.5, "y": F.col("y0") + 0.5, "flux": F.when((i + k) % 2 == 0, 5.0).otherwise(4.0 + k), "outer": F.lit(3.0),
+                         **{f"f{c}{n}": F.col(f"{c}0") + d for c in "xy" for n, d in ((0, -2), (1, 4))}})
+    others = px.select("image_id").distinct().select("image_id", *[F.lit(v).alias(c) for c, v in (("x0", 3), ("y0", 3), ("x1", 5), ("y1", 5))])
+    both = [op.sprite_owner(px, sp, others, halo_mode=m).withColumn("halo_mode", F.lit(m)) for m in (False, True)]
+    return both[0].unionByName(both[1])
+
+
 @query("stack_frames", sql(PX + """, fr AS (SELECT CASE WHEN image_id % 10 < 2 THEN image_id // 10 * 3 WHEN image_id % 10 < 6 THEN image_id // 10 * 3 + 1 ELSE -(image_id // 20) - 1 END AS stack_id, y, x, v FROM px),
 st AS (SELECT stack_id, y, x, count(*) AS n, median(v) AS m, stddev_samp(v) AS s0 FROM fr GROUP BY ALL),
 s1 AS (SELECT f.stack_id, f.y, f.x, n, m, CASE WHEN n >= 8 THEN 1134e-3 * stddev_samp(greatest(m - 15e-1 * s0, least(m + 15e-1 * s0, v))) ELSE s0 END AS s FROM fr f JOIN st ON f.stack_id = st.stack_id AND f.y = st.y AND f.x = st.x GROUP BY f.stack_id, f.y, f.x, n, m, s0),
