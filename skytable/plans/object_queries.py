@@ -19,9 +19,8 @@ def objects(spark, sf):
     return spark.sql("WITH " + OBJECTS.replace('"dec"', "dec").replace("p_partkey // 10", "CAST(p_partkey / 10 AS BIGINT)") + " SELECT * FROM ob")
 
 
-ASKED = """first3 AS (SELECT doc_id, concat_ws(' ', string_split(text, ' ')[1], string_split(text, ' ')[2], string_split(text, ' ')[3]) AS t FROM documents),
-asked AS (SELECT DISTINCT CASE doc_id % 6 WHEN 0 THEN concat('ngc ', CAST(doc_id AS VARCHAR)) WHEN 1 THEN concat('IC', CAST(doc_id AS VARCHAR), 'a') WHEN 2 THEN concat('Messier ', CAST(doc_id AS VARCHAR)) WHEN 3 THEN concat('The ', substr(p.p_name, 2), ' Nebula') WHEN 4 THEN concat(p.p_name, 's') ELSE t END AS query
-  FROM first3 JOIN part p ON p.p_partkey = doc_id)"""
+ASKED = """asked AS (SELECT DISTINCT CASE doc_id % 6 WHEN 0 THEN concat('ngc ', CAST(doc_id AS VARCHAR)) WHEN 1 THEN concat('IC', CAST(doc_id AS VARCHAR), 'a') WHEN 2 THEN concat('Messier ', CAST(doc_id AS VARCHAR)) WHEN 3 THEN concat('The ', substr(p.p_name, 2), ' Nebula') WHEN 4 THEN concat(p.p_name, 's') ELSE p.p_type END AS query
+  FROM documents JOIN part p ON p.p_partkey = doc_id)"""
 WORDS = "list_filter(string_split(trim(regexp_replace(replace(lower({0}), '''', ''), '[^a-z0-9]+', ' ', 'g')), ' '), lambda w: w <> '' AND w NOT IN ('the', 'nebula', 'galaxy', 'cluster', 'of', 'complex'))"
 SCORED = OBJECTS + ",\n" + ASKED + f""",
 q AS (SELECT query, regexp_replace(upper(query), '\\s+', '', 'g') AS compact, {WORDS.format('query')} AS ty FROM asked), nm AS (SELECT DISTINCT name, {WORDS.format('name')} AS wo FROM ob WHERE name <> ''),
@@ -34,12 +33,12 @@ hits AS (SELECT q.query, o.id, 1e0 AS score, 0 AS kind, o.seq FROM q JOIN ob o O
 
 
 def asked(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", F.array_join(F.slice(F.split("text", " "), 1, 3), " ").alias("t"))
-    p = table(spark, sf, "part").select(F.col("p_partkey").alias("doc_id"), "p_name")
+    d = table(spark, sf, "documents").select("doc_id")
+    p = table(spark, sf, "part").select(F.col("p_partkey").alias("doc_id"), "p_name", "p_type")
     i = F.col("doc_id")
     text = (F.when(i % 6 == 0, F.concat(F.lit("ngc "), i.cast("string"))).when(i % 6 == 1, F.concat(F.lit("IC"), i.cast("string"), F.lit("a")))
             .when(i % 6 == 2, F.concat(F.lit("Messier "), i.cast("string")))
-            .when(i % 6 == 3, F.concat(F.lit("The "), F.expr("substr(p_name, 2)"), F.lit(" Nebula"))).when(i % 6 == 4, F.concat("p_name", F.lit("s"))).otherwise(F.col("t")))
+            .when(i % 6 == 3, F.concat(F.lit("The "), F.expr("substr(p_name, 2)"), F.lit(" Nebula"))).when(i % 6 == 4, F.concat("p_name", F.lit("s"))).otherwise(F.col("p_type")))
     return d.join(p, "doc_id").select("doc_id", text.alias("query"))
 
 
@@ -51,6 +50,21 @@ def find_object(spark, sf):
     return g.join(best, "query")
 
 
+def runs_of_words(docs, words: int = 2):
+    """Every run of so many words of every whole text: ``doc_id``, ``query``. Shorter texts have none."""
+    w = docs.select("doc_id", F.expr(r"filter(split(text, '[ \\t\\n\\x0B\\f\\r]+'), w -> w <> '')").alias("w")).filter(F.size("w") >= words)
+    return w.select("doc_id", F.explode(F.expr(f"transform(sequence(1, size(w) - {words - 1}), i -> array_join(slice(w, i, {words}), ' '))")).alias("query"))
+
+
+# no SQL: it would compare every run with every name
+@query("objects_in_texts")
+def objects_in_texts(spark, sf):
+    runs = runs_of_words(table(spark, sf, "documents"))
+    hits = op.find_object(runs.select("query").distinct(), objects(spark, sf))
+    best = op.best_object(hits).select("query", F.col("id").alias("best"), F.round("score", 6).alias("score"))
+    return runs.join(best, "query").groupBy("doc_id", "best").agg(F.count("*").alias("runs"), F.max("score").alias("score"))
+
+
 PATHS = """pt AS (SELECT f.file_id, concat('/astro/', CASE WHEN f.file_id % 3 = 0 THEN concat('M ', CAST(f.file_id % 60 AS VARCHAR(9))) ELSE concat(replace(p.p_name, ' ', '_'), '_run') END, '/night1/', CASE WHEN f.file_id % 4 = 0 THEN concat('NGC', CAST(f.file_id AS VARCHAR(9)), '_light.v1.fits') WHEN f.file_id % 4 = 1 THEN concat(replace(p.p_name, ' ', '-'), '_180s.fits') ELSE 'frame-1.fits' END) AS path
   FROM files f JOIN part p ON p.p_partkey = f.file_id)"""
 
