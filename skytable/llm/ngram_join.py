@@ -4,7 +4,7 @@ A document is the set of its 3-word shingles. Two sets of Jaccard similarity t s
 the first n - ceil(t n) + 1 tokens of each, under any order of all tokens. Three orders are used:
 rare tokens first (by a count-min row over all documents; any function of the token is a valid order,
 so the counts need not be exact), and two orders by independent hashes. Buckets of the first order
-propose pairs whose sizes, places in the order and parity bitmaps leave enough to share. A pair goes on
+(a token and a size class) propose pairs whose sizes, places in the order and parity bitmaps leave enough to share. A pair goes on
 only if it also shares prefix tokens under the second and third order, and if parity bitmaps that grow
 with the sets (two bits a token) do not differ in more bits than a linked pair may have tokens apart.
 Up to there only prefixes and bitmaps move; the shingle sets themselves are brought to the pairs that are left.
@@ -18,6 +18,7 @@ of the join by id.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -191,7 +192,12 @@ def joined(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, s
     # one row for each set: the copies, which are few or fall out of a join by slim ids, take no part in buckets
     copies = written(full.select("d1", "id").join(reps, "d1").filter("id != rep").select("d1", "id").distinct(), "copies")
     single = full.join(copies, ["d1", "id"], "left_anti")
-    entries = single.select(F.posexplode("rare").alias("pos", "bucket"), F.col("d1").alias("id")).select("bucket", "id", "pos")
+    # linked sets differ by at most one size class, so each set stands in its own class and the next; sets of other sizes
+    # that happen to share a token do not meet. The classes are a hair wider than the limit, against rounding.
+    step = math.log(100 / percent) * (1 + 1e-9) if percent < 100 else 1.0
+    kind = F.floor(F.log(F.col("n").cast("double")) / step)
+    sized = single.select("rare", F.col("d1").alias("id"), F.explode(F.array(kind, kind + 1)).alias("kind"))
+    entries = sized.select(F.posexplode("rare").alias("pos", "token"), "id", "kind").select(F.xxhash64("token", "kind").alias("bucket"), "id", "pos")
     more = single.select(F.col("d1").alias("id"), "n", *_PARITY).dropDuplicates(["id"])
 
     def verify(near: DataFrame) -> DataFrame:
