@@ -1,9 +1,9 @@
 """Diffraction spikes: their directions, width and falloff in an image, and each star's share of them.
 
-Light is read at polar places about a star by bilinear weights. Every place is spread to its four
-pixels as a row with a weight that already counts what lies beyond the image, so a whole profile is one
-equality join with the pixels and one sum, for all stars and all images at once; nothing is read star
-by star. Profiles themselves are short (360 angles, 33 steps across, SPIKE_MAX radii) at any image size.
+Light is read at polar places about a star by bilinear weights, which count what lies beyond the image.
+Stars meet the tiles of pixels that they reach; the places are made from a star within a tile, and only
+their sums move, so a whole profile is one equality join and one sum, for all stars and all images at
+once; nothing is read star by star. Profiles themselves are short (360 angles, 33 steps across, SPIKE_MAX radii) at any image size.
 
 Stars have ``image_id``, ``star``, ``x``, ``y``, ``flux`` and ``half``, the half width of their core.
 """
@@ -12,8 +12,12 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from skytable.functions.storage import checkpointed
 from skytable.operators.pixels import FWHM_PER_SIGMA, KEY
@@ -33,42 +37,95 @@ PARALLEL = 2.0
 LEAST_FLUX = 1e-6
 
 CELL = 32
+TILE = 128
+AXES = ("angle", "step", "offset")
 
 
 def _sizes(px: DataFrame) -> DataFrame:
-    return px.groupBy(*KEY).agg((F.max("x") + 1).alias("__w"), (F.max("y") + 1).alias("__h"))
-
-
-def light_at(px: DataFrame, places: DataFrame, keys: list[str], value: str = "v") -> DataFrame:
-    """Sum of ``k`` times the bilinear value at (``px``, ``py``) by ``keys`` (image_id among them): ``light``.
-
-    Corners beyond the image are left out and the others weigh more; a place without corners adds 0.
-    Groups of places that meet no pixel give no row.
+    return px.groupBy(*KEY).agg((F.max("x") + 1).cast("long").alias("__w"), (F.max("y") + 1).cast("long").alias("__h"))
+
+
+def _tile_sums(pixels: pa.Table, stars: pa.Table, keys: list[str], kept: tuple[str, ...], schema: pa.Schema) -> pa.Table:
+    """Light of all places of some stars within one tile, summed over the axes that are not ``kept``."""
+    if not pixels.num_rows or not stars.num_rows:
+        return schema.empty_table()
+    first, n = {c: pixels.column(c)[0].as_py() for c in ("tx", "ty", "w", "h")}, TILE + 1
+    v = pixels.column("v").drop_null()
+    at = np.asarray(pixels.column("at").filter(pixels.column("v").is_valid()))
+    there, light = np.zeros(n * n, dtype=bool), np.zeros(n * n)
+    there[at], light[at] = True, np.asarray(v)
+    out: dict[str, list] = {c: [] for c in schema.names}
+    dropped = tuple(i for i, a in enumerate(AXES) if a not in kept)
+    for star in stars.to_pylist():
+        angle, r, o, f = (np.array(star[c], dtype=np.float64) for c in ("angles", "steps", "offsets", "factors"))
+        c, s = np.cos(np.radians(angle))[:, None, None], np.sin(np.radians(angle))[:, None, None]
+        px, py = star["x"] + r[None, :, None] * c - o * s, star["y"] + r[None, :, None] * s + o * c
+        x, y = np.floor(px).astype(np.int64), np.floor(py).astype(np.int64)
+        mine = (x >= -1) & (x < first["w"]) & (np.maximum(x, 0) // TILE == first["tx"]) & (y >= -1) & (y < first["h"]) & (np.maximum(y, 0) // TILE == first["ty"])
+        places = np.nonzero(mine)
+        x, y = x[places], y[places]
+        fx, fy = px[places] - x, py[places] - y
+        total, sums, met = np.zeros(len(x)), np.zeros(len(x)), np.zeros(len(x), dtype=bool)
+        for i, wx in ((0, 1 - fx), (1, fx)):
+            for j, wy in ((0, 1 - fy), (1, fy)):
+                w = np.where((x + i >= 0) & (y + j >= 0) & (x + i < first["w"]) & (y + j < first["h"]), wx * wy, 0.0)
+                pixel = np.where(w > 0, (y + j - first["ty"] * TILE) * n + x + i - first["tx"] * TILE, 0)
+                seen = (w > 0) & there[pixel]
+                total, met = total + w, met | seen
+                sums += np.where(seen, w * np.where(seen, light[pixel], 0.0), 0.0)
+        share, found = np.zeros(mine.shape), np.zeros(mine.shape, dtype=bool)
+        share[places] = np.where(met, star["k"] * f[places[2]] * sums / np.where(total > 0, total, 1.0), 0.0)
+        found[places] = met
+        share, found = share.sum(axis=dropped), found.any(axis=dropped)
+        cells = np.nonzero(found)
+        for c in keys:
+            out[c] += [star[c]] * len(cells[0])
+        for c, at_axis in zip(kept, cells, strict=True):
+            out[c] += at_axis.tolist()
+        out["light"] += share[cells].tolist()
+    return pa.table(out, schema=schema)
+
+
+def light_at(px: DataFrame, stars: DataFrame, angles: Column, steps: Column, offsets: Column, factors: Column, kept: tuple[str, ...], keys: list[str], value: str = "v") -> DataFrame:
+    """Sum of ``k`` times the bilinear value at places about ``stars`` (rows with ``x``, ``y`` and ``k``), by ``keys`` and the ``kept`` axes: ``light``.
+
+    The places are those along ``angles`` in degrees at the distances ``steps`` and ``offsets`` across, an array each; what lies
+    at an offset counts by its of ``factors``. A kept axis (``angle``, ``step``, ``offset``) is a column with the place in its array.
+    Corners beyond the image are left out and the others weigh more; a place without corners adds 0. Groups of places that
+    meet no pixel give no row. Stars meet the tiles they reach, each with the first column and line of the next tiles, so that
+    a place has all its corners in one; places are made there, as they are many more than stars, and only their sums move.
     """
-    x0, y0 = F.floor("px"), F.floor("py")
-    fx, fy = F.col("px") - x0, F.col("py") - y0
-    corners = [F.struct((x0 + i).alias("x"), (y0 + j).alias("y"), ((fx if i else 1 - fx) * (fy if j else 1 - fy)).alias("w")) for j in (0, 1) for i in (0, 1)]
-    inside = "c -> c.x >= 0 and c.y >= 0 and c.x < __w and c.y < __h and c.w > 0"
-    spread = places.join(_sizes(px), KEY).withColumn("__c", F.array(*corners)).withColumn("__c", F.expr(f"filter(__c, {inside})"))
-    spread = spread.withColumn("__all", F.expr("aggregate(__c, 0D, (s, c) -> s + c.w)")).select(*keys, "k", "__all", F.explode("__c").alias("__c"))
-    spread = spread.select(*keys, F.col("__c.x").cast("long").alias("__x"), F.col("__c.y").cast("long").alias("__y"), (F.col("k") * F.col("__c.w") / F.col("__all")).alias("__k"))
-    pixels = px.select(F.col("image_id").alias("__image"), F.col("x").cast("long").alias("__px"), F.col("y").cast("long").alias("__py"), F.col(value).cast("double").alias("__v"))
-    met = spread.join(pixels, (F.col("image_id") == F.col("__image")) & (F.col("__x") == F.col("__px")) & (F.col("__y") == F.col("__py")))
-    return met.groupBy(*keys).agg(F.sum(F.col("__k") * F.col("__v")).alias("light"))
-
-
-def _beside(rows: DataFrame, degrees: Column, r: Column, offsets: list[tuple[Column, float]]) -> DataFrame:
-    """Places at distance ``r`` along ``degrees`` and each offset across, with the offset's factor times ``k``."""
-    rows = rows.withColumns({"__a": F.radians(degrees), "__r": r.cast("double")})
-    each = F.explode(F.array(*[F.struct(o.cast("double").alias("o"), F.lit(f).alias("f")) for o, f in offsets]))
-    rows = rows.withColumn("__o", each)
-    c, s, o = F.cos("__a"), F.sin("__a"), F.col("__o.o")
-    return rows.withColumns({"px": F.col("x") + F.col("__r") * c - o * s, "py": F.col("y") + F.col("__r") * s + o * c, "k": F.col("k") * F.col("__o.f")}).drop("__a", "__r", "__o")
-
-
-def _excess(rows: DataFrame, degrees: Column, r: Column, side: Column) -> DataFrame:
-    """Places whose sum is the light on a ray above the mean of both its sides."""
-    return _beside(rows, degrees, r, [(F.lit(0.0), 1.0), (side, -0.5), (-side, -0.5)])
+    def tile_of(at: Column) -> Column:
+        n = F.floor(at / TILE).cast("int")
+        return F.explode(F.when((at % TILE == 0) & (at > 0), F.array(n - 1, n)).otherwise(F.array(n)))
+    rows = px.select(*KEY, F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x"), F.col(value).cast("double").alias("v")).filter("x >= 0 AND y >= 0")
+    rows = rows.select("*", tile_of(F.col("y")).alias("ty")).select("*", tile_of(F.col("x")).alias("tx"))
+    tiles = rows.select(*KEY, "ty", "tx", ((F.col("y") - F.col("ty") * TILE) * (TILE + 1) + F.col("x") - F.col("tx") * TILE).cast("int").alias("at"), "v").join(_sizes(px), KEY)
+    shape = {"angles": angles, "steps": steps, "offsets": offsets, "factors": factors}
+    asked = stars.withColumns({c: a.cast("array<double>") for c, a in shape.items()})
+    reach = F.array_max("steps") + F.array_max(F.transform("offsets", F.abs)) + 1
+
+    def span(c: str) -> Column:
+        return F.explode(F.sequence(F.greatest(F.lit(0), F.floor((F.col(c) - reach) / TILE)).cast("int"), F.floor(F.least(F.col(c) + reach, F.col("__w" if c == "x" else "__h") - 1) / TILE).cast("int")))
+    inside = (F.col("x") + reach >= 0) & (F.col("y") + reach >= 0) & (F.col("x") - reach < F.col("__w")) & (F.col("y") - reach < F.col("__h"))
+    names = list(dict.fromkeys([*KEY, *keys, "x", "y", "k", *shape]))
+    near = asked.select(names).join(_sizes(px), KEY).filter(inside).select(*names, span("x").alias("tx"), "__h").select(*names, "tx", span("y").alias("ty"))
+    fields = [near.schema[c] for c in keys] + [StructField(c, IntegerType()) for c in kept] + [StructField("light", DoubleType())]
+    schema = to_arrow_schema(StructType(fields))
+    site = [*KEY, "ty", "tx"]
+    tiles = tiles.withColumnsRenamed({"__w": "w", "__h": "h"})
+    sums = tiles.groupBy(*site).cogroup(near.groupBy(*site)).applyInArrow(lambda a, b: _tile_sums(a, b, keys, kept, schema), StructType(fields))
+    return sums.groupBy(*keys, *kept).agg(F.sum("light").alias("light"))
+
+
+def _from(first: Column, n: int) -> Column:
+    """``n`` distances from ``first`` on, one pixel apart."""
+    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: first + i)
+
+
+def _sides(side: Column) -> tuple[Column, Column]:
+    """Offsets and factors whose sum is the light on a ray above the mean of both its sides."""
+    return F.array(F.lit(0.0), side, -side), F.array(*[F.lit(f) for f in (1.0, -0.5, -0.5)])
 
 
 def top_stars(stars: DataFrame, n: int = SPIKE_STARS) -> DataFrame:
@@ -80,9 +137,8 @@ def top_stars(stars: DataFrame, n: int = SPIKE_STARS) -> DataFrame:
 
 def angular_profile(px: DataFrame, top: DataFrame, fwhm: float, value: str = "v") -> DataFrame:
     """Light by whole degree about the top stars, next to their cores: ``profile``, an array of 360, per image."""
-    rows = top.withColumn("degree", F.explode(F.sequence(F.lit(0), F.lit(359)))).withColumn("__step", F.explode(F.sequence(F.lit(0), F.lit(PROFILE_STEPS - 1))))
-    places = _excess(rows, F.col("degree"), F.col("half") + fwhm + 2 + F.col("__step"), F.lit(SPIKE_SIDE))
-    sums = light_at(px, places, [*KEY, "degree"], value).groupBy(*KEY).agg(F.map_from_entries(F.collect_list(F.struct("degree", "light"))).alias("__m"))
+    sums = light_at(px, top, F.sequence(F.lit(0), F.lit(359)), _from(F.col("half") + fwhm + 2, PROFILE_STEPS), *_sides(F.lit(SPIKE_SIDE)), ("angle",), KEY, value)
+    sums = sums.withColumnRenamed("angle", "degree").groupBy(*KEY).agg(F.map_from_entries(F.collect_list(F.struct("degree", "light"))).alias("__m"))
     return sums.select(*KEY, F.expr("transform(sequence(0, 359), d -> coalesce(element_at(__m, d), 0D))").alias("profile"))
 
 
@@ -110,8 +166,9 @@ def spike_directions(px: DataFrame, stars: DataFrame, fwhm: float, value: str =
     top = top_stars(stars)
     peaks = checkpointed(spike_peaks(angular_profile(px, top, fwhm, value)))
     turn = F.col("degree") - 1 + F.col("turn") * 0.05
-    rows = top.join(peaks, KEY).withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(40)))).withColumn("__step", F.explode(F.sequence(F.lit(0), F.lit(SPIKE_LEVER - 3))))
-    sums = light_at(px, _excess(rows, turn, F.col("half") + fwhm + 2 + F.col("__step"), F.lit(SPIKE_SIDE)), [*KEY, "degree", "turn"], value)
+    turns = F.transform(F.sequence(F.lit(0), F.lit(40)), lambda t: F.col("degree") - 1 + t * 0.05)
+    sums = light_at(px, top.join(peaks, KEY), turns, _from(F.col("half") + fwhm + 2, SPIKE_LEVER - 2), *_sides(F.lit(SPIKE_SIDE)), ("angle",), [*KEY, "degree"], value)
+    sums = sums.withColumnRenamed("angle", "turn")
     best = sums.groupBy(*KEY, "degree").agg(F.max_by("turn", F.struct("light", -F.col("turn"))).alias("turn"))
     return best.select(*KEY, "degree", turn.alias("angle"))
 
@@ -137,10 +194,10 @@ def _half(q: str, way: int, step: float) -> str:
 
 def spike_width(px: DataFrame, stars: DataFrame, directions: DataFrame, fwhm: float, value: str = "v") -> DataFrame:
     """``sigma`` of every image's spikes, within fixed limits; SPIKE_SIGMA where there is no spike or no peak across it."""
-    rows = top_stars(stars).join(directions.select(*KEY, "angle"), KEY).withColumn("__step", F.explode(F.sequence(F.lit(0), F.lit(SPIKE_LEVER - 3))))
-    rows = rows.withColumn("across", F.explode(F.sequence(F.lit(0), F.lit(32))))
-    places = _beside(rows, F.col("angle"), F.col("half") + fwhm + 2 + F.col("__step"), [(F.col("across") * 0.5 - 8, 1.0)])
-    sums = light_at(px, places, [*KEY, "across"], value).groupBy(*KEY).agg(F.map_from_entries(F.collect_list(F.struct("across", "light"))).alias("__m"))
+    rows = top_stars(stars).join(directions.select(*KEY, "angle"), KEY)
+    across = F.sequence(F.lit(0), F.lit(32))
+    sums = light_at(px, rows, F.array("angle"), _from(F.col("half") + fwhm + 2, SPIKE_LEVER - 2), F.transform(across, lambda i: i * 0.5 - 8), F.transform(across, lambda i: F.lit(1.0)), ("offset",), KEY, value)
+    sums = sums.withColumnRenamed("offset", "across").groupBy(*KEY).agg(F.map_from_entries(F.collect_list(F.struct("across", "light"))).alias("__m"))
     sums = sums.withColumn("__p", F.expr("transform(sequence(0, 32), d -> coalesce(element_at(__m, d), 0D))")).withColumn("__s", lateral_sigma("__p", 0.5))
     sigma = F.when(F.coalesce("__s", F.lit(0.0)) == 0, F.lit(SPIKE_SIGMA)).otherwise(F.greatest(F.lit(NARROWEST), F.least(F.lit(WIDEST), F.col("__s"))))
     return stars.select(*KEY).distinct().join(sums, KEY, "left").select(*KEY, sigma.alias("sigma"))
@@ -155,8 +212,8 @@ def spike_falloff(px: DataFrame, stars: DataFrame, directions: DataFrame, width:
     rows = top_stars(stars).join(directions.select(*KEY, "angle"), KEY).join(width, KEY).withColumn("start", F.floor(F.ceil("half") + fwhm + 2).cast("int"))
     rows = checkpointed(rows.filter(F.col("start") < SPIKE_MAX))
     starts = rows.groupBy(*KEY, "start").agg(F.count("*").alias("__n"))
-    each = rows.withColumn("r", F.explode(F.sequence("start", F.lit(SPIKE_MAX - 1))))
-    sums = light_at(px, _excess(each, F.col("angle"), F.col("r"), side_of(F.col("sigma"))), [*KEY, "r"], value)
+    sums = light_at(px, rows, F.array("angle"), F.sequence("start", F.lit(SPIKE_MAX - 1)), *_sides(side_of(F.col("sigma"))), ("step",), [*KEY, "start"], value)
+    sums = sums.groupBy(*KEY, (F.col("start") + F.col("step")).alias("r")).agg(F.sum("light").alias("light"))
     radii = starts.groupBy(*KEY).agg(F.min("start").alias("__first")).withColumn("r", F.explode(F.sequence("__first", F.lit(SPIKE_MAX - 1))))
     up_to = Window.partitionBy(*KEY).orderBy("r").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     near = Window.partitionBy(*KEY).orderBy("r").rowsBetween(-SPIKE_WINDOW, SPIKE_WINDOW)
@@ -178,7 +235,7 @@ def fit_spikes(px: DataFrame, stars: DataFrame, directions: DataFrame, width: Da
     start = (F.ceil("half") + fwhm).cast("double")
     rows = stars.join(directions.select(*KEY, "angle"), KEY).join(width, KEY).withColumn("start", start).withColumn("k", F.lit(1.0))
     step = rows.withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(SPIKE_FIT - 1))))
-    light = light_at(px, _excess(step, F.col("angle"), F.col("start") + F.col("step"), side_of(F.col("sigma"))), [*KEY, "star", "angle", "step"], value)
+    light = light_at(px, rows, F.array("angle"), _from(F.col("start"), SPIKE_FIT), *_sides(side_of(F.col("sigma"))), ("step",), [*KEY, "star", "angle"], value)
     curve = falloff.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("r", "t"))).alias("__t")).select(*KEY, F.col("__t.t").alias("__t"))
     fits = step.select(*KEY, "star", "angle", "start", "step").join(light, [*KEY, "star", "angle", "step"], "left").join(curve, KEY)
     t = F.expr(f"CASE WHEN int(start) + step < {SPIKE_MAX} THEN __t[int(start) + step] END")

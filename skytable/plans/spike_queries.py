@@ -30,11 +30,20 @@ def _spark(text: str) -> str:
 
 
 def images(spark, sf):
-    """Pixels and stars."""
+    """Pixels and stars. As SPIKY, with the three stars of an image side by side, so that a pixel meets them in one row."""
     view(spark, sf, "pixels").createOrReplaceTempView("pixels")
     stars = written(spark.sql(_spark(STARS)), "spike_stars")
-    stars.createOrReplaceTempView("stars")
-    return written(spark.sql(_spark(SPIKY)), "spike_pixels"), stars
+    wide = stars.groupBy("image_id").agg(*[F.max(F.when(F.col("star") == k, F.col(c))).alias(f"{c}{k}") for k in range(3) for c in ("x", "y", "flux")])
+    i = F.col("image_id")
+    px = view(spark, sf, "pixels").select(F.floor(i / 100).cast("long").alias("image_id"), (F.floor(i % 100 / 10) * 8 + F.col("y")).cast("long").alias("y"), (i % 10 * 8 + F.col("x")).cast("long").alias("x"), "v")
+    a = F.radians((20 + F.col("image_id") * 7 % 60).cast("double"))
+    light = F.col("v") / 400.0
+    for k in range(3):
+        dx, dy = F.col("x") - F.col(f"x{k}"), F.col("y") - F.col(f"y{k}")
+        along, across = dx * F.col("__c") + dy * F.col("__s"), dy * F.col("__c") - dx * F.col("__s")
+        light = light + F.col(f"flux{k}") * (F.exp(-(dx * dx + dy * dy) / 4) + 0.08 * F.exp(-across * across / 2) / (1 + F.abs(along) / 15) + 0.08 * F.exp(-along * along / 2) / (1 + F.abs(across) / 15))
+    rows = px.join(wide, "image_id").withColumns({"__c": F.cos(a), "__s": F.sin(a)})
+    return written(rows.select("image_id", "y", "x", light.alias("v")), "spike_pixels"), stars
 
 
 def light_sql(name: str, places: str, keys: str, final: str | None = None) -> str:
@@ -112,8 +121,7 @@ def sql(text: str) -> str:
 
 def _found(spark, sf):
     px, stars = images(spark, sf)
-    dirs = written(op.spike_directions(px, stars, FWHM), "spike_directions")
-    return px, stars, dirs
+    return px, stars, written(op.spike_directions(px, stars, FWHM), "spike_directions")
 
 
 def _width(spark, sf):

@@ -7,6 +7,7 @@ import pytest
 
 import __spark_entry__ as entry
 from check import difference
+from skytable.operators import spikes
 
 SF = "/root/testdata/sf0.001"
 
@@ -26,3 +27,21 @@ def test_an_image_of_which_the_table_has_a_part(spark, tmp_path, name):
     ids = rows["vec_id"]
     pq.write_table(rows.filter(pc.or_(pc.less(ids, 115), pc.and_(pc.greater_equal(ids, 230), pc.less(ids, 470)))), tmp_path / "embeddings.parquet")
     same_rows(spark, tmp_path, name, "embeddings")
+
+
+def exploded_builds(df):
+    """Joins that would send a side to every executor although an explode has multiplied it, which the size estimate does not see."""
+    found, nodes = [], [df._jdf.queryExecution().sparkPlan()]
+    while nodes:
+        node = nodes.pop()
+        sides = [node.children().apply(i) for i in range(node.children().size())]
+        nodes += sides
+        if node.nodeName().startswith("Broadcast") and len(sides) == 2 and "Generate " in sides[str(node.buildSide().toString()) == "BuildRight"].toString():
+            found.append(node.simpleString(25))
+    return found
+
+
+def test_places_about_stars_are_not_sent_whole(spark):
+    px = spark.range(1600).selectExpr("1L AS image_id", "id div 40 AS y", "id % 40 AS x", "CAST(id % 7 AS DOUBLE) AS v")
+    top = spikes.top_stars(spark.createDataFrame([(1, 0, 20.0, 21.0, 2.0, 2.0)], "image_id long, star int, x double, y double, flux double, half double"))
+    assert exploded_builds(spikes.angular_profile(px, top, 2.0)) == []
