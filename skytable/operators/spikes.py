@@ -2,7 +2,7 @@
 
 Light is read at polar places about a star by bilinear weights, which count what lies beyond the image.
 Stars meet the tiles of pixels that they reach; the places are made from a star within a tile, and only
-their sums move, so a whole profile is one equality join and one sum, for all stars and all images at
+their sums move, so a whole profile is one grouping by tile and one sum, for all stars and all images at
 once; nothing is read star by star. Profiles themselves are short (360 angles, 33 steps across, SPIKE_MAX radii) at any image size.
 
 Stars have ``image_id``, ``star``, ``x``, ``y``, ``flux`` and ``half``, the half width of their core.
@@ -99,8 +99,9 @@ def light_at(px: DataFrame, stars: DataFrame, angles: Column, steps: Column, off
         n = F.floor(at / TILE).cast("int")
         return F.explode(F.when((at % TILE == 0) & (at > 0), F.array(n - 1, n)).otherwise(F.array(n)))
     rows = px.select(*KEY, F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x"), F.col(value).cast("double").alias("v")).filter("x >= 0 AND y >= 0")
+    rows = rows.join(_sizes(px).withColumnsRenamed({"__w": "w", "__h": "h"}), KEY)
     rows = rows.select("*", tile_of(F.col("y")).alias("ty")).select("*", tile_of(F.col("x")).alias("tx"))
-    tiles = rows.select(*KEY, "ty", "tx", ((F.col("y") - F.col("ty") * TILE) * (TILE + 1) + F.col("x") - F.col("tx") * TILE).cast("int").alias("at"), "v").join(_sizes(px), KEY)
+    tiles = rows.select(*KEY, "ty", "tx", ((F.col("y") - F.col("ty") * TILE) * (TILE + 1) + F.col("x") - F.col("tx") * TILE).cast("int").alias("at"), "v", "w", "h")
     shape = {"angles": angles, "steps": steps, "offsets": offsets, "factors": factors}
     asked = stars.withColumns({c: a.cast("array<double>") for c, a in shape.items()})
     reach = F.array_max("steps") + F.array_max(F.transform("offsets", F.abs)) + 1
@@ -113,7 +114,6 @@ def light_at(px: DataFrame, stars: DataFrame, angles: Column, steps: Column, off
     fields = [near.schema[c] for c in keys] + [StructField(c, IntegerType()) for c in kept] + [StructField("light", DoubleType())]
     schema = to_arrow_schema(StructType(fields))
     site = [*KEY, "ty", "tx"]
-    tiles = tiles.withColumnsRenamed({"__w": "w", "__h": "h"})
     sums = tiles.groupBy(*site).cogroup(near.groupBy(*site)).applyInArrow(lambda a, b: _tile_sums(a, b, keys, kept, schema), StructType(fields))
     return sums.groupBy(*keys, *kept).agg(F.sum("light").alias("light"))
 
