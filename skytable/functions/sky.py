@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skytable.functions.storage import multiplied
+
 
 def col(c: Column | str | float) -> Column:
     return F.col(c) if isinstance(c, str) else c if isinstance(c, Column) else F.lit(float(c))
@@ -144,8 +146,8 @@ def with_cells_near(df: DataFrame, ra: str, dec: str, radius: Column, size: floa
     last = F.when(F.col("__span") >= 180, n - 1).otherwise(
         F.least(F.floor((F.col(ra) + F.col("__span")) / 360.0 * n).cast("int"), first + n - 1))
     rows = rows.withColumn("__k", F.explode(F.sequence(first, last)))
-    return rows.withColumn(name, (row * 100000 + F.pmod(F.col("__k"), n)).cast("long")).drop(
-        "__radius", "__row", "__n", "__span", "__k")
+    return multiplied(rows.withColumn(name, (row * 100000 + F.pmod(F.col("__k"), n)).cast("long")).drop(
+        "__radius", "__row", "__n", "__span", "__k"))
 
 
 # --- HEALPix ---------------------------------------------------------------------------

@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from skytable.functions.storage import multiplied
+
 from skytable.functions.sky import equal_area_cell, separation, with_cells_near
 from skytable.operators.rounds import ordered_suppression
 from skytable.operators.sky import cone_join
@@ -83,9 +85,9 @@ def similar_words(left: DataFrame, right: DataFrame) -> DataFrame:
     a = left.select("word").distinct().filter(F.length("word") > 0).select(
         F.col("word").alias("typed"), F.explode(_pieces(F.col("word"))).alias("piece"),
         F.sequence(F.ceil(F.length("word") * 0.75).cast("int"), F.floor(F.length("word") / 0.75).cast("int")).alias("sizes"))
-    a = a.select("typed", "piece", F.explode("sizes").alias("size"))
-    b = right.select("word").distinct().filter(F.length("word") > 0).select(
-        F.col("word").alias("named"), F.length("word").alias("size"), F.explode(F.array_distinct(_segments(F.col("word")))).alias("piece"))
+    a = multiplied(a.select("typed", "piece", F.explode("sizes").alias("size")))
+    b = multiplied(right.select("word").distinct().filter(F.length("word") > 0).select(
+        F.col("word").alias("named"), F.length("word").alias("size"), F.explode(F.array_distinct(_segments(F.col("word")))).alias("piece")))
     near = 1.0 - F.levenshtein("typed", "named") / F.greatest(F.length("typed"), F.length("named")) >= MIN_SCORE
     return a.join(b, ["piece", "size"]).select("typed", "named").distinct().filter(near)
 
@@ -97,12 +99,12 @@ def name_hits(queries: DataFrame, names: DataFrame) -> DataFrame:
     """
     q = queries.select("query").distinct().withColumn("typed", object_words(F.col("query")))
     n = names.filter(F.length("name") > 0).select("name").distinct().withColumn("words", object_words(F.col("name")))
-    qw = q.select("query", F.explode(F.array_distinct("typed")).alias("word"))
-    nw = n.select("name", F.explode(F.array_distinct("words")).alias("word"))
+    qw = multiplied(q.select("query", F.explode(F.array_distinct("typed")).alias("word")))
+    nw = multiplied(n.select("name", F.explode(F.array_distinct("words")).alias("word")))
     pairs = similar_words(qw, nw)
     meet = (qw.withColumnRenamed("word", "typed").join(pairs, "typed").join(nw.withColumnRenamed("word", "named"), "named")
             .select("query", "name").distinct())
-    return (meet.join(q, "query").join(n, "name").withColumn("score", name_score(F.col("typed"), F.col("words")))
+    return (meet.join(multiplied(q), "query").join(multiplied(n), "name").withColumn("score", name_score(F.col("typed"), F.col("words")))
             .filter(F.col("score") >= MIN_SCORE).select("query", "name", "score"))
 
 
@@ -121,7 +123,7 @@ def find_object(queries: DataFrame, catalogue: DataFrame) -> DataFrame:
     spark = queries.sparkSession
     q = queries.select("query").distinct().filter(F.trim("query") != "").withColumn(
         "compact", F.regexp_replace(F.upper("query"), r"\s+", ""))
-    c = catalogue.select("seq", "id", "ra", "dec", F.coalesce("diameter", F.lit(0.0)).alias("diameter"), F.coalesce("name", F.lit("")).alias("name"), "messier")
+    c = multiplied(catalogue.select("seq", "id", "ra", "dec", F.coalesce("diameter", F.lit(0.0)).alias("diameter"), F.coalesce("name", F.lit("")).alias("name"), "messier"))
     by_id = c.withColumn("key", F.upper("id"))
     shape = ["query", "id", "ra", "dec", "diameter", "name", "score", "kind", "seq"]
 
@@ -129,7 +131,7 @@ def find_object(queries: DataFrame, catalogue: DataFrame) -> DataFrame:
         return df.withColumns({"score": score.cast("double"), "kind": F.lit(kind)}).select(*shape)
     exact = hits(q.withColumn("key", F.col("compact")).join(by_id, "key"), F.lit(1.0), 0)
     part = q.withColumn("key", F.nullif(F.regexp_extract("compact", r"^((?:NGC|IC)\d+)[A-Z]$", 1), F.lit("")))
-    part = part.join(exact.select("query").distinct(), "query", "left_anti")
+    part = part.join(multiplied(exact.select("query").distinct()), "query", "left_anti")
     sub = hits(part.join(by_id, "key"), F.lit(0.97), 1)
     number = F.regexp_extract("compact", r"^M(?:ESSIER)?(\d+)$", 1)
     messier = q.withColumn("messier", F.when(number != "", F.concat(F.lit("M"), number))).join(c, "messier")
