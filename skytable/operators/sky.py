@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from skytable.functions.ordered import medians, order_elements, robust_spread, upper_medians
 from skytable.functions.sky import equal_area_cell, separation, tan_project, unit_vector, vector_angles, with_cells_near
-from skytable.functions.storage import checkpointed
+from skytable.functions.storage import checkpointed, multiplied
 from skytable.operators.frames import finite
 from skytable.operators.rounds import one_to_one, ordered_suppression
 
@@ -159,8 +159,8 @@ def over_cells(df: DataFrame, x0: Column, y0: Column, x1: Column, y1: Column, si
     """One row per grid cell that the box [x0, x1] by [y0, y1] touches: ``cx``, ``cy``."""
     def cell(c: Column) -> Column:
         return F.floor(c / size).cast("int")
-    return (df.withColumn("cx", F.explode(F.sequence(cell(x0), cell(x1))))
-            .withColumn("cy", F.explode(F.sequence(cell(y0), cell(y1)))))
+    return multiplied(df.withColumn("cx", F.explode(F.sequence(cell(x0), cell(x1))))
+                      .withColumn("cy", F.explode(F.sequence(cell(y0), cell(y1)))))
 
 
 def at_cell(df: DataFrame, size: float) -> DataFrame:
@@ -277,7 +277,7 @@ def missing_bright(stars: DataFrame, detections: DataFrame, radius: float = BRIG
     spread = over_cells(bright, F.col("x") - radius, F.col("y") - radius, F.col("x") + radius, F.col("y") + radius, MATCH_CELL)
     seen = at_cell(detections.select(F.col("x"), F.col("y")), MATCH_CELL).withColumnsRenamed({"x": "ox", "y": "oy"})
     near = F.hypot(F.col("ox") - F.col("x"), F.col("oy") - F.col("y")) < radius
-    found = spread.join(seen, (spread.cx == seen.cx) & (spread.cy == seen.cy) & near, "left_semi").select("star_id").distinct()
+    found = multiplied(spread).join(seen, (spread.cx == seen.cx) & (spread.cy == seen.cy) & near, "left_semi").select("star_id").distinct()
     missed = checkpointed(bright.join(found, "star_id", "left_anti"))
     wide = over_cells(missed, F.col("x") - radius, F.col("y") - radius, F.col("x") + radius, F.col("y") + radius, MATCH_CELL)
     other = at_cell(missed.select("star_id", "x", "y"), MATCH_CELL).withColumnsRenamed(
@@ -304,15 +304,17 @@ def blend_flags(detections: DataFrame, stars: DataFrame, pairs: DataFrame, grow:
     s = at_cell(stars.select("star_id", "x", "y", "g"), MATCH_CELL).select(
         F.col("star_id").alias("n_id"), F.col("x").alias("nx"), F.col("y").alias("ny"), F.col("g").alias("ng"),
         F.col("cx").alias("n_cx"), F.col("cy").alias("n_cy"))
-    cores = over_cells(with_rect(detections), F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"), MATCH_CELL)
-    asked = cores.join(pairs.select("det_id", "star_id", F.col("g").alias("pg")), "det_id")
+    cores = over_cells(with_rect(detections), F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"), MATCH_CELL).select("det_id", "x0", "y0", "x1", "y1", "cx", "cy")
     inside = ((F.col("nx") >= F.col("x0")) & (F.col("nx") < F.col("x1")) & (F.col("ny") >= F.col("y0")) & (F.col("ny") < F.col("y1")))
-    close = ~F.coalesce(F.col("ng") > F.col("pg") + BLEND_COMPANION_MAG, F.lit(False))
-    crowded = asked.join(s, (F.col("cx") == F.col("n_cx")) & (F.col("cy") == F.col("n_cy"))
-                         & (F.col("star_id") != F.col("n_id")) & inside & close, "left_semi").select("det_id", "star_id").distinct()
-    return (pairs.join(blended.withColumn("__b", F.lit(True)), "det_id", "left")
-            .join(crowded.withColumn("__c", F.lit(True)), ["det_id", "star_id"], "left")
-            .select("star_id", "det_id", F.col("__b").isNotNull().alias("blend"), F.col("__c").isNotNull().alias("catalogue_blend")))
+    held = cores.join(s, (F.col("cx") == F.col("n_cx")) & (F.col("cy") == F.col("n_cy")) & inside)
+    # whether a star other than the pair's is bright enough: the brightest of a core tells, or the next where that is the pair's own
+    bright = F.struct(F.coalesce("ng", F.lit(float("-inf"))).alias("g"), F.col("n_id").alias("id"))
+    first = held.groupBy("det_id").agg(F.min(bright).alias("__first"))
+    second = held.join(multiplied(first), "det_id").filter(F.col("n_id") != F.col("__first.id")).groupBy("det_id").agg(F.min(bright).alias("__second"))
+    flags = (first.join(multiplied(second), "det_id", "left").join(multiplied(blended.withColumn("__b", F.lit(True))), "det_id", "full"))
+    other = F.when(F.col("__first.id") == F.col("star_id"), F.col("__second.g")).otherwise(F.col("__first.g"))
+    close = other.isNotNull() & ~F.coalesce(other > F.col("g") + BLEND_COMPANION_MAG, F.lit(False))
+    return pairs.join(multiplied(flags), "det_id", "left").select("star_id", "det_id", F.col("__b").isNotNull().alias("blend"), close.alias("catalogue_blend"))
 
 
 def drop_inside_brighter(candidates: DataFrame, detections: DataFrame, reach: str = "reach",
@@ -333,14 +335,14 @@ def drop_inside_brighter(candidates: DataFrame, detections: DataFrame, reach: st
     c = at_cell(c, REACH_CELL)
     hidden = c.join(spread, same & bright & (off < F.col("reach")), "left_semi").select("det_id")
     if spikes is not None:
-        s = d.join(spikes.withColumnRenamed("det_id", "o_id"), "o_id").withColumn("far", F.col("length") + SPIKE_WIDTH)
+        s = d.join(multiplied(spikes.withColumnRenamed("det_id", "o_id")), "o_id").withColumn("far", F.col("length") + SPIKE_WIDTH)
         s = over_cells(s, F.col("ox") - F.col("far"), F.col("oy") - F.col("far"), F.col("ox") + F.col("far"),
                        F.col("oy") + F.col("far"), REACH_CELL).withColumnsRenamed({"cx": "o_cx", "cy": "o_cy"})
         turn = F.atan2(F.col("y") - F.col("oy"), F.col("x") - F.col("ox")) - F.col("angle")
         turn = F.abs(F.atan2(F.sin(turn), F.cos(turn)))
         along = (off <= F.col("far")) & (off * F.sin(F.least(turn, F.lit(1.5707963267948966))) <= SPIKE_WIDTH)
         hidden = hidden.unionByName(c.join(s, same & bright & along, "left_semi").select("det_id"))
-    return candidates.join(hidden.distinct(), "det_id", "left_anti")
+    return candidates.join(multiplied(hidden.distinct()), "det_id", "left_anti")
 
 
 # --- distances ---------------------------------------------------------------------------
