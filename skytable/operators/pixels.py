@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from skytable.functions.ordered import medians, percentiles, robust_spread, upper_medians
-from skytable.functions.storage import checkpointed
+from skytable.functions.storage import checkpointed, multiplied
 
 # Fixed values of the pixel rules.
 MAD_TO_SIGMA = 1.4826
@@ -571,7 +571,7 @@ def rect_pixels(rects: DataFrame, names: Sequence[str], grow: float = 0.0) -> Da
     rows = rects.filter((x1 + grow > x0 - grow) & (y1 + grow > y0 - grow))
     for c, low, high in (("y", y0, y1), ("x", x0, x1)):
         rows = rows.withColumn(f"__{c}", F.explode(F.sequence(F.floor(low - grow).cast("long"), F.floor(high + grow).cast("long") - 1)))
-    return rows.drop(*[c for c in ("x", "y") if c in rects.columns]).withColumnsRenamed({"__y": "y", "__x": "x"})
+    return multiplied(rows.drop(*[c for c in ("x", "y") if c in rects.columns]).withColumnsRenamed({"__y": "y", "__x": "x"}))
 
 
 def core_labels(detections: DataFrame, grow: float) -> DataFrame:
@@ -590,10 +590,10 @@ def ring_profile(px: DataFrame, stars: DataFrame, reach: int, value: str = "v",
     """
     near = stars.withColumn("y", F.explode(F.sequence(F.floor(F.col("sy")).cast("int") - reach, F.floor(F.col("sy")).cast("int") + reach + 1))).withColumn(
         "x", F.explode(F.sequence(F.floor(F.col("sx")).cast("int") - reach, F.floor(F.col("sx")).cast("int") + reach + 1)))
-    rows = near.join(px, [*KEY, "y", "x"]).withColumn("r", F.floor(F.hypot(F.col("x") - F.col("sx"), F.col("y") - F.col("sy")) + 0.5).cast("int"))
+    rows = multiplied(near).join(px, [*KEY, "y", "x"]).withColumn("r", F.floor(F.hypot(F.col("x") - F.col("sx"), F.col("y") - F.col("sy")) + 0.5).cast("int"))
     rows = rows.filter(F.col("r") <= reach)
     if labels is not None:
-        rows = rows.join(labels.select(*KEY, "y", "x", "label"), [*KEY, "y", "x"], "left").filter(F.col("label").isNull() | (F.col("label") == F.col("star")))
+        rows = rows.join(multiplied(labels.select(*KEY, "y", "x", "label")), [*KEY, "y", "x"], "left").filter(F.col("label").isNull() | (F.col("label") == F.col("star")))
     return upper_medians(rows, [*KEY, "star", "r"], value, "raw").drop("n")
 
 
@@ -636,7 +636,7 @@ def star_colour(wide: DataFrame, stars: DataFrame, channels: Sequence[str], radi
     near = stars.withColumn("y", F.explode(F.sequence(F.floor(F.col("sy")).cast("int") - reach, F.floor(F.col("sy")).cast("int") + reach))).withColumn(
         "x", F.explode(F.sequence(F.floor(F.col("sx")).cast("int") - reach, F.floor(F.col("sx")).cast("int") + reach)))
     level = sky or {}
-    rows = near.join(wide, ["run", "y", "x"]).filter(F.hypot(F.col("x") - F.col("sx"), F.col("y") - F.col("sy")) <= radius)
+    rows = multiplied(near).join(wide, ["run", "y", "x"]).filter(F.hypot(F.col("x") - F.col("sx"), F.col("y") - F.col("sy")) <= radius)
     sums = {c: F.sum(F.col(c) - level.get(c, 0.0)) for c in channels}
     total = sum((s for s in sums.values()), F.lit(0.0)) / len(channels)
     g = rows.groupBy("run", "star").agg(total.alias("__i"), *[s.alias(f"__{c}") for c, s in sums.items()])
@@ -658,26 +658,27 @@ def model_pixels(stars: DataFrame, profile: DataFrame, reach: int) -> DataFrame:
     """
     w = Window.partitionBy(*KEY, "star").orderBy("r")
     steps = profile.select(*KEY, "star", "r", F.col("raw").alias("p0"), F.coalesce(F.lead("raw").over(w), F.lit(0.0)).alias("p1"))
-    near = stars.withColumn("y", F.explode(F.sequence(F.floor(F.col("sy")).cast("int") - reach, F.floor(F.col("sy")).cast("int") + reach + 1))).withColumn(
+    # a star carries its whole curve to its pixels, so that they need not go to the rings
+    curves = steps.groupBy(*KEY, "star").agg(F.map_from_entries(F.collect_list(F.struct(F.col("r").cast("int"), F.struct("p0", "p1")))).alias("__curve"))
+    near = stars.join(multiplied(curves), [*KEY, "star"]).withColumn("y", F.explode(F.sequence(F.floor(F.col("sy")).cast("int") - reach, F.floor(F.col("sy")).cast("int") + reach + 1))).withColumn(
         "x", F.explode(F.sequence(F.floor(F.col("sx")).cast("int") - reach, F.floor(F.col("sx")).cast("int") + reach + 1)))
     d = F.hypot(F.col("x") - F.col("sx"), F.col("y") - F.col("sy"))
-    near = near.withColumn("__d", d).withColumn("r", F.floor("__d").cast("int"))
-    rows = near.join(steps, [*KEY, "star", "r"])
-    light = F.col("p0") + (F.col("p1") - F.col("p0")) * (F.col("__d") - F.col("r"))
-    return rows.select(*KEY, "star", "y", "x", F.greatest(F.lit(0.0), light).alias("model"))
+    rows = near.withColumn("__d", d).withColumn("__p", F.col("__curve")[F.floor("__d").cast("int")]).filter(F.col("__p").isNotNull())
+    light = F.col("__p.p0") + (F.col("__p.p1") - F.col("__p.p0")) * (F.col("__d") - F.floor("__d"))
+    return multiplied(rows.select(*KEY, "star", "y", "x", F.greatest(F.lit(0.0), light).alias("model")))
 
 
 def deblended(px: DataFrame, models: DataFrame, noise: DataFrame, value: str = "v") -> DataFrame:
     """Light of every star per pixel: ``image_id``, ``star``, ``y``, ``x``, ``light``. ``noise`` gives ``noise`` and ``sky``."""
-    total = models.groupBy(*KEY, "y", "x").agg(F.sum("model").alias("total"))
-    rows = models.join(total, [*KEY, "y", "x"]).join(px, [*KEY, "y", "x"]).join(noise, KEY)
+    total = F.sum("model").over(Window.partitionBy(*KEY, "y", "x"))
+    rows = multiplied(models.withColumn("total", total)).join(px, [*KEY, "y", "x"]).join(noise, KEY)
     return rows.select(*KEY, "star", "y", "x", deblend_share(F.col("model"), F.col("total"), F.col(value) - F.col("sky"), F.col("noise")).alias("light"))
 
 
 def residual_layer(px: DataFrame, lights: DataFrame, value: str = "v") -> DataFrame:
     """What the stars leave of an image."""
     taken = lights.groupBy(*KEY, "y", "x").agg(F.sum("light").alias("__taken"))
-    return px.join(taken, [*KEY, "y", "x"], "left").withColumn(
+    return px.join(multiplied(taken), [*KEY, "y", "x"], "left").withColumn(
         "residual", F.col(value) - F.coalesce("__taken", F.lit(0.0))).drop("__taken")
 
 
@@ -696,7 +697,7 @@ def pixel_owner(px: DataFrame, stars: DataFrame) -> DataFrame:
     order = F.when(F.col("__core"), F.struct(F.lit(1).alias("k"), F.col("star").cast("double").alias("a"), F.col("star").alias("b"))).otherwise(
         F.struct(F.lit(0).alias("k"), F.col("flux").cast("double").alias("a"), (-F.col("star")).alias("b")))
     owned = rows.groupBy(*KEY, "y", "x").agg(F.max_by("star", order).alias("owner"))
-    return px.select(*KEY, "y", "x").join(owned, [*KEY, "y", "x"], "left")
+    return px.select(*KEY, "y", "x").join(multiplied(owned), [*KEY, "y", "x"], "left")
 
 
 def sprite_owner(px: DataFrame, sprites: DataFrame, others: DataFrame | None = None, *, halo_mode: bool = False) -> DataFrame:
@@ -718,7 +719,7 @@ def sprite_owner(px: DataFrame, sprites: DataFrame, others: DataFrame | None = N
                                                                     F.lit(0.0).alias("__a"), F.lit(0).cast("long").alias("__b"))
         claims = claims.unionByName(kept)
     best = claims.groupBy(*KEY, "y", "x").agg(F.max_by(F.struct(F.col("__owner").alias("owner")), F.struct("__rank", "__a", "__b")).alias("__best"))
-    return px.select(*KEY, "y", "x").join(best, [*KEY, "y", "x"], "left").select(*KEY, "y", "x", F.col("__best.owner").alias("owner"))
+    return px.select(*KEY, "y", "x").join(multiplied(best), [*KEY, "y", "x"], "left").select(*KEY, "y", "x", F.col("__best.owner").alias("owner"))
 
 
 # --- stacks ---------------------------------------------------------------------------------
@@ -794,7 +795,7 @@ def whole_stars(detections: DataFrame, px: DataFrame, fwhm: int, value: str = "v
     def held(c: str, off: str, last: str) -> Column:
         return F.greatest(F.lit(0), F.least(F.col(last), F.col(c) + F.col(off)))
     near = near.withColumns({"x": held("__cx", "__i", "__w"), "y": held("__cy", "__j", "__h")})
-    seen = near.join(px.select(*KEY, "y", "x", F.col(value).alias("__v")), [*KEY, "y", "x"]).groupBy(*KEY, "det_id").agg(
+    seen = multiplied(near).join(px.select(*KEY, "y", "x", F.col(value).alias("__v")), [*KEY, "y", "x"]).groupBy(*KEY, "det_id").agg(
         F.max(F.when(inner, F.col("__v"))).alias("__top"), F.max(F.when(~inner, F.col("__v"))).alias("__around"),
         F.max(F.when((F.col("__i") == 0) & (F.col("__j") == 0), F.col("__v"))).alias("__centre"))
     rows = detections.join(seen, [*KEY, "det_id"])

@@ -36,12 +36,23 @@ def exploded_builds(df):
         node = nodes.pop()
         sides = [node.children().apply(i) for i in range(node.children().size())]
         nodes += sides
-        if node.nodeName().startswith("Broadcast") and len(sides) == 2 and "Generate " in sides[str(node.buildSide().toString()) == "BuildRight"].toString():
+        if node.nodeName().startswith("Broadcast") and len(sides) == 2 and "Generate explode" in sides[str(node.buildSide().toString()) == "BuildRight"].toString():
             found.append(node.simpleString(25))
     return found
 
 
-def test_places_about_stars_are_not_sent_whole(spark):
-    px = spark.range(1600).selectExpr("1L AS image_id", "id div 40 AS y", "id % 40 AS x", "CAST(id % 7 AS DOUBLE) AS v")
-    top = spikes.top_stars(spark.createDataFrame([(1, 0, 20.0, 21.0, 2.0, 2.0)], "image_id long, star int, x double, y double, flux double, half double"))
+GROWING = ["blend_flags", "find_object", "radial_profile_cores", "star_model_sums", "deblend_share", "deblend_layer", "pixel_ownership", "sprite_ownership",
+           "crossmatch_detections", "nearest_neighbour_residual", "drop_inside_brighter", "illuminator_distance", "cone_search_join", "covering_cone_pick"]
+
+
+@pytest.mark.parametrize("name", GROWING)
+def test_what_an_explode_multiplies_is_not_sent_whole(spark, name):
+    assert exploded_builds(entry.queries()[name](spark, SF)) == []
+
+
+def test_places_about_stars_are_not_sent_whole(spark, tmp_path):
+    px = spark.range(40_000_000).selectExpr("id div 1600 AS image_id", "id % 1600 div 40 AS y", "id % 40 AS x", "CAST(id % 7 AS DOUBLE) AS v")
+    stars = spark.createDataFrame([(1, 0, 20.0, 21.0, 2.0, 2.0)], "image_id long, star int, x double, y double, flux double, half double")
+    stars.write.parquet(str(tmp_path / "stars"))
+    top = spikes.top_stars(spark.read.parquet(str(tmp_path / "stars")))
     assert exploded_builds(spikes.angular_profile(px, top, 2.0)) == []
