@@ -374,7 +374,7 @@ def find_cluster(stars: DataFrame, ra: float, dec: float, radius: float) -> Data
     """The cluster about a direction by shared motion and distance: at most one row.
 
     Columns ``members``, ``distance_pc``, ``low_pc``, ``high_pc``. Neighbours of a star are found in cells of
-    proper motion as wide as the kernel.
+    proper motion as wide as the kernel, once for all stars alike.
     """
     spark = stars.sparkSession
     samples = checkpointed(cluster_samples(stars, ra, dec, radius).withColumn("one", F.lit(1)))
@@ -393,16 +393,21 @@ def find_cluster(stars: DataFrame, ra: float, dec: float, radius: float) -> Data
         dp = (F.col("p") - p) / (CLUSTER_PLX_SCALE * F.greatest(sp, F.col("sp")))
         return da * da + dd * dd + dp * dp
 
+    # stars of the same motion, distance and error have the same neighbours: they meet once, with their numbers
+    alike = checkpointed(samples.groupBy("a", "d", "p", "sp").agg(
+        F.count_if(F.col("part") == "inside").alias("w_in"), F.count_if(F.col("part") == "field").alias("w_field"),
+        F.min(F.when(F.col("part") == "inside", F.col("star_id"))).alias("first")))
     cell = {"ca": F.floor(F.col("a") / sa), "cd": F.floor(F.col("d") / sd)}
-    seeds = (inside.select(F.col("star_id").alias("seed"), F.col("a").alias("sa_"), F.col("d").alias("sd_"),
-                           F.col("p").alias("sp_"), F.col("sp").alias("ss_"),
-                           F.explode(F.sequence(F.floor(F.col("a") / sa) - 1, F.floor(F.col("a") / sa) + 1)).alias("ca"),
-                           F.floor(F.col("d") / sd).alias("__d"))
+    seeds = (alike.filter("w_in > 0")
+             .select(F.col("first").alias("seed"), F.col("a").alias("sa_"), F.col("d").alias("sd_"),
+                     F.col("p").alias("sp_"), F.col("sp").alias("ss_"),
+                     F.explode(F.sequence(F.floor(F.col("a") / sa) - 1, F.floor(F.col("a") / sa) + 1)).alias("ca"),
+                     F.floor(F.col("d") / sd).alias("__d"))
              .withColumn("cd", F.explode(F.sequence(F.col("__d") - 1, F.col("__d") + 1))).drop("__d"))
-    near = (samples.withColumns(cell).join(seeds, ["ca", "cd"])
+    near = (alike.withColumns(cell).join(multiplied(seeds), ["ca", "cd"])
             .filter(distance2(F.col("sa_"), F.col("sd_"), F.col("sp_"), F.col("ss_")) <= 1))
     counts = near.groupBy("seed", "sa_", "sd_", "sp_", "ss_").agg(
-        F.count_if(F.col("part") == "inside").alias("n"), (F.count_if(F.col("part") == "field") * F.lit(scale)).alias("f"))
+        F.sum("w_in").alias("n"), (F.sum("w_field") * F.lit(scale)).alias("f"))
     best = counts.withColumn("sig", (F.col("n") - F.col("f")) / F.sqrt(F.col("f") + 1)).agg(
         F.max_by(F.struct("sig", "sa_", "sd_", "sp_", "ss_"), F.struct("sig", -F.col("seed"))).alias("b")).first()["b"]
     a, d, p, sp = best["sa_"], best["sd_"], best["sp_"], best["ss_"]
