@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from skytable.functions.storage import multiplied
+from skytable.functions.storage import checkpointed, multiplied
 
 from skytable.functions.sky import equal_area_cell, separation, with_cells_near
-from skytable.operators.rounds import ordered_suppression
 from skytable.operators.sky import cone_join
 
 # Fixed values of the name rules.
@@ -341,6 +341,29 @@ def sky_tiles(spark: SparkSession, radius: float) -> DataFrame:
     return r.select(((F.col("c") + 0.5) * 360.0 / F.col("n")).alias("ra"), "dec", "row", "c")
 
 
+def spaced(places: DataFrame, order: Sequence[str], apart: float) -> DataFrame:
+    """Places (``ra``, ``dec``) kept when they are visited in ``order`` and a kept place drops the later ones nearer than ``apart``.
+
+    No pairs of places are made: a place is safe when none comes before it that is first in a cell its circle touches.
+    Every round keeps the safe places and drops what lies near them; kept places are ``apart`` from each other, so the
+    sky bounds their number and a place meets few of them. The first place left is always safe, so the rounds end.
+    """
+    rest = checkpointed(places.withColumns({"__o": F.struct(*order), "__cell": equal_area_cell("ra", "dec", apart)}))
+    kept = rest.limit(0)
+    while not rest.isEmpty():
+        first = checkpointed(rest.groupBy("__cell").agg(F.min("__o").alias("__o")))
+        leads = checkpointed(rest.join(first, ["__cell", "__o"], "left_semi"))
+        around = with_cells_near(leads.select("__o", "ra", "dec"), "ra", "dec", F.lit(apart), apart)
+        late = around.join(first.select(F.col("__cell").alias("cell"), F.col("__o").alias("__p")), "cell").filter("__p < __o").select("__o").distinct()
+        safe = checkpointed(leads.join(late, "__o", "left_anti"))
+        kept = kept.unionByName(safe)
+        near = with_cells_near(safe.select(F.col("__o").alias("__p"), F.col("ra").alias("__ra"), F.col("dec").alias("__dec")).distinct(), "__ra", "__dec", F.lit(apart), apart)
+        same = (F.col("__p") == F.col("__o")) & (F.col("__ra") == F.col("ra")) & (F.col("__dec") == F.col("dec"))
+        later = (F.col("__p") < F.col("__o")) & (separation("__ra", "__dec", "ra", "dec") < apart)
+        rest = checkpointed(rest.join(near, (F.col("__cell") == F.col("cell")) & (same | later), "left_anti"))
+    return kept.drop("__o", "__cell")
+
+
 def search_order(history: DataFrame, catalogue: DataFrame, step: float, target_step: float) -> DataFrame:
     """Where to look for an unknown field, best first: earlier solves, popular objects and Messier objects, the rest by
     size, then sky tiles. A named place within ``target_step`` of an earlier kept one is left out.
@@ -365,14 +388,7 @@ def search_order(history: DataFrame, catalogue: DataFrame, step: float, target_s
     rest = part(c.filter("coalesce(__m, 0) <= 0"), 3, -F.col("diameter"), F.col("seq"), F.col("id"))
     past = part(history, 0, F.lit(0), F.col("seq"), F.lit("solved before"))
     named = past.unionByName(popular).unionByName(messier).unionByName(rest).filter(F.col("ra").isNotNull() & F.col("dec").isNotNull())
-    named = named.withColumn("key", F.concat_ws("/", "priority", "rank", "tie"))
-    order = F.struct("priority", "rank", "tie")
-    spread = with_cells_near(named.withColumn("__o", order), "ra", "dec", F.lit(target_step), target_step)
-    other = named.select(F.col("key").alias("later"), F.col("ra").alias("__ra"), F.col("dec").alias("__dec"), order.alias("__p"),
-                         equal_area_cell("ra", "dec", target_step).alias("cell"))
-    edges = spread.join(other, "cell").filter((F.col("__o") < F.col("__p")) & (separation("ra", "dec", "__ra", "__dec") < target_step)).select(
-        F.col("key").alias("earlier"), "later")
-    kept = named.join(ordered_suppression(named, edges, "key"), "key", "left_semi").drop("key")
+    kept = spaced(named, ["priority", "rank", "tie"], target_step)
     tiles = part(sky_tiles(spark, step), 4, F.col("row"), F.col("c"), F.format_string("RA %.1f, Dec %+.1f", F.col("ra"), F.col("dec")))
     return kept.unionByName(tiles)
 

@@ -3,10 +3,12 @@
 import os
 
 import duckdb
+import numpy as np
 import pytest
 
 import __spark_entry__ as entry
 from check import difference
+from skytable.operators import objects
 
 SF = "/root/testdata/sf0.001"
 KEYS = {"customer": ("c_custkey",), "part": ("p_partkey",), "orders": ("o_orderkey", "o_custkey")}
@@ -70,6 +72,31 @@ def growth(spark, tmp_path, name, few, many, *tables):
     return counts[1] / counts[0]
 
 
+def apart(ra1, dec1, ra2, dec2):
+    a1, d1, a2, d2 = (np.radians(v) for v in (ra1, dec1, ra2, dec2))
+    return np.degrees(np.arccos(np.clip(np.cos(d1) * np.cos(a1) * np.cos(d2) * np.cos(a2) + np.cos(d1) * np.sin(a1) * np.cos(d2) * np.sin(a2) + np.sin(d1) * np.sin(d2), -1, 1)))
+
+
+def crowd(n):
+    r = np.random.default_rng(7)
+    return [(i, f"O{i}", float((355 + 14 * r.random()) % 360), float(-6 + 12 * r.random()), float(r.integers(0, 30))) for i in range(n)]
+
+
+def test_search_order_of_a_crowd(spark):
+    rows = crowd(1500)
+    c = spark.createDataFrame([(*o, "", "") for o in rows], "seq long, id string, ra double, dec double, diameter double, name string, messier string")
+    h = spark.createDataFrame([(1, 2.0, 0.0), (2, 2.5, 0.5)], "seq long, ra double, dec double")
+    got, made = join_rows(spark, lambda: {(x.ra, x.dec) for x in objects.search_order(h, c, 30.0, 2.0).filter("priority IN (0, 3)").collect()})
+    places = [(2.0, 0.0), (2.5, 0.5)] + [(ra, dec) for _, _, ra, dec, _ in sorted(rows, key=lambda o: (-o[4], o[0]))]
+    want = []
+    for p in places:
+        # popular objects that the list of names places itself lie elsewhere
+        if all(apart(*p, *q) >= 2.0 for q in want):
+            want.append(p)
+    assert got == set(want)
+    assert made < 40_000
+
+
 @pytest.mark.parametrize("name, few, many, tables", [("find_cluster", 12, 48, ("customer",))])
 def test_rows_of_joins_follow_the_tables(spark, tmp_path, name, few, many, tables):
     assert growth(spark, tmp_path, name, few, many, *tables) < 1.6 * many / few
