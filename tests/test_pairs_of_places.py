@@ -97,6 +97,24 @@ def test_search_order_of_a_crowd(spark):
     assert made < 40_000
 
 
+def test_targets_in_a_crowd(spark):
+    rows = crowd(6000)
+    r = np.random.default_rng(8)
+    fields = [(i, float((355 + 14 * r.random()) % 360), float(-6 + 12 * r.random()), float(2 + r.integers(0, 3))) for i in range(200)] + [(900, 100.0, 0.0, 3.0)]
+    c = spark.createDataFrame([(*o[1:4], None if o[0] % 50 == 0 else o[4]) for o in rows], "id string, ra double, dec double, diameter double")
+    f = spark.createDataFrame(fields, "field_id long, ra double, dec double, radius double")
+    got, made = join_rows(spark, lambda: {x.field_id: (x.best, x.runner_up) for x in objects.pick_targets(f, c, 2.0).collect()})
+    ra, dec = np.array([o[2] for o in rows]), np.array([o[3] for o in rows])
+    want = {}
+    for i, a, d, radius in fields:
+        sep = apart(ra, dec, a, d)
+        inside = sorted((o for o in rows if sep[o[0]] <= radius), key=lambda o: (o[0] % 50 == 0, -o[4] / (1 + sep[o[0]] / radius), -o[4], o[1]))
+        if inside:
+            want[i] = (inside[0][1], inside[1][1])
+    assert got == want and len(want) > 150
+    assert made < 145_000
+
+
 @pytest.mark.parametrize("name, few, many, tables", [("find_cluster", 12, 48, ("customer",))])
 def test_rows_of_joins_follow_the_tables(spark, tmp_path, name, few, many, tables):
     assert growth(spark, tmp_path, name, few, many, *tables) < 1.6 * many / few
