@@ -447,11 +447,15 @@ def search_order(history: DataFrame, catalogue: DataFrame, step: float, target_s
 
 def solve_history(solves: DataFrame, key: str, limit: int = 200, same: float = 0.1) -> DataFrame:
     """Earlier solves of each ``key``, newest first (``seq``), without those a newer one lies within 0.1 degree of; at most ``limit``."""
-    spread = with_cells_near(solves, "ra", "dec", F.lit(same), 1.0)
-    newer = solves.select(F.col(key).alias("__key"), F.col("seq").alias("__seq"), F.col("ra").alias("__ra"), F.col("dec").alias("__dec"),
+    # only the newest solves of a place are not near a newer one, and only the newest tell of others: places meet, not solves
+    known = finite(F.col("ra")) & finite(F.col("dec"))
+    places = checkpointed(solves.filter(known & F.col(key).isNotNull()).groupBy(key, "ra", "dec").agg(F.max("seq").alias("seq")))
+    spread = with_cells_near(places, "ra", "dec", F.lit(same), 1.0)
+    newer = places.select(F.col(key).alias("__key"), F.col("seq").alias("__seq"), F.col("ra").alias("__ra"), F.col("dec").alias("__dec"),
                           equal_area_cell("ra", "dec", 1.0).alias("__cell"))
-    again = spread.join(newer, (F.col("cell") == F.col("__cell")) & (F.col(key) == F.col("__key")) & (F.col("__seq") > F.col("seq"))
-                        & (separation("ra", "dec", "__ra", "__dec") <= same), "left_semi").select(key, "seq")
-    kept = solves.join(again, [key, "seq"], "left_anti")
+    newest = places.join(spread.join(newer, (F.col("cell") == F.col("__cell")) & (F.col(key) == F.col("__key")) & (F.col("__seq") > F.col("seq"))
+                                     & (separation("ra", "dec", "__ra", "__dec") <= same), "left_semi").select(key, "ra", "dec"), [key, "ra", "dec"], "left_anti")
+    kept = (solves.join(newest, [key, "ra", "dec", "seq"], "left_semi").select(*solves.columns)
+            .unionByName(solves.filter(~F.coalesce(known & F.col(key).isNotNull(), F.lit(False)))))
     w = Window.partitionBy(key).orderBy(F.col("seq").desc())
     return kept.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= limit)
