@@ -188,11 +188,16 @@ def matched(pairs: DataFrame) -> DataFrame:
     return one_to_one(pairs, "star_id", "det_id", ["g", "r2"])
 
 
+def first_of_place(stars: DataFrame, *place: str) -> DataFrame:
+    """One row a place with the least ``star_id``: of stars in one place it is the one that is taken as nearest."""
+    return stars.groupBy(*place).agg(F.min("star_id").alias("star_id"))
+
+
 def nearest_residual(stars: DataFrame, detections: DataFrame, tolerance: float = RESIDUAL_TOLERANCE_PX) -> DataFrame:
     """Distance of every detection to its nearest placed star within ``tolerance`` pixels."""
     d = over_cells(detections.select("det_id", F.col("x").alias("dx"), F.col("y").alias("dy")), F.col("dx") - tolerance,
                    F.col("dy") - tolerance, F.col("dx") + tolerance, F.col("dy") + tolerance, MATCH_CELL)
-    s = at_cell(stars.select("star_id", "x", "y"), MATCH_CELL)
+    s = at_cell(first_of_place(stars, "x", "y"), MATCH_CELL)
     off = F.hypot(F.col("dx") - F.col("x"), F.col("dy") - F.col("y"))
     return (s.join(d, ["cx", "cy"]).withColumn("residual", off).filter(F.col("residual") <= tolerance)
             .groupBy("det_id").agg(F.min(F.struct("residual", "star_id")).alias("best"))
@@ -239,7 +244,7 @@ def distorted_residual(stars: DataFrame, detections: DataFrame, tolerance: float
     reach = SIP_REACH * tolerance
     d = undistorted(detections)
     d = over_cells(d.select(key, "det_id", "ux", "uy", "jacobian"), F.col("ux") - reach, F.col("uy") - reach, F.col("ux") + reach, F.col("uy") + reach, MATCH_CELL)
-    s = at_cell(stars.select(key, "star_id", "x", "y"), MATCH_CELL)
+    s = at_cell(first_of_place(stars, key, "x", "y"), MATCH_CELL)
     dx, dy, j = F.col("ux") - F.col("x"), F.col("uy") - F.col("y"), F.col("jacobian")
     near = s.join(d, [key, "cx", "cy"]).withColumn("__off", F.hypot(dx, dy)).filter(F.col("__off") <= reach)
     det = j[0] * j[3] - j[1] * j[2]
