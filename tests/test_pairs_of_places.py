@@ -8,7 +8,7 @@ import pytest
 
 import __spark_entry__ as entry
 from check import difference
-from skytable.operators import objects
+from skytable.operators import match, objects
 
 SF = "/root/testdata/sf0.001"
 KEYS = {"customer": ("c_custkey",), "part": ("p_partkey",), "orders": ("o_orderkey", "o_custkey")}
@@ -116,6 +116,19 @@ def test_targets_in_a_crowd(spark):
     assert made < 145_000
 
 
+def test_verified_places_of_many_stars(spark):
+    spots = [(60.0 + 120 * i, 50.0 + 100 * k) for i in range(5) for k in range(4)]
+    rows = [(n * 100 + c, x, y, 9.0 + (7 * n + 3 * c) % 10) for n, (x, y) in enumerate(spots) for c in range(60)]
+    s = 0.002
+    h = spark.createDataFrame([(1, "h", 600.0, 400.0, 10.0, 0.0, 10.0, 0.0, s, 0.0, -300 * s, -200 * s, 0, s, 1, 1)], "image_id int, hyp_id string, width double, height double, "
+                              "ra0 double, dec0 double, ra double, dec double, a double, b double, tx double, ty double, parity int, scale double, place int, count int")
+    sky = spark.createDataFrame(rows, "star_id long, x double, y double, g double").selectExpr("star_id", "10D + (x - 300) * 0.002D AS ra", "(y - 200) * 0.002D AS dec", "g")
+    dets = spark.createDataFrame([(1, n, x, y, 100.0 - n) for n, (x, y) in enumerate(spots)], "image_id int, det_id int, x double, y double, flux double")
+    (row,), made = join_rows(spark, lambda: match.verify(h, sky, dets).collect())
+    assert (row.matches, row.of, row.spread) == (20, 1200, 9)
+    assert made < 3000
+
+
 @pytest.mark.parametrize("name, few, many, tables, limit", [
     ("find_cluster", 12, 48, ("customer",), 6.4), ("solve_history", 4, 16, ("orders",), 1.5),
     ("distorted_residual", 30, 120, ("customer",), 1.3), ("residual_statistic", 30, 120, ("customer",), 1.3)])
