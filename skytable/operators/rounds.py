@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skytable.functions.storage import checkpointed
@@ -32,6 +32,63 @@ def one_to_one(pairs: DataFrame, left: str, right: str, order: Sequence[str]) ->
     return (rest if kept is None else kept).drop("__key")
 
 
+def one_to_one_of_classes(edges: DataFrame, lefts: DataFrame, rights: DataFrame, left: str, right: str, order: Sequence[str]) -> DataFrame:
+    """What ``one_to_one`` takes of all pairs of members of joined classes, without making those pairs.
+
+    ``edges`` has ``left_class``, ``right_class`` and ``order``, the same for all pairs of their members; ``lefts`` and
+    ``rights`` have the members of a class (``left_class`` and ``left``, ``right_class`` and ``right``), each id once. A class
+    meets its best partners first, those of equal order as one row of ids. Where a class is the only choice of all its best
+    partners, and theirs are all open, its ids meet theirs place by place, as many as there are; where ties cross, the first
+    ids of two classes are taken that are first for each other. The first edge left always gives a pair, so the rounds end.
+    """
+    key = F.struct(*order)
+    open_ = checkpointed(edges.select("left_class", "right_class", key.alias("__key")))
+    rest = {"left": checkpointed(lefts.select("left_class", F.col(left).alias("id")).join(open_.select("left_class"), "left_class", "left_semi")),
+            "right": checkpointed(rights.select("right_class", F.col(right).alias("id")).join(open_.select("right_class"), "right_class", "left_semi"))}
+    kept: DataFrame | None = None
+    while True:
+        for side in ("left", "right"):
+            heads = rest[side].groupBy(f"{side}_class").agg(F.min("id").alias(f"{side}_id"))
+            open_ = open_.drop(f"{side}_id").join(heads, f"{side}_class")
+        open_ = checkpointed(open_)
+        if open_.isEmpty():
+            break
+        ties = open_
+        for side in ("left", "right"):
+            best = open_.groupBy(f"{side}_class").agg(F.min("__key").alias(f"__{side}_best"), F.min(F.struct("__key", "left_id", "right_id")).alias(f"__{side}_first"))
+            ties = ties.join(best, f"{side}_class")
+        ties = ties.withColumns({f"__{side}": F.col("__key") == F.col(f"__{side}_best") for side in ("left", "right")}).filter("__left or __right")
+        # of each class: its edges of the best order, and how many of them are the best of both ends
+        for side in ("left", "right"):
+            of = ties.groupBy(f"{side}_class").agg(F.count_if(f"__{side}").alias(f"__{side}_all"), F.count_if(F.col("__left") & F.col("__right")).alias(f"__{side}_both"))
+            ties = ties.join(of, f"{side}_class")
+        ties = checkpointed(ties.filter("__left and __right"))
+        for side, other in (("left", "right"), ("right", "left")):
+            alone = ties.groupBy(f"{side}_class").agg(((F.max(f"__{other}_all") == 1) & (F.first(f"__{side}_all") == F.first(f"__{side}_both"))).alias(f"__{side}_alone"))
+            ties = ties.join(alone, f"{side}_class")
+        first = F.struct("__key", "left_id", "right_id")
+        head = (F.col("__left_first") == first) & (F.col("__right_first") == first)
+        def called(kind: int, by: str) -> Column:
+            return F.struct(F.lit(kind).alias("kind"), F.col(by).cast("string").alias("by"))
+        group = (F.when(F.col("__left_alone"), called(0, "left_id")).when(F.col("__right_alone"), called(1, "right_id"))
+                 .when(head, called(2, "left_id")))
+        groups = checkpointed(ties.select("left_class", "right_class", group.alias("__group")).filter("__group is not null"))
+        turns = {}
+        for side in ("left", "right"):
+            of = rest[side].join(groups.select(f"{side}_class", "__group").distinct(), f"{side}_class")
+            turn = F.row_number().over(Window.partitionBy("__group").orderBy("id"))
+            turns[side] = of.withColumn("__turn", turn).filter("__group.kind < 2 or __turn = 1").withColumnsRenamed({"id": f"{side}_id"})
+        taken = checkpointed(turns["left"].join(turns["right"], ["__group", "__turn"]).drop("__group", "__turn"))
+        kept = taken if kept is None else kept.unionByName(taken)
+        for side in ("left", "right"):
+            gone = taken.select(f"{side}_class", F.col(f"{side}_id").alias("id"))
+            rest[side] = checkpointed(rest[side].join(gone, [f"{side}_class", "id"], "left_anti"))
+    if kept is None:
+        kept = rest["left"].withColumnRenamed("id", "left_id").crossJoin(rest["right"].withColumnRenamed("id", "right_id"))
+    out = kept.join(edges, ["left_class", "right_class"])
+    return out.select(F.col("left_id").alias(left), F.col("right_id").alias(right), *order)
+
+
 def ordered_suppression(nodes: DataFrame, edges: DataFrame, key: str) -> DataFrame:
     """Ids kept when nodes are visited in order and a kept node drops its later neighbours.
 

@@ -11,11 +11,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skytable.functions.ordered import medians, order_elements, robust_spread, upper_medians
+from skytable.functions.ordered import medians, null_safe_join, order_elements, robust_spread, upper_medians
 from skytable.functions.sky import equal_area_cell, separation, tan_project, unit_vector, vector_angles, with_cells_near
 from skytable.functions.storage import checkpointed, multiplied
 from skytable.operators.frames import finite
-from skytable.operators.rounds import one_to_one, ordered_suppression
+from skytable.operators.rounds import one_to_one, one_to_one_of_classes, ordered_suppression
 
 # Fixed values of the catalogue rules.
 PARALLAX_ZERO_POINT = 0.017
@@ -188,6 +188,26 @@ def matched(pairs: DataFrame) -> DataFrame:
     return one_to_one(pairs, "star_id", "det_id", ["g", "r2"])
 
 
+def matched_places(stars: DataFrame, detections: DataFrame) -> DataFrame:
+    """``matched`` of the cross-match of tables that crowd: stars alike in place and brightness, and detections alike in
+    place and size, meet once, as the one with the least id.
+
+    An id that has several rows stands in several places, which classes cannot share; such tables are matched pair by pair.
+    """
+    def repeats(df: DataFrame, id_: str) -> bool:
+        return not df.groupBy(id_).count().filter("count > 1").isEmpty()
+    if repeats(stars, "star_id") or repeats(detections, "det_id"):
+        return matched(crossmatch(stars, detections))
+
+    def classes(df: DataFrame, id_: str, name: str, *like: str) -> tuple[DataFrame, DataFrame]:
+        first = checkpointed(df.groupBy(*like).agg(F.min(id_).alias(id_)))
+        return first, null_safe_join(df.select(*like, id_), first.withColumnRenamed(id_, name), like).select(name, id_)
+    s, lefts = classes(stars, "star_id", "left_class", "x", "y", "g")
+    d, rights = classes(detections, "det_id", "right_class", "x", "y", "half_width")
+    edges = crossmatch(s, d).withColumnsRenamed({"star_id": "left_class", "det_id": "right_class"})
+    return one_to_one_of_classes(checkpointed(edges), lefts, rights, "star_id", "det_id", ["g", "r2"])
+
+
 def first_of_place(stars: DataFrame, *place: str) -> DataFrame:
     """One row a place with the least ``star_id``: of stars in one place it is the one that is taken as nearest."""
     return stars.groupBy(*place).agg(F.min("star_id").alias("star_id"))

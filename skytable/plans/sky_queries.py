@@ -259,7 +259,7 @@ def crossmatch_detections(spark, sf):
 
 @query("one_to_one_match")
 def one_to_one_match(spark, sf):
-    return op.matched(op.crossmatch(placed(spark, sf), detections(spark, sf))).select("star_id", "det_id")
+    return op.matched_places(placed(spark, sf), detections(spark, sf)).select("star_id", "det_id")
 
 
 NEAREST = """near AS (SELECT d.det_id, p.star_id, sqrt((d.x - p.x) * (d.x - p.x) + (d.y - p.y) * (d.y - p.y)) AS residual FROM detections d JOIN placed p ON p.x BETWEEN d.x - 3 AND d.x + 3 AND p.y BETWEEN d.y - 3 AND d.y + 3),

@@ -8,7 +8,7 @@ import pytest
 
 import __spark_entry__ as entry
 from check import difference
-from skytable.operators import match, objects
+from skytable.operators import match, objects, sky
 
 SF = "/root/testdata/sf0.001"
 KEYS = {"customer": ("c_custkey",), "part": ("p_partkey",), "orders": ("o_orderkey", "o_custkey")}
@@ -129,6 +129,32 @@ def test_verified_places_of_many_stars(spark):
     assert made < 3000
 
 
+def test_matched_places_are_the_sequential_choice(spark):
+    # places on a small grid, so that distances tie from every side and groups of ties cross
+    r = np.random.default_rng(2)
+    stars = [(int(i), float(r.integers(0, 5)), float(r.integers(0, 3)), [8.0, 8.0, 9.5, None, float("nan")][r.integers(0, 5)]) for i in r.permutation(60)]
+    dets = [(int(i), float(r.integers(0, 10)) / 2, float(r.integers(0, 3)), int([1, 6][r.integers(0, 2)])) for i in r.permutation(45)]
+    s = spark.createDataFrame(stars, "star_id long, x double, y double, g double")
+    d = spark.createDataFrame(dets, "det_id long, x double, y double, half_width int")
+    used_s, used_d, want = set(), set(), set()
+    for g, r2, a, b in sorted((p.g, p.r2, p.star_id, p.det_id) for p in sky.crossmatch(s, d).collect()):
+        if a not in used_s and b not in used_d:
+            want.add((a, b, g, r2)), used_s.add(a), used_d.add(b)
+    assert {(p.star_id, p.det_id, p.g, p.r2) for p in sky.matched_places(s, d).collect()} == want
+    # an id in several places is still one star
+    more = s.unionByName(s.filter("star_id < 9").selectExpr("star_id", "x + 1 AS x", "y", "g"))
+    ids = [{(p.star_id, p.det_id) for p in m.collect()} for m in (sky.matched_places(more, d), sky.matched(sky.crossmatch(more, d)))]
+    assert ids[0] == ids[1] and len(ids[0]) == len({a for a, _ in ids[0]})
+
+
+def test_crowds_are_matched_without_their_pairs(spark):
+    s = spark.range(3000).selectExpr("id AS star_id", "CAST(id % 3 * 100 AS DOUBLE) AS x", "0D AS y", "CAST(id % 3 AS DOUBLE) AS g")
+    d = spark.range(2400).selectExpr("id AS det_id", "CAST(id % 3 * 100 AS DOUBLE) AS x", "0.5D AS y", "1 AS half_width")
+    got, made = join_rows(spark, lambda: [(r.star_id, r.det_id) for r in sky.matched_places(s, d).select("star_id", "det_id").collect()])
+    assert sorted(got) == [(i, i) for i in range(2400)]
+    assert made < 60_000
+
+
 @pytest.mark.parametrize("name, few, many, tables, limit", [
     ("find_cluster", 12, 48, ("customer",), 6.4), ("solve_history", 4, 16, ("orders",), 1.5),
     ("distorted_residual", 30, 120, ("customer",), 1.3), ("residual_statistic", 30, 120, ("customer",), 1.3)])
