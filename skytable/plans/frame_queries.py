@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skytable.functions.storage import checkpointed
 from skytable.operators import frames as op
 from skytable.plans.registry import query
 from skytable.plans.views import view, with_views
@@ -308,8 +309,9 @@ s AS (SELECT m.filter, m.frame_id, med, greatest(0e0, med - 28e-1 * 14826e-4 * m
 SELECT filter, frame_id, round(shadows, 6) AS shadows, round((25e-2 - 1) * greatest(1e-8, med - shadows) / ((2 * 25e-2 - 1) * greatest(1e-8, med - shadows) - 25e-2), 6) AS midtone FROM s"""))
 def shared_stretch(spark, sf):
     f = frames(spark, sf)
-    px = view(spark, sf, "pixels").withColumnRenamed("image_id", "__i").join(f.select(F.col("frame_id").alias("image_id"), (F.col("frame_id") % 500).alias("__i")), "__i")
-    s = op.shared_stretch(f, px.select("image_id", (0.4 + F.col("v") / 2.0).alias("v")))
+    chosen = checkpointed(op.reference_frames(f))
+    px = view(spark, sf, "pixels").withColumnRenamed("image_id", "__i").join(chosen.select(F.col("frame_id").alias("image_id"), (F.col("frame_id") % 500).alias("__i")), "__i")
+    s = op.shared_stretch(f, px.select("image_id", (0.4 + F.col("v") / 2.0).alias("v")), chosen=chosen)
     return s.withColumns({c: F.round(c, 6) for c in ("shadows", "midtone")})
 
 

@@ -182,3 +182,9 @@ def test_regions_hold_every_star_once(spark, tmp_path):
     want = {(i, stars[k][0]) for i, a, d, radius, limit in cones for k in np.flatnonzero((apart(ra, dec, a, d) <= radius) & (g < limit))}
     got = [(x.cone_id, x.star_id) for x in catalogues.read_regions(c, root).collect()]
     assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_only_reference_frames_meet_pixels(spark, tmp_path):
+    folder, con = grown(tmp_path / "16", 16, "orders")
+    _, made = join_rows(spark, lambda: run_and_compare(spark, "shared_stretch", folder, con))
+    assert made < 5 * spark.read.parquet(f"{folder}/orders.parquet").count()
