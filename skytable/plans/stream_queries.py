@@ -12,10 +12,14 @@ from skytable.streaming import ranks, scans, streams
 
 
 def arriving(spark, df, name: str, parts: int = 1):
-    """Write rows as ``parts`` files and read them as a stream, one file a batch."""
+    """Write rows as files and read them as a stream in ``parts`` batches; every batch is written and read by many tasks."""
     path = fresh_path(spark, name)
-    df.coalesce(parts).write.parquet(path) if parts == 1 else df.repartition(parts).write.parquet(path)
-    return streams.table_stream(spark, path, df, files_per_batch=1)
+    if parts == 1:
+        df.write.parquet(path)
+        return streams.table_stream(spark, path, df)
+    many = spark.sparkContext.defaultParallelism
+    df.repartition(parts * many).write.parquet(path)
+    return streams.table_stream(spark, path, df, files_per_batch=many)
 
 
 def captures(spark, sf):

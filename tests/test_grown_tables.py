@@ -4,10 +4,14 @@ import duckdb
 import pyarrow.compute as pc
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from check import difference
+from skytable.functions.storage import fresh_path
 from skytable.operators import spikes
+from skytable.plans import stream_queries
+from skytable.streaming import streams
 
 SF = "/root/testdata/sf0.001"
 
@@ -56,3 +60,12 @@ def test_places_about_stars_are_not_sent_whole(spark, tmp_path):
     stars.write.parquet(str(tmp_path / "stars"))
     top = spikes.top_stars(spark.read.parquet(str(tmp_path / "stars")))
     assert exploded_builds(spikes.angular_profile(px, top, 2.0)) == []
+
+
+def test_arriving_rows_are_written_by_many_tasks(spark):
+    rows = spark.range(0, 4000, 1, 8)
+    for parts in (1, 3):
+        sizes = []
+        stream = stream_queries.arriving(spark, rows, "many", parts)
+        streams.run_batches(stream, fresh_path(spark, "batches"), lambda b, n, s=sizes: s.append((b.count(), b.select(F.input_file_name()).distinct().count())))
+        assert len(sizes) == parts and sum(n for n, _ in sizes) == 4000 and all(files >= 8 for _, files in sizes)
