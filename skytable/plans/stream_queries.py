@@ -112,9 +112,9 @@ devs AS (SELECT l.batch, l.filter, l.metric, 14826e-4 * median(abs(l.value - m.m
 SELECT CAST(m.batch AS INTEGER) AS batch, m.filter, m.metric, n, round(med, 9) AS median, CASE WHEN m.metric <> 'psf_snr' THEN round(sd, 9) END AS sigma FROM mids m JOIN devs d ON m.batch = d.batch AND m.filter = d.filter AND m.metric = d.metric WHERE n >= 10"""))
 def running_gates(spark, sf):
     f = frames(spark, sf)
-    path = fresh_path(spark, "nights")
+    path, root = fresh_path(spark, "nights"), fresh_path(spark, "running")
+    # what has arrived since the last run is one batch, however many files it has
     for third in range(3):
-        f.filter(F.col("frame_id") % 3 == third).coalesce(1).write.mode("append").parquet(path)
-    stream = streams.table_stream(spark, path, f, files_per_batch=1)
-    g = ranks.running_gates(stream, fresh_path(spark, "running"))
+        f.filter(F.col("frame_id") % 3 == third).write.mode("append").parquet(path)
+        g = ranks.running_gates(streams.table_stream(spark, path, f), root)
     return g.select("batch", "filter", "metric", "n", F.round("median", 9).alias("median"), F.round("sigma", 9).alias("sigma"))

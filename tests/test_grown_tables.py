@@ -69,3 +69,15 @@ def test_arriving_rows_are_written_by_many_tasks(spark):
         stream = stream_queries.arriving(spark, rows, "many", parts)
         streams.run_batches(stream, fresh_path(spark, "batches"), lambda b, n, s=sizes: s.append((b.count(), b.select(F.input_file_name()).distinct().count())))
         assert len(sizes) == parts and sum(n for n, _ in sizes) == 4000 and all(files >= 8 for _, files in sizes)
+
+
+def test_nights_are_written_by_many_tasks(spark, tmp_path, monkeypatch):
+    spark.read.parquet(f"{SF}/orders.parquet").repartition(6).write.parquet(str(tmp_path / "orders.parquet"))
+    paths, stream = [], streams.table_stream
+    monkeypatch.setattr(streams, "table_stream", lambda spark, path, *a, **k: paths.append(path) or stream(spark, path, *a, **k))
+    df = entry.queries()["running_gates"](spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW orders AS SELECT * FROM '{tmp_path}/orders.parquet/*.parquet'")
+    cur = con.execute(entry.oracle_sql()["running_gates"])
+    assert difference([tuple(r) for r in df.collect()], df.columns, cur.fetchall(), [d[0] for d in cur.description]) is None
+    assert len(spark.read.parquet(paths[0]).inputFiles()) > 3
