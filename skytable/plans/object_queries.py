@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from skytable.functions.storage import fresh_path
+from skytable.functions.storage import fresh_path, multiplied, written
 from skytable.operators import objects as op
 from skytable.plans.registry import query
 from skytable.plans.sky_queries import sep_sql
@@ -72,8 +72,9 @@ PATHS = """pt AS (SELECT f.file_id, concat('/astro/', CASE WHEN f.file_id % 3 =
 @query("object_from_path")
 def object_from_path(spark, sf):
     view(spark, sf, "files").createOrReplaceTempView("files")
-    table(spark, sf, "part").createOrReplaceTempView("part")
-    paths = spark.sql("WITH " + PATHS + " SELECT * FROM pt")
+    # both sides grow with the tables, and the paths are read by every way to find an object
+    multiplied(table(spark, sf, "part")).createOrReplaceTempView("part")
+    paths = written(spark.sql("WITH " + PATHS + " SELECT path FROM pt"), "paths")
     return op.object_from_path(paths, objects(spark, sf)).select("path", "id", F.round("score", 6).alias("score"))
 
 

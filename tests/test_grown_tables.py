@@ -81,3 +81,8 @@ def test_nights_are_written_by_many_tasks(spark, tmp_path, monkeypatch):
     cur = con.execute(entry.oracle_sql()["running_gates"])
     assert difference([tuple(r) for r in df.collect()], df.columns, cur.fetchall(), [d[0] for d in cur.description]) is None
     assert len(spark.read.parquet(paths[0]).inputFiles()) > 3
+
+
+def test_paths_are_made_once_and_parts_not_sent_whole(spark):
+    plan = entry.queries()["object_from_path"](spark, SF)._jdf.queryExecution().sparkPlan().toString()
+    assert "p_name" in plan and "BroadcastHashJoin [file_id" not in plan and "concat(/astro/" not in plan
