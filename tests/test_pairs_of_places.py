@@ -9,6 +9,7 @@ import pytest
 import __spark_entry__ as entry
 from check import difference
 from skytable.operators import match, objects, sky
+from skytable.plans import match_queries
 from skytable.sources import catalogues
 
 SF = "/root/testdata/sf0.001"
@@ -188,3 +189,14 @@ def test_only_reference_frames_meet_pixels(spark, tmp_path):
     folder, con = grown(tmp_path / "16", 16, "orders")
     _, made = join_rows(spark, lambda: run_and_compare(spark, "shared_stretch", folder, con))
     assert made < 5 * spark.read.parquet(f"{folder}/orders.parquet").count()
+
+
+def test_quads_of_one_code_meet_as_one(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(match, "BLOCK", 128, raising=False)
+    codes = [(i, [0.2, 0.3, 0.4, 0.5]) for i in range(300)] + [(300, [0.205, 0.3, 0.4, 0.5]), (301, [0.22, 0.3, 0.4, 0.5])]
+    spark.createDataFrame(codes, "quad_id long, code array<double>").write.parquet(str(tmp_path / "q"))
+    monkeypatch.setattr(match_queries, "star_quads", lambda spark, sf: spark.read.parquet(str(tmp_path / "q")))
+    rows, joined = join_rows(spark, lambda: match_queries.quad_lookup_join(spark, SF).collect())
+    near = {(a, b) for a, x in codes for b, y in codes if abs(x[0] - y[0]) <= 0.01}
+    assert len(rows) == len(near) and {tuple(r) for r in rows} == near
+    assert joined <= 4000
