@@ -2,8 +2,9 @@
 
 A document is the set of its 3-word shingles. Two sets of Jaccard similarity t share a token among
 the first n - ceil(t n) + 1 tokens of each, under any order of all tokens. Three orders are used:
-rare tokens first (by a count-min row over all documents; any function of the token is a valid order,
-so the counts need not be exact), and two orders by independent hashes. Buckets of the first order
+rare tokens first (by how often the words of the shingle occur in all documents; any function of the token is a
+valid order, so the counts need not be exact; words are counted because a row of bins tells the words of any corpus
+apart, but not its shingles), and two orders by independent hashes. Buckets of the first order
 propose pairs whose sizes, places in the order and parity bitmaps leave enough to share. A pair goes on
 only if it also shares prefix tokens under the second and third order, and if parity bitmaps that grow
 with the sets (two bits a token) do not differ in more bits than a linked pair may have tokens apart.
@@ -34,6 +35,10 @@ WORDS = 3
 PERCENT = 90
 BINS = 16
 PARTS = 64
+# Rounds of stars, and pairs a member that end them: a group of near copies that are no links of each other takes several.
+ROUNDS, FEW = 5, 0.5
+# Steps of a rank for each doubling of a word's count, and the highest rank.
+FINE, RANKS = 2, 255
 # Bits of the candidates' bitmap (2 ** MAP_BITS), as words of 32.
 MAP_BITS = 24
 _BITS = np.uint64(52)
@@ -43,14 +48,18 @@ _PIECES = 4096
 _PARITY = [f"p{k}" for k in range(4)]
 
 
-def _sets(texts: list[bytes], size: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For runs of texts: the first text's place, the sorted keys text << 52 | shingle, distinct, and where texts begin and end."""
+def _pieces(texts: list[bytes]) -> Iterator[tuple[int, Words]]:
+    """Runs of texts: the first text's place, and the words."""
     for i in range(0, len(texts), _PIECES):
-        w = Words(texts[i:i + _PIECES])
-        n = len(w.first)
-        h, of = shingles(w.hashes, w.first, w.last, size)
-        keys = np.unique((of.astype(np.uint64) << _BITS) | (h >> np.uint64(12)))
-        yield i, keys, np.searchsorted(keys, np.arange(n + 1, dtype=np.uint64) << _BITS)
+        yield i, Words(texts[i:i + _PIECES])
+
+
+def _keys(w: Words, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All keys text << 52 | shingle in the order of the words, the same distinct and sorted, and where texts begin and end in those."""
+    h, of = shingles(w.hashes, w.first, w.last, size)
+    every = (of.astype(np.uint64) << _BITS) | (h >> np.uint64(12))
+    keys = np.unique(every)
+    return every, keys, np.searchsorted(keys, np.arange(len(w.first) + 1, dtype=np.uint64) << _BITS)
 
 
 def _lists(values: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.ListArray:
@@ -59,17 +68,19 @@ def _lists(values: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.List
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(values, kind))
 
 
-def _counted(size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """How many documents have a shingle in each bin, as PARTS rows a task."""
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << BINS, dtype=np.int64)
-        for batch in batches:
-            for _, texts in steps(batch, "__text"):
-                for _, keys, _ in _sets(texts, size):
-                    total += np.bincount(((keys & _LOW) >> np.uint64(52 - BINS)).astype(np.int64), minlength=1 << BINS)
-        if total.any():
-            yield pa.RecordBatch.from_pydict({"part": pa.array(range(PARTS), pa.int32()), "n": pa.array(list(total.astype(np.int32).reshape(PARTS, -1)), pa.list_(pa.int32()))})
-    return count
+def _bins(w: Words) -> np.ndarray:
+    return (w.hashes >> np.uint64(64 - BINS)).astype(np.int64)
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many words lie in each bin, as PARTS rows a task."""
+    total = np.zeros(1 << BINS, dtype=np.int64)
+    for batch in batches:
+        for _, texts in steps(batch, "__text"):
+            for _, w in _pieces(texts):
+                total += np.bincount(_bins(w), minlength=1 << BINS)
+    if total.any():
+        yield pa.RecordBatch.from_pydict({"part": pa.array(range(PARTS), pa.int32()), "n": pa.array(list(total.reshape(PARTS, -1)), pa.list_(pa.int64()))})
 
 
 def _added(table: pa.Table) -> pa.Table:
@@ -108,26 +119,41 @@ def _folded(one: str, other: str) -> str:
             f"i -> aggregate(sequence(i, size({one}) - 1, size({other})), 0L, (s, j) -> s ^ {one}[j])) END")
 
 
-def rarity(texts: DataFrame, size: int) -> np.ndarray:
-    """Class of each bin, rare first: the rounded logarithm of how many documents meet it. 2 ** BINS bytes at any input size."""
-    parts = texts.mapInArrow(_counted(size), "part int, n array<int>").groupBy("part").applyInArrow(_added, "part int, n array<long>").collect()
+def rarity(texts: DataFrame) -> np.ndarray:
+    """Logarithm (base 2) of the words in each bin. 4 << BINS bytes at any input size."""
+    parts = texts.mapInArrow(_counted, "part int, n array<long>").groupBy("part").applyInArrow(_added, "part int, n array<long>").collect()
     total = np.zeros((PARTS, (1 << BINS) // PARTS))
     for r in parts:
         total[r["part"]] = r["n"]
-    return np.round(4 * np.log2(1 + total.reshape(-1))).astype(np.uint8)
+    return np.log2(1 + total.reshape(-1)).astype(np.float32)
+
+
+def _ranked(w: Words, size: int, logs: np.ndarray) -> np.ndarray:
+    """Rank of each shingle in the order of the words, rare first: the logarithms of its words' counts, added up."""
+    each = np.rint(FINE * logs[_bins(w)]).astype(np.int64)
+    total = np.append(0, np.cumsum(each))
+    counts = w.counts()
+    many = np.where(counts >= size, counts - size + 1, (counts > 0).astype(np.int64))
+    at = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(w.first, many)
+    return np.minimum(total[at + np.repeat(np.minimum(counts, size), many)] - total[at], RANKS).astype(np.uint64)
 
 
 def _prefixed(shared, size: int, percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        classes = shared.value
+        logs, short = shared.value, np.uint64((1 << 44) - 1)
         for batch in batches:
             for part, texts in steps(batch, "__text"):
-                for i, keys, ends in _sets(texts, size):
-                    n = np.diff(ends)
-                    piece, h = keys & ~_LOW, keys & _LOW
+                for i, w in _pieces(texts):
+                    every, keys, ends = _keys(w, size)
+                    n, h = np.diff(ends), keys & _LOW
                     take, at = _prefix(n, ends, percent)
-                    rank = classes[(h >> np.uint64(52 - BINS)).astype(np.int64)].astype(np.uint64)
-                    rare = np.sort(piece | (rank << np.uint64(44)) | (h & np.uint64((1 << 44) - 1)))[at] & _LOW
+                    rank = _ranked(w, size, logs)
+                    ranked = np.unique((every & ~_LOW) | (rank << np.uint64(44)) | (every & short))
+                    if len(ranked) != len(keys) or not np.array_equal(ranked >> _BITS, keys >> _BITS):
+                        # two tokens of a text end alike: take the rank of each distinct one
+                        _, first = np.unique(every, return_index=True)
+                        ranked = np.sort((keys & ~_LOW) | (rank[first] << np.uint64(44)) | (h & short))
+                    rare = ranked[at] & _LOW
                     digest = _digest(h, ends, n)
                     # 256 bits: how often each residue occurs in the set, modulo 2
                     odd = np.bincount(((keys >> _BITS) << np.uint64(8) | (h & np.uint64(255))).astype(np.int64), minlength=len(n) * 256) & 1
@@ -147,7 +173,8 @@ def _whole(size: int, percent: int, shared) -> Callable[[Iterator[pa.RecordBatch
             place = np.asarray(batch.column("__place"), dtype=np.int64)
             batch = batch.filter(pa.array((bitmap[place >> 5] >> (place & 31).astype(np.uint32)) & 1 == 1))
             for _, texts in steps(batch, "__text"):
-                for _, keys, ends in _sets(texts, size):
+                for _, w in _pieces(texts):
+                    _, keys, ends = _keys(w, size)
                     n = np.diff(ends)
                     piece, h = keys & ~_LOW, keys & _LOW
                     take, at = _prefix(n, ends, percent)
@@ -182,8 +209,8 @@ def joined(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, s
     the class of each.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("__text"))
-    classes = docs.sparkSession.sparkContext.broadcast(rarity(rows.select("__text"), size))
-    prefixes = written(rows.mapInArrow(_prefixed(classes, size, percent),
+    logs = docs.sparkSession.sparkContext.broadcast(rarity(rows.select("__text")))
+    prefixes = written(rows.mapInArrow(_prefixed(logs, size, percent),
                                        "id long, n long, d1 long, rare array<long>, " + ", ".join(f"{c} long" for c in _PARITY)), "prefixes")
     full = prefixes.filter("n > 0 and id is not null")
     # a node is a set, named by its digest: copies of a set fall together without a join
@@ -221,7 +248,7 @@ def joined(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, s
         return (f"100 * least({x}.n, {y}.n) >= {percent} * greatest({x}.n, {y}.n) and {100 + percent} * {rest} >= {percent} * ({x}.n + {y}.n) "
                 f"and {100 + percent} * ({differ}) <= {100 - percent} * ({x}.n + {y}.n)")
 
-    components, links = linked(entries, verify, fits, more)
+    components, links = linked(entries, verify, fits, more, rounds=ROUNDS, few=FEW)
     of = reps.join(components.select(F.col("id").alias("d1"), "component"), "d1", "left").withColumn("component", F.coalesce("component", "d1"))
     least = of.groupBy("component").agg(F.min("rep").alias("least"))
     of = of.join(least, "component").select("d1", "rep", "least")

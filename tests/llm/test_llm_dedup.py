@@ -213,3 +213,32 @@ def test_ngram_join_of_long_near_copies_and_an_id_with_two_texts(spark, words):
     assert got == [(19, 19), (20, 19), (20, 20), (21, 20)]
     near = {r.doc_id: (r.n_shingles, r.component_id) for r in out.collect() if r.doc_id <= 8}
     assert near == brute_components([r for r in rows if r[0] <= 8], 3, 90)
+
+
+def test_buckets_of_two_meet_once(spark, monkeypatch):
+    tables = []
+    original = components.written_at
+
+    def kept(df, name):
+        tables.append((name, df.groupBy("bucket").count().collect() if name == "members" else df.count()))
+        return original(df, name)
+    monkeypatch.setattr(components, "written_at", kept)
+    # forty buckets of two, none of them a link, and one of thirty ids in which neighbours are links
+    rows = [(b, 1000 + 2 * b + k) for b in range(40) for k in (0, 1)] + [(99, i) for i in range(30)]
+    entries = spark.createDataFrame(rows, "bucket long, id long")
+    got, links = components.linked(entries, lambda pairs: pairs.filter("b < 1000 and b - a = 1"))
+    assert {r.component for r in got.filter("id < 30").collect()} == {0}
+    later = [t for name, t in tables if name == "members"][1:]
+    assert later and all(r["count"] > 2 for t in later for r in t)
+
+
+def test_rare_words_lead_where_every_bin_of_shingles_is_crowded(spark):
+    # 40 frequent words make shingles that no two texts need to share; two texts hold one rare word each
+    r = random.Random(5)
+    rows = [(i, " ".join(f"w{r.randrange(40)}" for _ in range(60))) for i in range(200)]
+    rows[7] = (7, rows[7][1] + " rarest")
+    texts = spark.createDataFrame(rows, "id long, __text string")
+    logs = ngram_join.rarity(texts.select("__text"))
+    w = ngram_join.Words([rows[7][1].encode()])
+    rank = ngram_join._ranked(w, 3, logs)
+    assert rank.argmin() == len(rank) - 1 and sorted(rank)[1] > rank.min()
