@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skytable.functions.storage import checkpointed, removed, written, written_at
+from skytable.functions.storage import checkpointed, released, removed, written, written_at
 from skytable.llm.components import linked
 from skytable.llm.ngram_join import bitmap_of
 from skytable.llm.words import Words, mixed, powers, shingles, steps, BACK, BASE
@@ -216,7 +216,7 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
     """
     bands, width = banding(percent=percent)
     rows = _rows(docs, id_col, text_col)
-    paras = written(rows.mapInArrow(
+    wide, wide_path = written_at(rows.mapInArrow(
         _signatures(least, size, bands, width),
         "doc_id long, text_key long, paragraph long, start long, end long, n_words long, id long, bands array<long>, n long, "
         + ", ".join(f"{c} long" for c in _PARITY)), "paragraphs")
@@ -240,11 +240,15 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
                 f"and {100 + percent} * ({differ}) <= {100 - percent} * ({x}.n + {y}.n)")
 
     # one row for each different line, not for each place of it
-    lines, lines_path = written_at(paras.select("id", "bands", "n", *_PARITY).dropDuplicates(["id"]), "lines")
+    lines, lines_path = written_at(wide.select("id", "bands", "n", *_PARITY).dropDuplicates(["id"]), "lines")
+    # places need no bands, which are most of the table
+    paras = written(wide.drop("bands", "n", *_PARITY), "places")
+    removed(docs.sparkSession, wide_path)
+    released(docs.sparkSession)
     entries = lines.select(F.explode("bands").alias("bucket"), "id")
     components, _ = linked(entries, verify, fits, lines.drop("bands"), middles=4)
     removed(docs.sparkSession, lines_path)
-    placed = paras.drop("bands", "n", *_PARITY).join(components, "id", "left").withColumn("class", F.coalesce("component", "id"))
+    placed = paras.join(components, "id", "left").withColumn("class", F.coalesce("component", "id"))
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "paragraph"))
     classes = placed.groupBy("class").agg(F.count("*").alias("class_size"), first.alias("first")).filter("class_size > 1")
     out = placed.join(classes, "class").select(
