@@ -43,14 +43,14 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def linked(entries: DataFrame, verify: Callable[[DataFrame], DataFrame], fits: Callable[[str, str], str] | None = None,
-           more: DataFrame | None = None, middles: int = 1, rounds: int = STAR_ROUNDS, few: float = FEW) -> tuple[DataFrame, DataFrame]:
+           more: DataFrame | None = None, middles: int = 1) -> tuple[DataFrame, DataFrame]:
     """Components of the links among ids that share a bucket: (id, component) and the links found (a, b).
 
     ``entries`` has bucket, id and what ``fits`` reads of it; ``more`` has one row for each id with what
     else it reads, and is met only where a bucket has two ids; ``verify`` takes pairs (a < b, a table that is removed afterwards) and returns
     those that are links. Only connection matters, so a bucket first compares all its members with
     ``middles`` of them (others each round) and drops out once its members are connected, or if it has only two, which
-    have met then. When few pairs (``few`` a member) are left apart, or a round finds few links, or after ``rounds``,
+    have met then. When few pairs are left apart, or a round finds few links, or after STAR_ROUNDS,
     all pairs of members that are still apart are compared: no link between two components can be missed.
     """
     busy = entries.groupBy("bucket").agg(F.min("id").alias("p"), F.max("id").alias("q")).filter("p != q").select("bucket")
@@ -67,13 +67,13 @@ def linked(entries: DataFrame, verify: Callable[[DataFrame], DataFrame], fits: C
         """New links and what was connected before."""
         return links if of is None else links.unionByName(of.select(F.col("component").alias("a"), F.col("id").alias("b")))
 
-    for round_ in range(rounds + 1):
+    for round_ in range(STAR_ROUNDS + 1):
         sizes = rows.groupBy("bucket", "component").agg(F.count("*").cast("double").alias("n")).groupBy("bucket").agg(
             F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("q"), F.count("*").alias("c"))
         left = sizes.agg(F.sum("n"), F.sum((F.col("n") * F.col("n") - F.col("q")) / 2)).first()
         if not left[0] or not left[1]:
             break
-        last = round_ == rounds or (round_ > 0 and (not fruitful or left[1] <= few * left[0]))
+        last = round_ == STAR_ROUNDS or (round_ > 0 and (not fruitful or left[1] <= FEW * left[0]))
         a, b = rows.alias("x"), rows.alias("y")
         apart = "x.bucket = y.bucket and x.component != y.component"
         if last:
