@@ -41,7 +41,10 @@ TILE = 128
 AXES = ("angle", "step", "offset")
 
 
-def _sizes(px: DataFrame) -> DataFrame:
+def _sizes(px: DataFrame, size: tuple[int, int] | None = None) -> DataFrame:
+    """Width and height of every image: ``size`` where it is known, else as far as there are pixels."""
+    if size:
+        return px.select(*KEY).distinct().withColumns({"__w": F.lit(size[0]).cast("long"), "__h": F.lit(size[1]).cast("long")})
     return px.groupBy(*KEY).agg((F.max("x") + 1).cast("long").alias("__w"), (F.max("y") + 1).cast("long").alias("__h"))
 
 
@@ -86,12 +89,13 @@ def _tile_sums(pixels: pa.Table, stars: pa.Table, keys: list[str], kept: tuple[s
     return pa.table(out, schema=schema)
 
 
-def light_at(px: DataFrame, stars: DataFrame, angles: Column, steps: Column, offsets: Column, factors: Column, kept: tuple[str, ...], keys: list[str], value: str = "v") -> DataFrame:
+def light_at(px: DataFrame, stars: DataFrame, angles: Column, steps: Column, offsets: Column, factors: Column, kept: tuple[str, ...], keys: list[str], value: str = "v", size: tuple[int, int] | None = None) -> DataFrame:
     """Sum of ``k`` times the bilinear value at places about ``stars`` (rows with ``x``, ``y`` and ``k``), by ``keys`` and the ``kept`` axes: ``light``.
 
     The places are those along ``angles`` in degrees at the distances ``steps`` and ``offsets`` across, an array each; what lies
     at an offset counts by its of ``factors``. A kept axis (``angle``, ``step``, ``offset``) is a column with the place in its array.
-    Corners beyond the image are left out and the others weigh more; a place without corners adds 0. Groups of places that
+    Corners beyond the image are left out and the others weigh more; corners within it that have no pixel weigh as dark ones,
+    so an image that is not filled needs its ``size`` (width and height). A place without corners adds 0. Groups of places that
     meet no pixel give no row. Stars meet the tiles they reach, each with the first column and line of the next tiles, so that
     a place has all its corners in one; places are made there, as they are many more than stars, and only their sums move.
     """
@@ -99,7 +103,7 @@ def light_at(px: DataFrame, stars: DataFrame, angles: Column, steps: Column, off
         n = F.floor(at / TILE).cast("int")
         return F.explode(F.when((at % TILE == 0) & (at > 0), F.array(n - 1, n)).otherwise(F.array(n)))
     rows = px.select(*KEY, F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x"), F.col(value).cast("double").alias("v")).filter("x >= 0 AND y >= 0")
-    rows = rows.join(_sizes(px).withColumnsRenamed({"__w": "w", "__h": "h"}), KEY)
+    rows = rows.join(_sizes(px, size).withColumnsRenamed({"__w": "w", "__h": "h"}), KEY)
     rows = rows.select("*", tile_of(F.col("y")).alias("ty")).select("*", tile_of(F.col("x")).alias("tx"))
     tiles = rows.select(*KEY, "ty", "tx", ((F.col("y") - F.col("ty") * TILE) * (TILE + 1) + F.col("x") - F.col("tx") * TILE).cast("int").alias("at"), "v", "w", "h")
     shape = {"angles": angles, "steps": steps, "offsets": offsets, "factors": factors}
@@ -110,7 +114,7 @@ def light_at(px: DataFrame, stars: DataFrame, angles: Column, steps: Column, off
         return F.explode(F.sequence(F.greatest(F.lit(0), F.floor((F.col(c) - reach) / TILE)).cast("int"), F.floor(F.least(F.col(c) + reach, F.col("__w" if c == "x" else "__h") - 1) / TILE).cast("int")))
     inside = (F.col("x") + reach >= 0) & (F.col("y") + reach >= 0) & (F.col("x") - reach < F.col("__w")) & (F.col("y") - reach < F.col("__h"))
     names = list(dict.fromkeys([*KEY, *keys, "x", "y", "k", *shape]))
-    near = asked.select(names).join(_sizes(px), KEY).filter(inside).select(*names, span("x").alias("tx"), "__h").select(*names, "tx", span("y").alias("ty"))
+    near = asked.select(names).join(_sizes(px, size), KEY).filter(inside).select(*names, span("x").alias("tx"), "__h").select(*names, "tx", span("y").alias("ty"))
     fields = [near.schema[c] for c in keys] + [StructField(c, IntegerType()) for c in kept] + [StructField("light", DoubleType())]
     schema = to_arrow_schema(StructType(fields))
     site = [*KEY, "ty", "tx"]
@@ -135,9 +139,9 @@ def top_stars(stars: DataFrame, n: int = SPIKE_STARS) -> DataFrame:
     return checkpointed(top.withColumn("k", 1.0 / F.greatest(F.lit(LEAST_FLUX), F.col("flux"))))
 
 
-def angular_profile(px: DataFrame, top: DataFrame, fwhm: float, value: str = "v") -> DataFrame:
+def angular_profile(px: DataFrame, top: DataFrame, fwhm: float, value: str = "v", size: tuple[int, int] | None = None) -> DataFrame:
     """Light by whole degree about the top stars, next to their cores: ``profile``, an array of 360, per image."""
-    sums = light_at(px, top, F.sequence(F.lit(0), F.lit(359)), _from(F.col("half") + fwhm + 2, PROFILE_STEPS), *_sides(F.lit(SPIKE_SIDE)), ("angle",), KEY, value)
+    sums = light_at(px, top, F.sequence(F.lit(0), F.lit(359)), _from(F.col("half") + fwhm + 2, PROFILE_STEPS), *_sides(F.lit(SPIKE_SIDE)), ("angle",), KEY, value, size)
     sums = sums.withColumnRenamed("angle", "degree").groupBy(*KEY).agg(F.map_from_entries(F.collect_list(F.struct("degree", "light"))).alias("__m"))
     return sums.select(*KEY, F.expr("transform(sequence(0, 359), d -> coalesce(element_at(__m, d), 0D))").alias("profile"))
 
@@ -158,16 +162,16 @@ def spike_peaks(profiles: DataFrame) -> DataFrame:
     return rows.select(*KEY, F.explode(facing).alias("degree"))
 
 
-def spike_directions(px: DataFrame, stars: DataFrame, fwhm: float, value: str = "v") -> DataFrame:
+def spike_directions(px: DataFrame, stars: DataFrame, fwhm: float, value: str = "v", size: tuple[int, int] | None = None) -> DataFrame:
     """Directions of every image's spikes: ``degree`` (whole) and ``angle`` in degrees, refined to a twentieth.
 
     An image without spikes, or without stars, gives no rows.
     """
     top = top_stars(stars)
-    peaks = checkpointed(spike_peaks(angular_profile(px, top, fwhm, value)))
+    peaks = checkpointed(spike_peaks(angular_profile(px, top, fwhm, value, size)))
     turn = F.col("degree") - 1 + F.col("turn") * 0.05
     turns = F.transform(F.sequence(F.lit(0), F.lit(40)), lambda t: F.col("degree") - 1 + t * 0.05)
-    sums = light_at(px, top.join(peaks, KEY), turns, _from(F.col("half") + fwhm + 2, SPIKE_LEVER - 2), *_sides(F.lit(SPIKE_SIDE)), ("angle",), [*KEY, "degree"], value)
+    sums = light_at(px, top.join(peaks, KEY), turns, _from(F.col("half") + fwhm + 2, SPIKE_LEVER - 2), *_sides(F.lit(SPIKE_SIDE)), ("angle",), [*KEY, "degree"], value, size)
     sums = sums.withColumnRenamed("angle", "turn")
     best = sums.groupBy(*KEY, "degree").agg(F.max_by("turn", F.struct("light", -F.col("turn"))).alias("turn"))
     return best.select(*KEY, "degree", turn.alias("angle"))
@@ -192,11 +196,11 @@ def _half(q: str, way: int, step: float) -> str:
     return f"coalesce({inside}, {mid} * {step}D)"
 
 
-def spike_width(px: DataFrame, stars: DataFrame, directions: DataFrame, fwhm: float, value: str = "v") -> DataFrame:
+def spike_width(px: DataFrame, stars: DataFrame, directions: DataFrame, fwhm: float, value: str = "v", size: tuple[int, int] | None = None) -> DataFrame:
     """``sigma`` of every image's spikes, within fixed limits; SPIKE_SIGMA where there is no spike or no peak across it."""
     rows = top_stars(stars).join(directions.select(*KEY, "angle"), KEY)
     across = F.sequence(F.lit(0), F.lit(32))
-    sums = light_at(px, rows, F.array("angle"), _from(F.col("half") + fwhm + 2, SPIKE_LEVER - 2), F.transform(across, lambda i: i * 0.5 - 8), F.transform(across, lambda i: F.lit(1.0)), ("offset",), KEY, value)
+    sums = light_at(px, rows, F.array("angle"), _from(F.col("half") + fwhm + 2, SPIKE_LEVER - 2), F.transform(across, lambda i: i * 0.5 - 8), F.transform(across, lambda i: F.lit(1.0)), ("offset",), KEY, value, size)
     sums = sums.withColumnRenamed("offset", "across").groupBy(*KEY).agg(F.map_from_entries(F.collect_list(F.struct("across", "light"))).alias("__m"))
     sums = sums.withColumn("__p", F.expr("transform(sequence(0, 32), d -> coalesce(element_at(__m, d), 0D))")).withColumn("__s", lateral_sigma("__p", 0.5))
     sigma = F.when(F.coalesce("__s", F.lit(0.0)) == 0, F.lit(SPIKE_SIGMA)).otherwise(F.greatest(F.lit(NARROWEST), F.least(F.lit(WIDEST), F.col("__s"))))
@@ -207,12 +211,12 @@ def side_of(sigma: Column) -> Column:
     return F.greatest(F.lit(SPIKE_SIDE), 3 * sigma)
 
 
-def spike_falloff(px: DataFrame, stars: DataFrame, directions: DataFrame, width: DataFrame, fwhm: float, value: str = "v") -> DataFrame:
+def spike_falloff(px: DataFrame, stars: DataFrame, directions: DataFrame, width: DataFrame, fwhm: float, value: str = "v", size: tuple[int, int] | None = None) -> DataFrame:
     """Spike light per flux by distance: ``r`` 0 .. SPIKE_MAX - 1 and ``t``, smoothed, never rising outward."""
     rows = top_stars(stars).join(directions.select(*KEY, "angle"), KEY).join(width, KEY).withColumn("start", F.floor(F.ceil("half") + fwhm + 2).cast("int"))
     rows = checkpointed(rows.filter(F.col("start") < SPIKE_MAX))
     starts = rows.groupBy(*KEY, "start").agg(F.count("*").alias("__n"))
-    sums = light_at(px, rows, F.array("angle"), F.sequence("start", F.lit(SPIKE_MAX - 1)), *_sides(side_of(F.col("sigma"))), ("step",), [*KEY, "start"], value)
+    sums = light_at(px, rows, F.array("angle"), F.sequence("start", F.lit(SPIKE_MAX - 1)), *_sides(side_of(F.col("sigma"))), ("step",), [*KEY, "start"], value, size)
     sums = sums.groupBy(*KEY, (F.col("start") + F.col("step")).alias("r")).agg(F.sum("light").alias("light"))
     radii = starts.groupBy(*KEY).agg(F.min("start").alias("__first")).withColumn("r", F.explode(F.sequence("__first", F.lit(SPIKE_MAX - 1))))
     up_to = Window.partitionBy(*KEY).orderBy("r").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -225,7 +229,7 @@ def spike_falloff(px: DataFrame, stars: DataFrame, directions: DataFrame, width:
     return rows.filter("r > __first").select(*KEY, "r", "t").unionByName(held.select(*KEY, "r", "t"))
 
 
-def fit_spikes(px: DataFrame, stars: DataFrame, directions: DataFrame, width: DataFrame, falloff: DataFrame, noise: DataFrame, fwhm: float, value: str = "v") -> DataFrame:
+def fit_spikes(px: DataFrame, stars: DataFrame, directions: DataFrame, width: DataFrame, falloff: DataFrame, noise: DataFrame, fwhm: float, value: str = "v", size: tuple[int, int] | None = None) -> DataFrame:
     """Every star's spikes: ``star``, ``angle``, ``start``, ``scale``, ``reach``.
 
     ``scale`` is the upper median of a star's light over the falloff next to its core, so light of a neighbour on the ray
@@ -235,7 +239,7 @@ def fit_spikes(px: DataFrame, stars: DataFrame, directions: DataFrame, width: Da
     start = (F.ceil("half") + fwhm).cast("double")
     rows = stars.join(directions.select(*KEY, "angle"), KEY).join(width, KEY).withColumn("start", start).withColumn("k", F.lit(1.0))
     step = rows.withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(SPIKE_FIT - 1))))
-    light = light_at(px, rows, F.array("angle"), _from(F.col("start"), SPIKE_FIT), *_sides(side_of(F.col("sigma"))), ("step",), [*KEY, "star", "angle"], value)
+    light = light_at(px, rows, F.array("angle"), _from(F.col("start"), SPIKE_FIT), *_sides(side_of(F.col("sigma"))), ("step",), [*KEY, "star", "angle"], value, size)
     curve = falloff.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("r", "t"))).alias("__t")).select(*KEY, F.col("__t.t").alias("__t"))
     fits = step.select(*KEY, "star", "angle", "start", "step").join(light, [*KEY, "star", "angle", "step"], "left").join(curve, KEY)
     t = F.expr(f"CASE WHEN int(start) + step < {SPIKE_MAX} THEN __t[int(start) + step] END")

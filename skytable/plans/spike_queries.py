@@ -12,6 +12,7 @@ from skytable.plans.registry import query
 from skytable.plans.views import view, with_views
 
 FWHM = 2.0
+SIZE = (80, 80)
 
 # the third star lies on the first one's spike
 STARS = """SELECT image_id, star, CASE star WHEN 0 THEN 3e1 + 1e1 * a WHEN 1 THEN 58e0 - 6e0 * b ELSE 3e1 + 1e1 * a + 22e0 * cos(radians(20e0 + (image_id * 7) % 60)) END AS x,
@@ -121,18 +122,18 @@ def sql(text: str) -> str:
 
 def _found(spark, sf):
     px, stars = images(spark, sf)
-    return px, stars, written(op.spike_directions(px, stars, FWHM), "spike_directions")
+    return px, stars, written(op.spike_directions(px, stars, FWHM, size=SIZE), "spike_directions")
 
 
 def _width(spark, sf):
     px, stars, dirs = _found(spark, sf)
-    return px, stars, dirs, written(op.spike_width(px, stars, dirs, FWHM), "spike_width")
+    return px, stars, dirs, written(op.spike_width(px, stars, dirs, FWHM, size=SIZE), "spike_width")
 
 
 def _fitted(spark, sf):
     px, stars, dirs, width = _width(spark, sf)
-    fall = written(op.spike_falloff(px, stars, dirs, width, FWHM), "spike_falloff")
-    return written(op.fit_spikes(px, stars, dirs, width, fall, noise_sigma(px), FWHM), "spikes"), stars, width
+    fall = written(op.spike_falloff(px, stars, dirs, width, FWHM, size=SIZE), "spike_falloff")
+    return written(op.fit_spikes(px, stars, dirs, width, fall, noise_sigma(px), FWHM, size=SIZE), "spikes"), stars, width
 
 
 @query("spike_directions", sql(DIRECTIONS + " SELECT image_id, CAST(degree AS INTEGER) AS degree, round(angle, 6) AS angle FROM dirs"))
@@ -148,7 +149,7 @@ def spike_width(spark, sf):
 @query("spike_falloff", sql(FALL + " SELECT image_id, CAST(r AS INTEGER) AS r, round(t, 9) AS t FROM curve"))
 def spike_falloff(spark, sf):
     px, stars, dirs, width = _width(spark, sf)
-    return op.spike_falloff(px, stars, dirs, width, FWHM).select("image_id", "r", F.round("t", 9).alias("t"))
+    return op.spike_falloff(px, stars, dirs, width, FWHM, size=SIZE).select("image_id", "r", F.round("t", 9).alias("t"))
 
 
 @query("fit_spike", sql(FIT + " SELECT image_id, star, round(angle, 6) AS angle, start, round(scale, 6) AS scale, reach FROM spikes"))
