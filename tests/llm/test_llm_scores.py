@@ -107,6 +107,36 @@ def test_fitted_weights_beat_the_first_ones_on_unseen_texts(spark, words):
     assert fitted > first > -text_bits
 
 
+def plain_fit(texts):
+    """Weights of least cost over all bytes of all texts, each without its own occurrence, by counts in dicts."""
+    seen, votes, gates = Counter(), [], []
+    coded = [b"\0" * 4 + lowered(t) + b"\xff" for t in texts]
+    ways = [[(k, t[i - k:i], b, t[i] >> (8 - b)) for k in cm.ORDERS for b in range(9)] for t in coded for i in range(4, len(t))]
+    for w in ways:
+        seen.update(w)
+    for w in ways:
+        n = np.array([seen[x] - 1 for x in w], dtype=float).reshape(len(cm.ORDERS), 9)
+        votes.append(np.log((n[:, 1:] + cm.SPARE) / (n[:, :-1] - n[:, 1:] + cm.SPARE)).T)
+        gates.append([np.searchsorted(cm.LEVELS, n[k, 0], side="right") for k in (-2, -1)])
+    votes, gates = np.array(votes), np.array(gates) @ [len(cm.LEVELS) + 1, 1]
+    out = np.full((cm.GATES, len(cm.ORDERS)), cm.FIRST)
+    for g in set(gates.tolist()):
+        v, w = votes[gates == g].reshape(-1, len(cm.ORDERS)), out[g].copy()
+        for _ in range(40):
+            p = 1 / (1 + np.exp(v @ w))
+            w += np.linalg.solve((v * (p * (1 - p))[:, None]).T @ v + cm.CALM * np.eye(len(w)), v.T @ p - cm.CALM * (w - cm.FIRST))
+        out[g] = w
+    return out
+
+
+def test_weights_are_fitted_on_all_training_texts(spark, words):
+    # texts of two kinds: a fit on some of them, or on each but once, has other weights
+    rows = [(i, words(6, i, 30) if i % 3 else "ab" * (i % 17)) for i in range(420)] + [(None, "no id")] * 3
+    want = {x.doc_id: x.score for x in cm.scores(docs(spark, rows), plain_fit([t for i, t in rows if not held(i)])).collect()}
+    got = {x.doc_id: x.score for x in cm.scores(docs(spark, rows)).collect()}
+    assert got == pytest.approx(want, rel=1e-3)
+
+
 def test_empty_table_no_training_rows_and_repeated_rows(spark):
     assert cm.scores(docs(spark, [])).count() == 0
     only = next(i for i in range(100) if held(i))
