@@ -200,3 +200,51 @@ def test_quads_of_one_code_meet_as_one(spark, tmp_path, monkeypatch):
     near = {(a, b) for a, x in codes for b, y in codes if abs(x[0] - y[0]) <= 0.01}
     assert len(rows) == len(near) and {tuple(r) for r in rows} == near
     assert joined <= 4000
+
+
+def plain_quads(stars, low, high, per_cell):
+    """Quads of one band by trying every pair, from stars (id, ra, dec, g)."""
+    def plane(s, o):
+        a, d, a0, d0 = np.radians([s[1], s[2], o[1], o[2]])
+        cosc = np.sin(d0) * np.sin(d) + np.cos(d0) * np.cos(d) * np.cos(a - a0)
+        return np.degrees(np.cos(d) * np.sin(a - a0) / cosc), np.degrees((np.cos(d0) * np.sin(d) - np.sin(d0) * np.cos(d) * np.cos(a - a0)) / cosc)
+
+    def cell(s):
+        row = min(np.ceil(180 / low) - 1, max(0, np.floor((s[2] + 90) / low)))
+        n = max(1, int(np.floor(360 * np.cos(np.radians(-90 + (row + 0.5) * low)) / low)))
+        return row, int(np.floor(s[1] % 360 / 360 * n)) % n
+    stars, made, seen = sorted(stars, key=lambda s: (s[3], s[0])), {}, set()
+    for a in stars:
+        for b in stars:
+            (xb, yb), cos = plane(b, a), np.sin(np.radians(a[2])) * np.sin(np.radians(b[2])) + np.cos(np.radians(a[2])) * np.cos(np.radians(b[2])) * np.cos(np.radians(a[1] - b[1]))
+            if a == b or not low <= np.degrees(np.arccos(np.clip(cos, -1, 1))) < high:
+                continue
+            at = [(s, plane(s, a)) for s in stars if s not in (a, b)]
+            held = [(s, p) for s, p in at if (p[0] - xb / 2) ** 2 + (p[1] - yb / 2) ** 2 < (xb * xb + yb * yb) / 4][:2]
+            if len(held) < 2:
+                continue
+            x, y = np.array([[0, xb, *[p[0] for _, p in held]]]), np.array([[0, yb, *[p[1] for _, p in held]]])
+            name = "-".join(sorted(str(s[0]) for s in (a, b, held[0][0], held[1][0])))
+            if match._codes(x, y)[2][0] and name not in seen:
+                seen.add(name)
+                made.setdefault(cell(a), []).append(name)
+    return {n for names in made.values() for n in names[:per_cell]}
+
+
+def test_the_index_has_the_quads_of_every_band(spark):
+    r = np.random.default_rng(8)
+    stars = [(i, float(r.uniform(355, 369)) % 360, float(r.uniform(50, 62)), float(r.integers(8, 14))) for i in range(60)]
+    df = spark.createDataFrame(stars, "star_id long, ra double, dec double, g double")
+    got = match.quad_index(df).collect()
+    bright = [tuple(x) for x in match.brightest_per_cell(df, [b[0] for b in match.BANDS], match.STARS_PER_CELL).select("star_id", "ra", "dec", "g").collect()]
+    for k, (low, high) in enumerate(match.BANDS):
+        assert {x.quad_id for x in got if x.band == k} == plain_quads(bright, low, high, match.QUADS_PER_CELL)
+
+
+def test_registered_matches_use_every_band(spark, monkeypatch):
+    # bands wider than the field have no quads; the widest two are such
+    bands = {x.band for x in entry.queries()["band_quads"](spark, SF).collect()}
+    assert bands == set(range(8))
+    asked = []
+    monkeypatch.setattr(match, "quad_index", lambda stars, bands=match.BANDS: asked.append(bands) or stars.limit(0).selectExpr("0 as band", "'' as quad_id", "array(0.0D) as code", "array(struct(0.0D as x, 0.0D as y)) as points", "0.0D as ra0", "0.0D as dec0"))
+    assert entry.queries()["blind_match"](spark, SF).count() == 0 and asked == [match.BANDS]
