@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from skytable.functions.storage import checkpointed, multiplied
+from skytable.functions.storage import checkpointed, multiplied, written
 
 from skytable.functions.sky import equal_area_cell, separation, with_cells_near
 from skytable.operators.frames import finite
@@ -18,6 +18,8 @@ STOPWORDS = ("the", "nebula", "galaxy", "cluster", "of", "complex")
 MIN_SCORE = 0.75
 FILE_NAME_SCORE = 0.85
 NAME_QUERY_MAX = 6
+# Words of names that go to every task.
+FEW_WORDS = 10_000
 ALIASES = (  # names, id, and ra, dec, diameter where the catalogue has no place for it
     (("Elephant's Trunk Nebula",), "IC1396A", 324.0, 57.5, 30.0), (("Horsehead Nebula",), "B33", 85.246, -2.458, 8.0),
     (("Splinter Galaxy", "Knife Edge Galaxy"), "NGC5907", None, None, None), (("Needle Galaxy",), "NGC4565", None, None, None),
@@ -84,28 +86,36 @@ def _pieces(word: Column) -> Column:
     return F.array_distinct(F.flatten(by_size))
 
 
-def similar_words(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Pairs of distinct words (``word`` on both sides) whose similarity is at least 0.75: ``typed``, ``named``."""
+def similar_words(left: DataFrame, right: DataFrame, few: bool = False) -> DataFrame:
+    """Pairs of distinct words (``word`` on both sides) whose similarity is at least 0.75: ``typed``, ``named``.
+
+    Where ``right`` is known to have ``few`` words they go to the pieces of ``left``, which are not moved.
+    """
     a = left.select("word").distinct().filter(F.length("word") > 0).select(
         F.col("word").alias("typed"), F.explode(_pieces(F.col("word"))).alias("piece"),
         F.sequence(F.ceil(F.length("word") * 0.75).cast("int"), F.floor(F.length("word") / 0.75).cast("int")).alias("sizes"))
-    a = multiplied(a.select("typed", "piece", F.explode("sizes").alias("size")))
-    b = multiplied(right.select("word").distinct().filter(F.length("word") > 0).select(
+    a, b = a.select("typed", "piece", F.explode("sizes").alias("size")), (right.select("word").distinct().filter(F.length("word") > 0).select(
         F.col("word").alias("named"), F.length("word").alias("size"), F.explode(F.array_distinct(_segments(F.col("word")))).alias("piece")))
+    a, b = (a, F.broadcast(b)) if few else (multiplied(a), multiplied(b))
     near = 1.0 - F.levenshtein("typed", "named") / F.greatest(F.length("typed"), F.length("named")) >= MIN_SCORE
     return a.join(b, ["piece", "size"]).select("typed", "named").distinct().filter(near)
 
 
-def name_hits(queries: DataFrame, names: DataFrame) -> DataFrame:
+def has_few_words(names: DataFrame) -> bool:
+    return names.select("name").distinct().select(F.explode(object_words(F.col("name"))).alias("word")).distinct().count() <= FEW_WORDS
+
+
+def name_hits(queries: DataFrame, names: DataFrame, few: bool = False) -> DataFrame:
     """Pairs of a distinct query and a distinct name that score at least 0.75: ``query``, ``name``, ``score``.
 
     A pair that scores has at least one pair of similar words; only such pairs are scored. Distinct texts meet, not rows.
+    ``few``: the names are known to have few different words.
     """
     q = queries.select("query").distinct().withColumn("typed", object_words(F.col("query")))
     n = names.filter(F.length("name") > 0).select("name").distinct().withColumn("words", object_words(F.col("name")))
     qw = multiplied(q.select("query", F.explode(F.array_distinct("typed")).alias("word")))
     nw = multiplied(n.select("name", F.explode(F.array_distinct("words")).alias("word")))
-    pairs = similar_words(qw, nw)
+    pairs = similar_words(qw, nw, few)
     meet = (qw.withColumnRenamed("word", "typed").join(pairs, "typed").join(nw.withColumnRenamed("word", "named"), "named")
             .select("query", "name").distinct())
     return (meet.join(multiplied(q), "query").join(multiplied(n), "name").withColumn("score", name_score(F.col("typed"), F.col("words")))
@@ -118,17 +128,17 @@ def alias_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "alias_no int, name string, label string, id string, ra double, dec double, diameter double")
 
 
-def find_object(queries: DataFrame, catalogue: DataFrame) -> DataFrame:
-    """Catalogue objects for typed texts (``query``): ``id``, ``ra``, ``dec``, ``diameter``, ``name``, ``score``, ``place``.
-
-    An exact id and a Messier number score 1, a part of a catalogued object 0.97, similar names at least 0.75. One row
-    per query and id, best first. ``catalogue`` has ``seq``, ``id``, ``ra``, ``dec``, ``diameter``, ``name``, ``messier``.
-    """
+def _every_hit(queries: DataFrame, catalogue: DataFrame, first: bool) -> DataFrame:
+    """What a query can mean, each way it is found; of objects with the same id, Messier number or name only the ``first`` where that is set."""
     spark = queries.sparkSession
     q = queries.select("query").distinct().filter(F.trim("query") != "").withColumn(
         "compact", F.regexp_replace(F.upper("query"), r"\s+", ""))
     c = multiplied(catalogue.select("seq", "id", "ra", "dec", F.coalesce("diameter", F.lit(0.0)).alias("diameter"), F.coalesce("name", F.lit("")).alias("name"), "messier"))
-    by_id = c.withColumn("key", F.upper("id"))
+
+    def of(key: Column) -> DataFrame:
+        rows = c.withColumn("key", key).filter("key != ''")
+        return multiplied(rows.groupBy("key").agg(F.min_by(F.struct(*c.columns), "seq").alias("s")).select("s.*", "key")) if first else rows
+    by_id = of(F.upper("id"))
     shape = ["query", "id", "ra", "dec", "diameter", "name", "score", "kind", "seq"]
 
     def hits(df: DataFrame, score: Column, kind: int) -> DataFrame:
@@ -138,20 +148,28 @@ def find_object(queries: DataFrame, catalogue: DataFrame) -> DataFrame:
     part = part.join(multiplied(exact.select("query").distinct()), "query", "left_anti")
     sub = hits(part.join(by_id, "key"), F.lit(0.97), 1)
     number = F.regexp_extract("compact", r"^M(?:ESSIER)?(\d+)$", 1)
-    messier = q.withColumn("messier", F.when(number != "", F.concat(F.lit("M"), number))).join(c, "messier")
+    messier = q.withColumn("key", F.when(number != "", F.concat(F.lit("M"), number))).join(of(F.col("messier")), "key")
     messier = hits(messier.withColumn("name", F.coalesce(F.nullif("name", F.lit("")), F.col("messier"))), F.lit(1.0), 2)
-    scored = name_hits(q, c)
-    fuzzy = hits(scored.withColumnRenamed("score", "s").join(c, "name"), F.col("s"), 3)
+    scored = name_hits(q, c, first and has_few_words(c))
+    fuzzy = hits(scored.select(F.col("name").alias("key"), "query", F.col("score").alias("s")).join(of(F.col("name")), "key"), F.col("s"), 3)
     aliases = alias_table(spark)
-    named = name_hits(q, aliases).join(aliases, "name").groupBy("query", "alias_no", "label", "id", "ra", "dec", "diameter").agg(F.max("score").alias("s"))
-    held = c.select(F.col("id").alias("__id"), F.col("ra").alias("__ra"), F.col("dec").alias("__dec"), F.col("diameter").alias("__d"))
+    named = name_hits(q, aliases, True).join(aliases, "name").groupBy("query", "alias_no", "label", "id", "ra", "dec", "diameter").agg(F.max("score").alias("s"))
+    held = of(F.col("id")).select(F.col("id").alias("__id"), F.col("ra").alias("__ra"), F.col("dec").alias("__dec"), F.col("diameter").alias("__d"))
     named = named.join(held, named.id == held["__id"], "left").filter(F.col("ra").isNotNull() | F.col("__id").isNotNull())
     named = named.withColumns({"ra": F.coalesce("ra", "__ra"), "dec": F.coalesce("dec", "__dec"), "diameter": F.coalesce("diameter", "__d"),
                                "name": F.col("label"), "seq": F.col("alias_no").cast("long")})
     alias = hits(named, F.col("s"), 4)
-    every = exact.unionByName(sub).unionByName(messier).unionByName(fuzzy).unionByName(alias)
-    best = every.groupBy("query", "id").agg(F.max_by(F.struct("ra", "dec", "diameter", "name", "score", "kind", "seq"),
-                                                     F.struct("score", -F.col("kind"), -F.col("seq"))).alias("h"))
+    return exact.unionByName(sub).unionByName(messier).unionByName(fuzzy).unionByName(alias)
+
+
+def find_object(queries: DataFrame, catalogue: DataFrame) -> DataFrame:
+    """Catalogue objects for typed texts (``query``): ``id``, ``ra``, ``dec``, ``diameter``, ``name``, ``score``, ``place``.
+
+    An exact id and a Messier number score 1, a part of a catalogued object 0.97, similar names at least 0.75. One row
+    per query and id, best first. ``catalogue`` has ``seq``, ``id``, ``ra``, ``dec``, ``diameter``, ``name``, ``messier``.
+    """
+    best = _every_hit(queries, catalogue, False).groupBy("query", "id").agg(F.max_by(F.struct("ra", "dec", "diameter", "name", "score", "kind", "seq"),
+                                                                                      F.struct("score", -F.col("kind"), -F.col("seq"))).alias("h"))
     return best.select("query", "id", "h.*")
 
 
@@ -161,6 +179,38 @@ def best_object(hits: DataFrame) -> DataFrame:
     return hits.groupBy("query").agg(F.max_by(F.struct("id", "ra", "dec", "diameter", "name", "score"), order).alias("h")).select("query", "h.*")
 
 
+def first_object(queries: DataFrame, catalogue: DataFrame) -> DataFrame:
+    """What ``best_object`` takes of ``find_object``; a name that many objects have does not bring them all."""
+    return best_object(_every_hit(queries, catalogue, True))
+
+
+def runs_that_may_hit(texts: DataFrame, catalogue: DataFrame) -> DataFrame:
+    """Every run of two words of ``texts`` (their words as ``w``) that can hit an object: the columns of ``texts`` but ``w``, and ``query``.
+
+    A hit has a word like one of a name, or looks like an id: the same letters with any digits. Both are settled on distinct
+    words and ids, so texts are only read, and a run that hits nothing is not moved.
+    """
+    tokens = written(texts.select(F.explode("w").alias("token")).distinct(), "tokens")
+    names = catalogue.select("name").unionByName(alias_table(texts.sparkSession).select("name"))
+    named = names.distinct().select(F.explode(object_words(F.col("name"))).alias("word")).distinct()
+    typed = tokens.select("token", F.explode(F.array_distinct(object_words(F.col("token")))).alias("word"))
+    like = similar_words(typed, named, has_few_words(names)).select(F.col("typed").alias("word")).distinct()
+    like = written(multiplied(typed).join(like, "word", "left_semi").select("token").distinct(), "like_names")
+
+    def shape(text: Column) -> Column:
+        return F.regexp_replace(F.upper(text), "[0-9]+", "#")
+    fixed = texts.sparkSession.createDataFrame([(x,) for x in ("M#", "MESSIER#", *[f"{p}#{chr(c)}" for p in ("NGC", "IC") for c in range(65, 91)])], "shape string")
+    shapes = written(catalogue.select(shape(F.col("id")).alias("shape")).unionByName(fixed).distinct(), "id_shapes")
+    rest = [c for c in texts.columns if c != "w"]
+    runs = texts.filter(F.size("w") > 1).select(*rest, F.explode(F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda i: F.slice("w", i, 2))).alias("__r"))
+    runs = runs.select(*rest, F.col("__r")[0].alias("__a"), F.col("__r")[1].alias("__b")).withColumn("__s", shape(F.concat("__a", "__b")))
+    found = F.lit(False)
+    for c, known in (("__a", like), ("__b", like), ("__s", shapes)):
+        runs = runs.join(known.select(F.col(known.columns[0]).alias(c), F.lit(True).alias(f"{c}_known")), c, "left")
+        found = found | F.col(f"{c}_known").isNotNull()
+    return runs.filter(found).select(*rest, F.concat_ws(" ", "__a", "__b").alias("query"))
+
+
 def path_parts(paths: DataFrame) -> DataFrame:
     """The last four parts of each path, innermost first: ``path``, ``level``, ``text`` (the file's ending dropped)."""
     parts = F.filter(F.split("path", r"[/\\]"), lambda p: p != "")
@@ -175,8 +225,8 @@ def object_from_path(paths: DataFrame, catalogue: DataFrame) -> DataFrame:
     rows = rows.withColumn("run", F.explode(F.sequence(F.least(F.lit(3), F.size("__w")), F.lit(1))))
     rows = rows.withColumn("i", F.explode(F.sequence(F.lit(1), F.size("__w") - F.col("run") + 1)))
     rows = rows.withColumn("query", F.array_join(F.slice("__w", F.col("i"), F.col("run")), " ")).select("path", "level", "run", "i", "query")
-    hits = best_object(find_object(rows, catalogue)).filter(F.col("score") >= FILE_NAME_SCORE)
-    found = rows.join(hits, "query")
+    hits = first_object(rows, catalogue).filter(F.col("score") >= FILE_NAME_SCORE)
+    found = multiplied(rows).join(multiplied(hits), "query")
     order = F.struct((-F.col("level")).alias("a"), F.col("score").alias("b"), F.col("run").alias("c"), (-F.col("i")).alias("d"))
     return found.groupBy("path").agg(F.max_by(F.struct("id", "name", "score"), order).alias("h")).select("path", "h.*")
 
