@@ -50,19 +50,22 @@ def find_object(spark, sf):
     return g.join(best, "query")
 
 
+def words_of(docs):
+    return docs.select("doc_id", F.expr(r"filter(split(text, '[ \\t\\n\\x0B\\f\\r]+'), w -> w <> '')").alias("w"))
+
+
 def runs_of_words(docs, words: int = 2):
     """Every run of so many words of every whole text: ``doc_id``, ``query``. Shorter texts have none."""
-    w = docs.select("doc_id", F.expr(r"filter(split(text, '[ \\t\\n\\x0B\\f\\r]+'), w -> w <> '')").alias("w")).filter(F.size("w") >= words)
+    w = words_of(docs).filter(F.size("w") >= words)
     return w.select("doc_id", F.explode(F.expr(f"transform(sequence(1, size(w) - {words - 1}), i -> array_join(slice(w, i, {words}), ' '))")).alias("query"))
 
 
 # no SQL: it would compare every run with every name
 @query("objects_in_texts")
 def objects_in_texts(spark, sf):
-    runs = runs_of_words(table(spark, sf, "documents"))
-    hits = op.find_object(runs.select("query").distinct(), objects(spark, sf))
-    best = op.best_object(hits).select("query", F.col("id").alias("best"), F.round("score", 6).alias("score"))
-    return runs.join(best, "query").groupBy("doc_id", "best").agg(F.count("*").alias("runs"), F.max("score").alias("score"))
+    runs = written(op.runs_that_may_hit(words_of(table(spark, sf, "documents")), objects(spark, sf)), "runs")
+    best = op.first_object(runs, objects(spark, sf)).select("query", F.col("id").alias("best"), F.round("score", 6).alias("score"))
+    return multiplied(runs).join(multiplied(best), "query").groupBy("doc_id", "best").agg(F.count("*").alias("runs"), F.max("score").alias("score"))
 
 
 PATHS = """pt AS (SELECT f.file_id, concat('/astro/', CASE WHEN f.file_id % 3 = 0 THEN concat('M ', CAST(f.file_id % 60 AS VARCHAR(9))) ELSE concat(replace(p.p_name, ' ', '_'), '_run') END, '/night1/', CASE WHEN f.file_id % 4 = 0 THEN concat('NGC', CAST(f.file_id AS VARCHAR(9)), '_light.v1.fits') WHEN f.file_id % 4 = 1 THEN concat(replace(p.p_name, ' ', '-'), '_180s.fits') ELSE 'frame-1.fits' END) AS path
