@@ -167,20 +167,21 @@ def at_cell(df: DataFrame, size: float) -> DataFrame:
     return df.withColumns({"cx": F.floor(F.col("x") / size).cast("int"), "cy": F.floor(F.col("y") / size).cast("int")})
 
 
-def crossmatch(stars: DataFrame, detections: DataFrame) -> DataFrame:
+def crossmatch(stars: DataFrame, detections: DataFrame, carried: Sequence[str] = ()) -> DataFrame:
     """Pairs of a placed star and a detection within the detection's match radius: ``star_id``, ``det_id``, ``g``, ``r2``.
 
     A detection is spread over the cells its match circle touches and a star sits in one cell, so a pair meets once.
+    Columns of a detection that are ``carried`` come along, so that pairs need no join of their own.
     """
     d = with_rect(detections).withColumn("radius", F.greatest(
         F.lit(MATCH_RADIUS), MATCH_CORE_SHARE * (F.col("x1") - F.col("x0")) / 2))
-    d = d.select("det_id", F.col("x").alias("dx"), F.col("y").alias("dy"), "radius")
+    d = d.select("det_id", F.col("x").alias("dx"), F.col("y").alias("dy"), "radius", *carried)
     d = over_cells(d, F.col("dx") - F.col("radius"), F.col("dy") - F.col("radius"), F.col("dx") + F.col("radius"),
                    F.col("dy") + F.col("radius"), MATCH_CELL)
     s = at_cell(stars.select("star_id", "x", "y", "g"), MATCH_CELL)
     r2 = (F.col("dx") - F.col("x")) * (F.col("dx") - F.col("x")) + (F.col("dy") - F.col("y")) * (F.col("dy") - F.col("y"))
     return (s.join(d, ["cx", "cy"]).withColumn("r2", r2).filter(F.col("r2") <= F.col("radius") * F.col("radius"))
-            .select("star_id", "det_id", F.coalesce(F.when(~F.isnan("g"), F.col("g")), F.lit(99.0)).alias("g"), "r2"))
+            .select("star_id", "det_id", F.coalesce(F.when(~F.isnan("g"), F.col("g")), F.lit(99.0)).alias("g"), "r2", *carried))
 
 
 def matched(pairs: DataFrame) -> DataFrame:
@@ -312,34 +313,61 @@ def missing_bright(stars: DataFrame, detections: DataFrame, radius: float = BRIG
     return missed.join(ordered_suppression(missed, edges, "star_id"), "star_id", "left_semi")
 
 
-def blend_flags(detections: DataFrame, stars: DataFrame, pairs: DataFrame, grow: int = 0) -> DataFrame:
-    """Per matched pair: does an equal or brighter detection overlap the core (``blend``), and does another catalogue
-    star no more than 0.3 mag fainter lie inside it (``catalogue_blend``)?"""
+def _two_first(df: DataFrame, place: Sequence[str], id_: str, order: Column) -> DataFrame:
+    """The first two ids of each place with their ``__o``, by ``order``; an id counts once."""
+    once = df.groupBy(*place, id_).agg(F.min(order).alias("__o"))
+    return once.withColumn("__n", F.row_number().over(Window.partitionBy(*place).orderBy("__o", id_))).filter(F.col("__n") <= 2).drop("__n")
+
+
+def _core_flags(detections: DataFrame, stars: DataFrame, grow: int) -> DataFrame:
+    """Of each detection: ``blend`` (null for none) and the brightest star in its core, ``first``, with the next one, ``second``.
+
+    Cores alike and stars of one place meet others as the two that count: whatever their own id, one of the two is another's.
+    """
+    edges = ("x0", "y0", "x1", "y1")
     d = with_rect(detections).withColumns({
         "rx0": F.col("x0") - grow, "ry0": F.col("y0") - grow, "rx1": F.col("x1") + grow, "ry1": F.col("y1") + grow})
     mine = over_cells(d, F.col("rx0"), F.col("ry0"), F.col("rx1") - 1, F.col("ry1") - 1, MATCH_CELL)
-    others = over_cells(with_rect(detections), F.col("x0"), F.col("y0"), F.col("x1") - 1, F.col("y1") - 1, MATCH_CELL).select(
-        F.col("det_id").alias("o_id"), F.col("flux").alias("o_flux"), F.col("x0").alias("o_x0"), F.col("y0").alias("o_y0"),
-        F.col("x1").alias("o_x1"), F.col("y1").alias("o_y1"), F.col("cx").alias("o_cx"), F.col("cy").alias("o_cy"))
+    # what has no flux counts as brighter than all
+    strength = F.when(finite(F.col("flux")), F.col("flux").cast("double")).otherwise(F.lit(float("inf")))
+    strong = _two_first(with_rect(detections), edges, "det_id", -strength)
+    others = over_cells(strong, F.col("x0"), F.col("y0"), F.col("x1") - 1, F.col("y1") - 1, MATCH_CELL).select(
+        F.col("det_id").alias("o_id"), (-F.col("__o")).alias("o_flux"), *[F.col(c).alias(f"o_{c}") for c in (*edges, "cx", "cy")])
     meets = ((F.col("rx0") < F.col("o_x1")) & (F.col("o_x0") < F.col("rx1")) & (F.col("ry0") < F.col("o_y1"))
              & (F.col("o_y0") < F.col("ry1")))
-    brighter = ~finite(F.col("flux")) | ~finite(F.col("o_flux")) | (F.col("o_flux") >= F.col("flux"))
+    brighter = ~finite(F.col("flux")) | (F.col("o_flux") >= F.col("flux"))
     blended = mine.join(others, (F.col("cx") == F.col("o_cx")) & (F.col("cy") == F.col("o_cy"))
                         & (F.col("det_id") != F.col("o_id")) & meets & brighter, "left_semi").select("det_id").distinct()
-    s = at_cell(stars.select("star_id", "x", "y", "g"), MATCH_CELL).select(
-        F.col("star_id").alias("n_id"), F.col("x").alias("nx"), F.col("y").alias("ny"), F.col("g").alias("ng"),
+    bright = _two_first(stars.select("star_id", "x", "y", "g"), ("x", "y"), "star_id", F.coalesce("g", F.lit(float("-inf"))))
+    s = at_cell(bright, MATCH_CELL).select(
+        F.col("star_id").alias("n_id"), F.col("x").alias("nx"), F.col("y").alias("ny"), F.col("__o").alias("ng"),
         F.col("cx").alias("n_cx"), F.col("cy").alias("n_cy"))
-    cores = over_cells(with_rect(detections), F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"), MATCH_CELL).select("det_id", "x0", "y0", "x1", "y1", "cx", "cy")
+    cores = over_cells(with_rect(detections), F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"), MATCH_CELL).select("det_id", *edges, "cx", "cy")
     inside = ((F.col("nx") >= F.col("x0")) & (F.col("nx") < F.col("x1")) & (F.col("ny") >= F.col("y0")) & (F.col("ny") < F.col("y1")))
     held = cores.join(s, (F.col("cx") == F.col("n_cx")) & (F.col("cy") == F.col("n_cy")) & inside)
     # whether a star other than the pair's is bright enough: the brightest of a core tells, or the next where that is the pair's own
-    bright = F.struct(F.coalesce("ng", F.lit(float("-inf"))).alias("g"), F.col("n_id").alias("id"))
-    first = held.groupBy("det_id").agg(F.min(bright).alias("__first"))
-    second = held.join(multiplied(first), "det_id").filter(F.col("n_id") != F.col("__first.id")).groupBy("det_id").agg(F.min(bright).alias("__second"))
-    flags = (first.join(multiplied(second), "det_id", "left").join(multiplied(blended.withColumn("__b", F.lit(True))), "det_id", "full"))
-    other = F.when(F.col("__first.id") == F.col("star_id"), F.col("__second.g")).otherwise(F.col("__first.g"))
+    each = F.struct(F.col("ng").alias("g"), F.col("n_id").alias("id"))
+    first = held.groupBy("det_id").agg(F.min(each).alias("first"))
+    second = held.join(multiplied(first), "det_id").filter(F.col("n_id") != F.col("first.id")).groupBy("det_id").agg(F.min(each).alias("second"))
+    return first.join(multiplied(second), "det_id", "left").join(multiplied(blended.withColumn("blend", F.lit(True))), "det_id", "full")
+
+
+def _judged(pairs: DataFrame) -> DataFrame:
+    other = F.when(F.col("first.id") == F.col("star_id"), F.col("second.g")).otherwise(F.col("first.g"))
     close = other.isNotNull() & ~F.coalesce(other > F.col("g") + BLEND_COMPANION_MAG, F.lit(False))
-    return pairs.join(multiplied(flags), "det_id", "left").select("star_id", "det_id", F.col("__b").isNotNull().alias("blend"), close.alias("catalogue_blend"))
+    return pairs.select("star_id", "det_id", F.col("blend").isNotNull().alias("blend"), close.alias("catalogue_blend"))
+
+
+def blend_flags(detections: DataFrame, stars: DataFrame, pairs: DataFrame, grow: int = 0) -> DataFrame:
+    """Per matched pair: does an equal or brighter detection overlap the core (``blend``), and does another catalogue
+    star no more than 0.3 mag fainter lie inside it (``catalogue_blend``)?"""
+    return _judged(pairs.join(multiplied(_core_flags(detections, stars, grow)), "det_id", "left"))
+
+
+def crossmatch_flags(detections: DataFrame, stars: DataFrame, grow: int = 0) -> DataFrame:
+    """``blend_flags`` of all pairs of the cross-match: detections bring their flags, so pairs are listed behind the last shuffle."""
+    known = detections.join(multiplied(_core_flags(detections, stars, grow)), "det_id", "left")
+    return _judged(crossmatch(stars, known, ("blend", "first", "second")))
 
 
 def drop_inside_brighter(candidates: DataFrame, detections: DataFrame, reach: str = "reach",

@@ -320,8 +320,7 @@ b AS (SELECT DISTINCT a.det_id FROM rects a JOIN rects o ON o.x0 BETWEEN a.x0 -
 c AS (SELECT DISTINCT p.det_id, p.star_id FROM pairs p JOIN rects d ON p.det_id = d.det_id JOIN placed n ON n.star_id <> p.star_id AND n.x >= d.x0 AND n.x < d.x1 AND n.y >= d.y0 AND n.y < d.y1 AND n.g <= p.g + 3e-1)
 SELECT p.star_id, p.det_id, b.det_id IS NOT NULL AS blend, c.det_id IS NOT NULL AS catalogue_blend FROM pairs p LEFT JOIN b ON p.det_id = b.det_id LEFT JOIN c ON p.det_id = c.det_id AND p.star_id = c.star_id"""))
 def blend_flags(spark, sf):
-    pairs = op.crossmatch(placed(spark, sf), detections(spark, sf))
-    return op.blend_flags(detections(spark, sf), placed(spark, sf), pairs)
+    return op.crossmatch_flags(detections(spark, sf), placed(spark, sf))
 
 
 REACH = """halo AS (SELECT det_id, x, y, half_width, 1e2 * half_width * half_width AS flux, 2e0 * half_width + 3e0 AS reach, CASE WHEN det_id % 7 = 0 THEN ((det_id * 13) % 628) / 1e2 - 314e-2 END AS angle FROM detections)"""

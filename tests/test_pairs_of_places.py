@@ -248,3 +248,32 @@ def test_registered_matches_use_every_band(spark, monkeypatch):
     asked = []
     monkeypatch.setattr(match, "quad_index", lambda stars, bands=match.BANDS: asked.append(bands) or stars.limit(0).selectExpr("0 as band", "'' as quad_id", "array(0.0D) as code", "array(struct(0.0D as x, 0.0D as y)) as points", "0.0D as ra0", "0.0D as dec0"))
     assert entry.queries()["blind_match"](spark, SF).count() == 0 and asked == [match.BANDS]
+
+
+def test_flags_of_crowded_pairs(spark):
+    # places, cores and ids that repeat, no flux and no brightness; then no pair is moved once it is listed
+    r = np.random.default_rng(5)
+    dets = [(int(r.integers(0, 55)), float(r.integers(0, 4)) * 9.5, float(r.integers(0, 4)) * 9.5, [None, float("nan"), 1.0, 2.0, 3.0, 4.0][r.integers(0, 6)], int(r.integers(1, 4))) for _ in range(60)]
+    stars = [(int(r.integers(0, 50)), float(r.integers(0, 4)) * 9.5 + float(r.integers(0, 2)), float(r.integers(0, 4)) * 9.5, [None, 8.0, 8.2, 8.4, 9.0][r.integers(0, 5)]) for _ in range(60)]
+    d = spark.createDataFrame(dets, "det_id long, x double, y double, flux double, half_width int")
+    s = spark.createDataFrame(stars, "star_id long, x double, y double, g double")
+    rects = [(i, np.floor(x - h), np.floor(y - h), np.floor(x + h) + 1, np.floor(y + h) + 1, f) for i, x, y, f, h in dets]
+
+    def known(f):
+        return f is not None and np.isfinite(f)
+    blend = {a[0] for a in rects for o in rects if a[0] != o[0] and a[1] < o[3] and o[1] < a[3] and a[2] < o[4] and o[2] < a[4]
+             and (not known(a[5]) or not known(o[5]) or o[5] >= a[5])}
+    want = []
+    for p in sky.crossmatch(s, d).collect():
+        inside = [(g, i) for i, x, y, g in stars for c in rects if c[0] == p.det_id and c[1] <= x < c[3] and c[2] <= y < c[4] and i != p.star_id]
+        want.append((p.star_id, p.det_id, p.det_id in blend, any(g is None or g <= p.g + 0.3 for g, _ in inside)))
+    df = sky.crossmatch_flags(d, s)
+    assert sorted(tuple(x) for x in df.collect()) == sorted(want) and {x[2:] for x in want} >= {(True, True), (True, False)}
+    assert sorted(tuple(x) for x in sky.blend_flags(d, s, sky.crossmatch(s, d)).collect()) == sorted(want)
+
+
+def test_listed_pairs_are_not_moved(spark):
+    df = entry.queries()["blend_flags"](spark, SF)
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "[cx" in next(line for line in plan.splitlines() if "Join" in line)
