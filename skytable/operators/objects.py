@@ -153,7 +153,7 @@ def _every_hit(queries: DataFrame, catalogue: DataFrame, first: bool) -> DataFra
     scored = name_hits(q, c, first and has_few_words(c))
     fuzzy = hits(scored.select(F.col("name").alias("key"), "query", F.col("score").alias("s")).join(of(F.col("name")), "key"), F.col("s"), 3)
     aliases = alias_table(spark)
-    named = name_hits(q, aliases, True).join(aliases, "name").groupBy("query", "alias_no", "label", "id", "ra", "dec", "diameter").agg(F.max("score").alias("s"))
+    named = name_hits(q, aliases, first).join(aliases, "name").groupBy("query", "alias_no", "label", "id", "ra", "dec", "diameter").agg(F.max("score").alias("s"))
     held = of(F.col("id")).select(F.col("id").alias("__id"), F.col("ra").alias("__ra"), F.col("dec").alias("__dec"), F.col("diameter").alias("__d"))
     named = named.join(held, named.id == held["__id"], "left").filter(F.col("ra").isNotNull() | F.col("__id").isNotNull())
     named = named.withColumns({"ra": F.coalesce("ra", "__ra"), "dec": F.coalesce("dec", "__dec"), "diameter": F.coalesce("diameter", "__d"),
